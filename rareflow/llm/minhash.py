@@ -2,16 +2,16 @@
 
 1. One narrow pass gives each document a fingerprint of its shingle set and a sketch cut into bands.
 2. Documents with equal sets collapse to their smallest id; only these representatives go on.
-3. Bands with several representatives are buckets. No bucket is expanded into all pairs: first every member is paired
-   with the bucket's best-connected member only. Pairs are verified on the full sets, links are joined into components.
-4. What is left are pairs of a bucket whose members ended in different components. They are few once the stars have
-   merged the true groups; if not, more star rounds with other centres come first. In the end every such pair is
-   verified, so no candidate is lost to a cap.
+3. Bands with several representatives are buckets; buckets with the same members count once. First every member is
+   paired with the bucket's best-connected member only. Pairs are verified on the full sets, links become components.
+4. Buckets whose members are still in different components are compared whole, inside tasks, a pair of bounded blocks
+   at a time. Only links that join components leave a task, never all pairs, and no pair of a bucket goes untested.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -150,13 +150,88 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def candidate_members(reps: DataFrame) -> DataFrame:
-    """(key, doc_id) of the buckets with two representatives or more."""
+    """(key, doc_id, size) of the buckets with two representatives or more; buckets with the same members count once."""
     all_members = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = keep(all_members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    buckets = all_members.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("mark"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("size > 1")
+    shared = keep(buckets.groupBy("size", "mark", "least", "most").agg(F.min("key").alias("key")).select("key", "size"))
     return keep(all_members.join(shared, "key").select("key", "doc_id", "size"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", stars: int = 3) -> DataFrame:
+def linked_in(sets: list[np.ndarray], comps: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links (places) that join all components which some pair of these sets links: a forest, not every linked pair.
+
+    The sizes of all intersections are one product of the incidence matrix, taken over the shingles that two sets or
+    more hold, a block of columns at a time.
+    """
+    m, sizes = len(sets), np.array([len(x) for x in sets])
+    every = np.concatenate(sets)
+    row = np.repeat(np.arange(m), sizes)
+    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    row, column = row[times[column] > 1], column[times[column] > 1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    new = np.r_[False, column[1:] != column[:-1]]
+    column = np.cumsum(new) if len(column) else column
+    both = np.zeros((m, m), np.float32)
+    wide = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        lo, hi = np.searchsorted(column, (at, at + wide))
+        held = np.zeros((m, wide), np.float32)
+        held[row[lo:hi], column[lo:hi] - at] = 1
+        both += held @ held.T
+    both = both.astype(np.int64)
+    comp = np.array(comps)
+    enough = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (comp[:, None] != comp[None, :])
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    found = []
+    for i, j in np.argwhere(np.triu(enough)).tolist():
+        x, y = top(comps[i]), top(comps[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            found.append((i, j))
+    return found
+
+
+def compared(members: DataFrame, bodies: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) inside the buckets of ``members`` (key, doc_id, comp, size), all pairs compared in tasks.
+
+    A bucket of more than ``block`` members is dealt out as pairs of blocks, so a task holds two blocks at most.
+    """
+    n = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "comp")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        a, b = [], []
+        for _, group in groupby(rows(batches), key=lambda r: r[:3]):
+            docs = [(doc, comp, body) for _, _, _, doc, comp, body in group]
+            if len({comp for _, comp, _ in docs}) > 1:
+                sets = [shingles(unpress.decompress(body), width) for _, _, body in docs]
+                for x, y in linked_in(sets, [comp for _, comp, _ in docs], percent):
+                    a.append(docs[x][0])
+                    b.append(docs[y][0])
+            if len(a) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held = dealt.join(bodies, "doc_id").select("key", "i", "j", "doc_id", "comp", "body")
+    return held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     A document's set holds the distinct ``width``-word shingles of its lowered text. Documents with Jaccard similarity
@@ -173,30 +248,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     members = candidate_members(reps.select("doc_id", "bands"))
     needed = keep(members.groupBy("doc_id").agg(F.sum("size").alias("degree")))
     bodies = keep(packed_texts(rows.where("doc_id is not null")).join(needed.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    members = keep(members.join(needed, "doc_id").select("key", "doc_id", "degree"))
+    members = keep(members.join(needed, "doc_id").select("key", "doc_id", "size", "degree"))
 
     labels = needed.select("doc_id", F.col("doc_id").alias("comp"))
-    tested = None
-    for turn in range(stars):
-        at = members.join(labels, "doc_id")
-        weight = F.col("degree") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-        centres = keep(at.groupBy("key").agg(F.max_by(F.struct("doc_id", "comp"), F.struct(weight, -F.col("doc_id"))).alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "centre.*").withColumnsRenamed({"doc_id": "centre", "comp": "centre_comp"}))
-        pairs = at.join(centres, "key").where("comp <> centre_comp").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-        pairs = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = keep(components(labels, verified(pairs, bodies, width, percent)))
-        # pairs left in buckets, by component sizes: fewer than a few for each member are verified one and all
-        per = keep(members.join(labels, "doc_id").groupBy("key", "comp").agg(F.count("*").alias("n")))
-        left = per.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("x")).agg(F.sum("x"), F.count("*")).first()
-        if (left[0] or 0) <= 4 * left[1]:
-            break
-    mixed = keep(per.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    at = keep(members.join(labels, "doc_id").join(mixed, "key").select("key", "comp", "doc_id"))
-    some = at.select("key", "comp").distinct()
-    crossed = keep(some.join(some.select("key", F.col("comp").alias("other")), "key").where("comp < other"))
-    x, y = at.withColumnRenamed("doc_id", "x"), at.select("key", F.col("comp").alias("other"), F.col("doc_id").alias("y"))
-    rest = crossed.join(x, ["key", "comp"]).join(y, ["key", "other"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = keep(verified(keep(rest.join(tested, ["a", "b"], "left_anti")), bodies, width, percent))
+    centres = keep(members.groupBy("key").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("centre")))
+    pairs = keep(members.join(centres, "key").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct())
+    labels = keep(components(labels, verified(pairs, bodies, width, percent)))
+    at = keep(members.join(labels, "doc_id"))
+    mixed = keep(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    links = keep(compared(at.join(mixed, "key").where("size > 2"), bodies, width, percent, block))
     if links.limit(1).count():
         labels = keep(components(labels, links))
 
