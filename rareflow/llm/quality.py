@@ -72,7 +72,7 @@ def votes() -> dict[str, Column]:
         "repeats": bad(F.col("n_repeat_words") > 0.5 * F.col("n_words")),
         "upper": bad(upper > 0.5),
         "digits": bad(F.col("n_digits") / chars > 0.4),
-        "stops": bad(stops > 1, stops < 0.0005),
+        "stops": bad(stops > 1),
         "prose": F.when((stops >= 0.01) & (stops <= 0.5) & (symbols <= 0.05) & (upper <= 0.2), 1).otherwise(0),
         "variety": F.when(variety >= 4, 1).when(variety < 2, -1).otherwise(0),
     }
