@@ -82,7 +82,7 @@ def test_regions_against_brute_force(spark):
 
 
 def test_closed_form_margin(spark):
-    rows = [(1, i, 0.5, 0.1) for i in range(5)] + [(2, i, x, s) for i, (x, s) in enumerate(zip((0, 1.0, 2, 3, 3), (0, 0.2, 0.5, 0.8, 0.8)))] + [(3, 0, 0.0, 0.0), (3, 1, 0.0, 0.0)]
+    rows = [(1, i, 0.5, 0.1) for i in range(5)] + [(2, i, x, s) for i, (x, s) in enumerate(zip((0.0, 1.0, 2.0, 3.0, 3.0), (0.0, 0.2, 0.5, 0.8, 0.8)))] + [(3, 0, 0.0, 0.0), (3, 1, 0.0, 0.0)]
     steps = spark.createDataFrame(rows, "run_id long, step int, xte double, steering double")
     got = {r.run_id: r.margin for r in telemetry.composite_margin(telemetry.run_metrics(steps)).collect()}
     assert got[1] == pytest.approx(1.2) and got[2] < 0 and got[3] is None
