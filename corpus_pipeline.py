@@ -14,25 +14,23 @@ from rareflow.llm.common import keep, read, shared_dir
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, verdicts: DataFrame, flag: str) -> DataFrame:
-    """The rows whose id has a true flag; a null id or text is judged by its own row and never joins, so it goes."""
-    wanted = keep(verdicts.where(flag).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").select(*COLUMNS)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return _only(docs, quality.judge_quality(docs), "kept")
+    return quality.drop_low_quality(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one with the smallest id."""
-    return _only(docs, minhash.near_duplicates(docs, width=5, percent=80), "kept")
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    The kept ids grow with the corpus, so the join shuffles at every size. A row with a null id stays out.
+    """
+    kept = keep(minhash.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("__id")).distinct())
+    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return _only(docs, decontam.contamination(docs, read(spark, sf_dir, "benchmark")), "not contaminated")
+    return decontam.drop_contaminated(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

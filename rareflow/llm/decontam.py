@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_or_empty, texts, word_ids
+from .common import keep, mix, text_or_empty, texts, word_ids
 
 #: Positions that a mask looks at (1) and ignores (0): weight 6, different gaps.
 MASKS = ("111111", "1101011001", "11001010011", "1110100101")  # fixed values
@@ -138,8 +138,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if second is None:
         found = one(first, rows, False)
     else:
-        from .common import keep
-
         numbered = keep(rows.withColumn("row", F.monotonically_increasing_id()))
         parts = [keep(one(b, numbered, True)) for b in (first, second)]
         parts += [keep(one(b, numbered, True)) for b in blocks]
@@ -148,3 +146,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             every = every.unionByName(p)
         found = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.flatten(F.collect_list("items"))).alias("items"), F.max("n_equal").alias("n_equal")).drop("row")
     return found.select("doc_id", F.size("items").cast("long").alias("n_items"), "items", "n_equal", (F.size("items") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that overlap no benchmark item, with all their columns; one narrow pass for each block."""
+    columns, at = docs.columns, docs.columns.index(text_col)
+
+    def clean(block: list[tuple[int, bytes]], rows: DataFrame) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seeds = Seeds(shared.value)
+            for batch in batches:
+                raw = [(t or "").encode() for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array([not seeds.overlaps(t) for t in raw], pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    out = docs
+    for block in _blocks(benchmark, item_col, item_text_col):
+        out = clean(block, out)
+    return out.select(*columns)

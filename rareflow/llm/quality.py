@@ -24,14 +24,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, _SPACE_CLASS), lambda w: w != "")
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the rules look at besides."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id (or __row, as it is), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the rules look at besides."""
     text = F.col("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ident = "__row" if whole else "doc_id"
+    rows = docs.select(F.col("__row") if whole else F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bare = F.translate(text, SPACES, "")
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
     rows = rows.select(
-        "doc_id", words_of(text).alias("words"), F.length(bare).alias("word_chars"),
+        ident, words_of(text).alias("words"), F.length(bare).alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
         F.size(lines).alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
         F.length(F.regexp_replace(bare, "[^A-Z]", "")).alias("n_upper"),
@@ -46,7 +47,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "transform(filter(windows, (w, i) -> (i > 0 and get(windows, i - 1).h = w.h) or coalesce(get(windows, i + 1).h = w.h, false)), w -> w.at)")))
     covered = F.expr("aggregate(transform(places, (p, i) -> least(3, coalesce(get(places, i + 1) - p, 3))), 0, (a, x) -> a + x)")
     return rows.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), *[F.col(c).cast("long").alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines")],
+        ident, F.size("words").cast("long").alias("n_words"), *[F.col(c).cast("long").alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines")],
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_lines", "n_upper", "n_digits", "n_stops",
         F.size(F.array_distinct("words")).alias("n_distinct"),
     )
@@ -111,6 +112,24 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, weight:
     return share, tables
 
 
+def scored(voted: DataFrame, names: list[str], share: float, tables: list[dict[int, tuple[float, float]]], threshold: float, min_words: int, max_repeat_percent: int) -> DataFrame:
+    """Adds base_failed, posterior and kept to rows with votes and features."""
+    log_odds = F.lit(math.log(share / (1 - share)))
+    for name, table in zip(names, tables):
+        log_odds = log_odds + F.when(F.col(name) == 1, math.log(table[1][0] / table[1][1])).when(F.col(name) == -1, math.log(table[-1][0] / table[-1][1])).otherwise(math.log(table[0][0] / table[0][1]))
+    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
+    return voted.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-log_odds))).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+
+
+def with_votes(narrow: DataFrame) -> tuple[DataFrame, list[str], float, list[dict[int, tuple[float, float]]]]:
+    """Votes of kept features, and what EM makes of the counts of their patterns."""
+    rules = votes()
+    names = [f"vote_{r}" for r in rules]
+    voted = narrow.select("*", *[v.alias(f"vote_{r}") for r, v in rules.items()])
+    patterns = [(tuple(r[c] for c in names), r["n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
+    return voted, names, *fit(patterns)
+
+
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, min_words: int = 50,
                   max_repeat_percent: int = 50) -> DataFrame:
     """One row per input row: doc_id, the counts of ``features``, base_failed, posterior, kept.
@@ -120,16 +139,16 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fails; null ids and repeated rows are kept as rows of their own; an empty table gives an empty result; other
     columns are ignored. The texts are read once; the narrow features are written, counted by vote pattern, and scored.
     """
-    narrow = keep(features(docs, id_col, text_col))
-    rules = votes()
-    names = [f"vote_{r}" for r in rules]
-    voted = narrow.select("*", *[v.alias(f"vote_{r}") for r, v in rules.items()])
-    patterns = [(tuple(r[c] for c in names), r["n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
-    share, tables = fit(patterns)
-    log_odds = F.lit(math.log(share / (1 - share)))
-    for name, table in zip(names, tables):
-        log_odds = log_odds + F.when(F.col(name) == 1, math.log(table[1][0] / table[1][1])).when(F.col(name) == -1, math.log(table[-1][0] / table[-1][1])).otherwise(math.log(table[0][0] / table[0][1]))
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    return voted.withColumn("posterior", 1 / (1 + F.exp(-log_odds))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("posterior") >= threshold)).alias("kept"), "posterior")
+    voted, names, share, tables = with_votes(keep(features(docs, id_col, text_col)))
+    return scored(voted, names, share, tables, threshold, min_words, max_repeat_percent).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def drop_low_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """The rows of ``docs`` that ``judge_quality`` keeps, with all their columns; rows are judged one by one.
+
+    Whole rows travel with their features through one written table, so no join moves the texts.
+    """
+    whole = features(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row")), "__row", f"__row.{text_col}", whole=True)
+    voted, names, share, tables = with_votes(keep(whole))
+    return scored(voted, names, share, tables, threshold, min_words, max_repeat_percent).where("kept").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
