@@ -116,3 +116,28 @@ def calibrate(rate_at, low: float, high: float, band: tuple[float, float] = (0.1
     away = lambda p: max(band[0] - p, p - band[1], 0.0)
     best = min(history, key=lambda h: (away(h[1]), history.index(h)))
     return {"outcome": outcome or "exhausted", "lever": best[0], "rate": best[1], "history": history}
+
+
+def fidelity_report(runs: DataFrame, by: str) -> DataFrame:
+    """Range and median of the control rate, median inference and waiting time, the waiting share and what bounds the loop."""
+    half = F.lit(0.5)
+    got = runs.groupBy(by).agg(
+        F.min("control_hz").alias("hz_min"), F.percentile("control_hz", half).alias("hz_median"), F.max("control_hz").alias("hz_max"),
+        F.percentile("infer_ms", half).alias("infer_ms"), F.percentile("wait_ms", half).alias("wait_ms"), F.count_if(~F.col("valid")).alias("n_invalid"))
+    total = F.col("infer_ms") + F.col("wait_ms")
+    return got.withColumns({"wait_share": F.when(total > 0, F.col("wait_ms") / total * 100), "bottleneck": F.when(F.col("wait_ms") >= F.col("infer_ms"), "simulator").otherwise("inference")})
+
+
+def comparison_caveats(summary: DataFrame, shared: DataFrame) -> DataFrame:
+    """(subject, caveat) of a comparison: degenerate rates, unequal speed_scale or control rates, different designs.
+
+    ``summary`` has one row a backend (backend, n_valid, failure_rate, median_hz, speed_scale); ``shared`` one row
+    (pair, same) for each pair of backends.
+    """
+    rate = F.when(F.col("failure_rate").isNull(), "no valid run").when(F.col("failure_rate") <= 0, "0% failures").when(F.col("failure_rate") >= 1, "100% failures")
+    degenerate = summary.select(F.col("backend").alias("subject"), rate.alias("caveat"))
+    hz = F.max("median_hz") / F.greatest(F.min("median_hz"), F.lit(1e-9))
+    whole = summary.agg(F.when(F.count_distinct(F.round("speed_scale", 4)) > 1, "different speed_scale").alias("a"), F.when((F.count("*") >= 2) & (hz > 1.5), "different control rates").alias("b"))
+    unequal = whole.select(F.lit("all").alias("subject"), F.explode(F.array("a", "b")).alias("caveat"))
+    designs = shared.select(F.col("pair").alias("subject"), F.when(~F.col("same"), "different designs").alias("caveat"))
+    return degenerate.unionByName(unequal).unionByName(designs).where("caveat is not null")

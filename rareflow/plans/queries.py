@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import odd
-from ..operators import design, importance, ranking, rates, regions, sweeps, telemetry
+from ..operators import design, importance, ranking, rates, regions, roads, sweeps, telemetry
 from ..sources import campaigns, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,6 +521,65 @@ def _(spark, sf_dir):
     return tidy(windowed_failure_rate(ev, "ts", "1 hour").withColumn("start", F.col("win.start")), "start")
 
 
+@query("d3_road_frame", f"""WITH {views.FRAMES} SELECT run_id, tick, part, round(lat, 6) AS "lateral", round(atan2(sin(turn), cos(turn)), 6) AS heading_error, round(s, 6) AS s, i = 10 AND t >= 1 - 1e-9 AS beyond_end, i = 0 AND t <= 1e-9 AS before_start FROM fr""")
+def _(spark, sf_dir):
+    got = roads.road_frame(views.drives(spark, sf_dir), views.roads(spark, sf_dir))
+    return got.select("run_id", "tick", "part", *[r6(c, c) for c in ("lateral", "heading_error", "s")], "beyond_end", "before_start")
+
+
+@query("d4_headings", f"""WITH {views.ROADS}, {views.DRIVES}, mv AS (SELECT *, px - lag(px) OVER w AS ex, py - lag(py) OVER w AS ey FROM dr WINDOW w AS (PARTITION BY run_id ORDER BY tick, part, px, py)),
+ow AS (SELECT *, CASE WHEN sqrt(ex * ex + ey * ey) >= 1e-6 THEN atan2(ey, ex) END AS own FROM mv)
+SELECT run_id, tick, part, round(coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY tick, part, px, py ROWS UNBOUNDED PRECEDING), atan2(dy, dx)), 6) AS yaw FROM ow JOIN (SELECT run_id, dx, dy FROM sg WHERE i = 0) USING (run_id)""")
+def _(spark, sf_dir):
+    return roads.headings(views.drives(spark, sf_dir).drop("yaw"), views.roads(spark, sf_dir), ["tick", "part", "px", "py"]).select("run_id", "tick", "part", r6("yaw", "yaw"))
+
+
+@query("d5_lateral_agreement", f"""WITH {views.FRAMES}, x AS (SELECT run_id, lat, lat * 0.95 + (tick % 7 - 3) / 10.0::DOUBLE AS xte FROM fr)
+SELECT run_id, round(max(abs(abs(xte) - abs(lat))), 6) AS max_diff, round(avg(CASE WHEN abs(xte) > 0.05 AND abs(lat) > 0.05 THEN CASE WHEN sign(xte) = sign(lat) THEN 1.0::DOUBLE ELSE 0.0 END END), 6) AS same_sign FROM x GROUP BY run_id""")
+def _(spark, sf_dir):
+    got = roads.road_frame(views.drives(spark, sf_dir), views.roads(spark, sf_dir)).withColumn("xte", F.col("lateral") * 0.95 + (F.col("tick") % 7 - 3) / F.lit(10.0))
+    return roads.lateral_agreement(got).select("run_id", r6("max_diff", "max_diff"), r6("same_sign", "same_sign"))
+
+
+@query("d6_road_parity", f"""WITH {views.ROADS}, bu AS (SELECT run_id, i, x AS px, y2 AS py, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y2 - lag(y2) OVER w, 2)), 0) AS leg FROM ve WHERE run_id % 7 <> 0 WINDOW w AS (PARTITION BY run_id ORDER BY i)),
+bs AS (SELECT row_number() OVER () AS rid, run_id, px, py, sum(leg) OVER (PARTITION BY run_id ORDER BY i) AS along, sum(leg) OVER (PARTITION BY run_id) AS total FROM bu), {views.NEAREST.format(p='bs')},
+pr AS (SELECT run_id, count(*) FILTER (along > 2 AND along < total - 2) >= 10 AS part, avg(d) AS m, max(d) AS x, avg(d) FILTER (along > 2 AND along < total - 2) AS im, max(d) FILTER (along > 2 AND along < total - 2) AS ix, max(total) AS total FROM nr GROUP BY run_id),
+rl AS (SELECT run_id, sum(len) AS len FROM sg GROUP BY run_id)
+SELECT rl.run_id, round(CASE WHEN part THEN im ELSE m END, 6) AS mean_dev, round(CASE WHEN part THEN ix ELSE x END, 6) AS max_dev, round(total / len, 6) AS length_ratio, coalesce(CASE WHEN part THEN ix ELSE x END <= 0.1, false) AS ok FROM rl LEFT JOIN pr ON rl.run_id = pr.run_id""")
+def _(spark, sf_dir):
+    got = roads.parity(views.roads(spark, sf_dir), views.roads(spark, sf_dir, 0.03).where("run_id % 7 <> 0"))
+    return got.select("run_id", r6("mean_dev", "mean_dev"), r6("max_dev", "max_dev"), r6("length_ratio", "length_ratio"), "ok")
+
+
+@query("d9_curvature", f"""WITH {views.ROADS}, tr AS (SELECT a.run_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, c.x AS x3, c.y AS y3 FROM ve a JOIN ve b ON a.run_id = b.run_id AND b.i = a.i + 2 JOIN ve c ON a.run_id = c.run_id AND c.i = a.i + 4 WHERE a.i < 12 - 5),
+dt AS (SELECT *, (x1 - x2) * (y2 - y3) - (x2 - x3) * (y1 - y2) AS det, (x1 * x1 + y1 * y1 - x2 * x2 - y2 * y2) / 2 AS bc, (x2 * x2 + y2 * y2 - x3 * x3 - y3 * y3) / 2 AS cd FROM tr),
+ra AS (SELECT run_id, CASE WHEN abs(det) >= 1e-6 THEN sqrt(pow((bc * (y2 - y3) - cd * (y1 - y2)) / det - x1, 2) + pow(((x1 - x2) * cd - (x2 - x3) * bc) / det - y1, 2)) END AS radius FROM dt)
+SELECT run_id, round(coalesce(1 / min(radius), 0), 6) AS curvature FROM ra GROUP BY run_id""")
+def _(spark, sf_dir):
+    return roads.curvature(views.roads(spark, sf_dir)).select("run_id", r6("curvature", "curvature"))
+
+
+@query("c18_fidelity_report", f"""WITH {views.BACKENDS}, r AS (SELECT *, scenario_idx % 17 + 1.0::DOUBLE AS infer_ms, scenario_idx % 29 + CASE WHEN backend = 'fast' THEN 0.0::DOUBLE ELSE 9.0 END AS wait_ms FROM br),
+g AS (SELECT backend, min(control_hz) AS hz_min, quantile_cont(control_hz, 0.5) AS hz_median, max(control_hz) AS hz_max, quantile_cont(infer_ms, 0.5) AS infer_ms, quantile_cont(wait_ms, 0.5) AS wait_ms, count(*) FILTER (NOT valid) AS n_invalid FROM r GROUP BY backend)
+SELECT *, round(CASE WHEN infer_ms + wait_ms > 0 THEN wait_ms / (infer_ms + wait_ms) * 100 END, 6) AS wait_share, CASE WHEN wait_ms >= infer_ms THEN 'simulator' ELSE 'inference' END AS bottleneck FROM g""")
+def _(spark, sf_dir):
+    idx = F.col("scenario_idx")
+    b = views.backend_runs(spark, sf_dir).withColumns({"infer_ms": idx % 17 + F.lit(1.0), "wait_ms": idx % 29 + F.when(F.col("backend") == "fast", 0.0).otherwise(9.0)})
+    return sweeps.fidelity_report(b, "backend").withColumn("wait_share", F.round("wait_share", 6))
+
+
+@query("i5_caveats", f"""WITH {views.BACKENDS}, s AS (SELECT backend, avg(CASE WHEN valid THEN CASE WHEN margin < 0 THEN 1.0::DOUBLE ELSE 0.0 END END) AS rate, quantile_cont(control_hz, 0.5) AS hz, CASE WHEN backend = 'fast' THEN 0.3625 ELSE 0.36 END AS scale FROM br GROUP BY backend),
+d AS (SELECT coalesce(bool_and(abs(f.t0 - (g.t0 + (g.scenario_idx % 3) * 0.3)) <= 0.51), false) AS same FROM (SELECT * FROM br WHERE backend = 'fast') f FULL JOIN (SELECT * FROM br WHERE backend = 'full') g USING (scenario_idx))
+SELECT subject, caveat FROM (SELECT backend AS subject, CASE WHEN rate IS NULL THEN 'no valid run' WHEN rate <= 0 THEN '0% failures' WHEN rate >= 1 THEN '100% failures' END AS caveat FROM s
+ UNION ALL SELECT 'all', CASE WHEN count(DISTINCT round(scale, 4)) > 1 THEN 'different speed_scale' END FROM s UNION ALL SELECT 'all', CASE WHEN count(*) >= 2 AND max(hz) / greatest(min(hz), 1e-9) > 1.5 THEN 'different control rates' END FROM s
+ UNION ALL SELECT 'fast|full', CASE WHEN NOT same THEN 'different designs' END FROM d) WHERE caveat IS NOT NULL""")
+def _(spark, sf_dir):
+    b = views.backend_runs(spark, sf_dir)
+    summary = sweeps.backend_summary(b).withColumn("speed_scale", F.when(F.col("backend") == "fast", 0.3625).otherwise(0.36))
+    full = b.where("backend = 'full'").withColumn("theta", F.array(F.col("theta")[0] + (F.col("scenario_idx") % 3) * 0.3))
+    return sweeps.comparison_caveats(summary, sweeps.shared_design(b.where("backend = 'fast'"), full).select(F.lit("fast|full").alias("pair"), "same"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which arm yields most rare failures per 100 valid runs?"""
     return ranking.leaderboard(ranking.arm_scores(scored(spark, sf_dir)), "rare_per_100")

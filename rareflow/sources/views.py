@@ -82,3 +82,24 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RUNS = """rs AS (SELECT 'arm' || substring(o_orderpriority, 1, 1) || '[' || CASE WHEN o_orderkey % 2 = 0 THEN 'lhs' ELSE 'random' END || ']' AS arm, CAST(o_custkey % 12 AS INTEGER) AS seed,
  count(*) AS n_evaluations, count(*) FILTER (o_totalprice > 400000) AS n_failures, min(o_totalprice) AS worst_margin, avg(CASE WHEN o_totalprice > 400000 THEN 1.0::DOUBLE ELSE 0.0 END) AS p_fail FROM orders GROUP BY 1, 2)"""
+
+
+def roads(spark: SparkSession, sf_dir: str, shift: float = 0.0) -> DataFrame:
+    """suppliers as roads of twelve vertices; ``shift`` moves some of them sideways, as a second build would."""
+    y = f"((s_suppkey * 31 + i * i * 17) % 23 - 11) * 0.5D + ((s_suppkey + i) % 5) * {shift!r}D"
+    return table(spark, sf_dir, "supplier").where("s_suppkey is not null").select(F.col("s_suppkey").alias("run_id"), F.expr(f"transform(sequence(0L, 11L), i -> named_struct('x', i * 10D, 'y', {y}))").alias("xy"))
+
+
+def drives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as vehicle poses on the supplier's road."""
+    rows = table(spark, sf_dir, "lineitem").where("l_suppkey is not null")
+    return rows.select(F.col("l_suppkey").alias("run_id"), F.col("l_orderkey").alias("tick"), F.col("l_linenumber").alias("part"), (F.col("l_quantity").cast("long") * F.lit(2.25)).alias("px"),
+                       (F.round(F.col("l_discount") * 100).cast("long") - F.lit(5.0)).alias("py"), ((F.col("l_orderkey") % 628 - 314) / F.lit(100.0)).alias("yaw"))
+
+
+ROADS = """ve AS (SELECT s_suppkey AS run_id, i, i * 10.0::DOUBLE AS x, ((s_suppkey * 31 + i * i * 17) % 23 - 11) * 0.5::DOUBLE AS y, ((s_suppkey * 31 + i * i * 17) % 23 - 11) * 0.5::DOUBLE + ((s_suppkey + i) % 5) * 0.03::DOUBLE AS y2 FROM supplier, range(12) r(i) WHERE s_suppkey IS NOT NULL),
+sg AS (SELECT *, sum(len) OVER (PARTITION BY run_id ORDER BY i) - len AS s0 FROM (SELECT a.run_id, a.i, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS len FROM ve a JOIN ve b ON a.run_id = b.run_id AND b.i = a.i + 1))"""
+DRIVES = """dr AS (SELECT row_number() OVER () AS rid, l_suppkey AS run_id, l_orderkey AS tick, l_linenumber AS part, CAST(l_quantity AS BIGINT) * 2.25::DOUBLE AS px, CAST(round(l_discount * 100) AS BIGINT) - 5.0::DOUBLE AS py, (l_orderkey % 628 - 314) / 100.0::DOUBLE AS yaw FROM lineitem WHERE l_suppkey IS NOT NULL)"""
+NEAREST = """pt AS (SELECT p.*, g.*EXCLUDE (run_id), least(1.0, greatest(0.0, ((px - ax) * dx + (py - ay) * dy) / greatest(dx * dx + dy * dy, 1e-18))) AS t FROM {p} p JOIN sg g USING (run_id)),
+pd AS (SELECT *, sqrt((ax + t * dx - px) * (ax + t * dx - px) + (ay + t * dy - py) * (ay + t * dy - py)) AS d FROM pt), nr AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, i) = 1)"""
+FRAMES = f"""{ROADS}, {DRIVES}, {NEAREST.format(p='dr')}, fr AS (SELECT *, CASE WHEN dx * (py - (ay + t * dy)) - dy * (px - (ax + t * dx)) < 0 THEN -d ELSE d END AS lat, s0 + t * len AS s, yaw - atan2(dy, dx) AS turn FROM nr)"""
