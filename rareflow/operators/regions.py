@@ -12,15 +12,17 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def eps_pairs(points: DataFrame, eps: float, axes: int = 2) -> DataFrame:
+def eps_pairs(points: DataFrame, eps: float, axes: int = 2, by: Column | None = None) -> DataFrame:
     """(a, b, dist) with a < b and distance <= eps: a grid of side eps on the first axes, then the exact distance.
 
-    Each point goes to its own cell as a, and to the neighbouring cells as b, so every near pair meets once.
+    Each point goes to its own cell as a, and to the neighbouring cells as b, so every near pair meets once. Points with
+    different values of ``by`` (a LONG) never meet.
     """
+    lead = [] if by is None else [by]
     cells = [F.floor(F.col("u")[i] / eps) for i in range(axes)]
-    left = points.select(F.col("point_id").alias("a"), F.col("u").alias("ua"), F.array(*cells).alias("cell"))
+    left = points.select(F.col("point_id").alias("a"), F.col("u").alias("ua"), F.array(*lead, *cells).alias("cell"))
     shifts = F.array(*[F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=axes)])
-    right = points.select(F.col("point_id").alias("b"), F.col("u").alias("ub"), F.explode(F.transform(shifts, lambda s: F.array(*[cells[i] + s[i] for i in range(axes)]))).alias("cell"))
+    right = points.select(F.col("point_id").alias("b"), F.col("u").alias("ub"), F.explode(F.transform(shifts, lambda s: F.array(*lead, *[cells[i] + s[i] for i in range(axes)]))).alias("cell"))
     return left.join(right, "cell").where("a < b").withColumn("dist", distance(F.col("ua"), F.col("ub"))).where(F.col("dist") <= eps).select("a", "b", "dist")
 
 
@@ -38,9 +40,9 @@ def connected(points: DataFrame, pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int = 2, axes: int = 2) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_samples: int = 2, axes: int = 2, by: Column | None = None) -> DataFrame:
     """(point_id, region). Cores link; a border point joins its smallest core's region; noise is a region of its own."""
-    pairs = eps_pairs(points, eps, axes).checkpoint()
+    pairs = eps_pairs(points, eps, axes, by).checkpoint()
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cores = both.groupBy(F.col("a").alias("point_id")).agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select("point_id")
     inner = pairs.join(cores.withColumnRenamed("point_id", "a"), "a", "left_semi").join(cores.withColumnRenamed("point_id", "b"), "b", "left_semi")
@@ -117,3 +119,79 @@ def coverage(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def axis_spread(points: DataFrame) -> DataFrame:
     return points.select(F.posexplode("u").alias("axis", "x")).groupBy("axis").agg((F.max("x") - F.min("x")).alias("spread"))
+
+
+def shuffled_copies(points: DataFrame, dims: int, copies: int, seed: int = 0) -> DataFrame:
+    """(copy, slot, u): ``copies`` clouds with the same marginals, each axis in an order of its own.
+
+    One range sort orders every (copy, axis) by a hash. All have n rows, so a row's place modulo n is its slot in the
+    copy; places come from the row counts of the sorted partitions.
+    """
+    n = points.count()
+    axes = points.where("u is not null").select("point_id", F.posexplode("u").alias("axis", "x")).where(F.col("axis") < dims)
+    rows = axes.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("h", F.xxhash64("point_id", "axis", "copy", F.lit(seed)))
+    keys = ["copy", "axis", "h", "point_id"]
+    run = rows.checkpoint().repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, starts = 0, {}
+    for p, count in sorted(run.groupBy(part.alias("p")).count().collect()):  # one number a partition
+        starts[p], before = before, before + count
+    if not starts:
+        return points.sparkSession.createDataFrame([], "copy int, slot long, u array<double>")
+    start = F.create_map(*[F.lit(v) for pair in starts.items() for v in pair])
+    placed = run.withColumn("slot", (start[part] + row) % n)
+    return placed.groupBy("copy", "slot").agg(*[F.max(F.when(F.col("axis") == i, F.col("x"))).alias(f"x{i}") for i in range(dims)]).select("copy", "slot", F.array(*[F.col(f"x{i}") for i in range(dims)]).alias("u"))
+
+
+def structure_score(points: DataFrame, dims: int, eps: float, min_samples: int = 2, least: int = 4, copies: int = 20, seed: int = 0) -> DataFrame:
+    """One row: share of points in groups of ``least`` or more, the same over shuffled copies, z, has_structure.
+
+    ``points``: (point_id, u), distinct ids, no null u. All clouds are clustered in one job. Below 2 * ``least`` points all is zero.
+    """
+    n = points.count()
+    if n < 2 * least:
+        return points.sparkSession.createDataFrame([(0.0, 0.0, 0.0, 0.0, False)], "observed double, null_mean double, null_std double, z double, has_structure boolean")
+    clouds = points.select(F.lit(0).alias("copy"), F.col("point_id").alias("slot"), "u").unionByName(shuffled_copies(points, dims, copies, seed))
+    clouds = clouds.select(F.xxhash64("copy", "slot").alias("point_id"), "copy", "u").checkpoint()
+    labels = dbscan(clouds, eps, min_samples, by=F.col("copy").cast("long"))
+    sizes = labels.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    inside = labels.join(sizes, "region", "left_semi").join(clouds.select("point_id", "copy"), "point_id").groupBy("copy").agg((F.count("*") / n).alias("share"))
+    every = points.sparkSession.range(copies + 1).select(F.col("id").cast("int").alias("copy"))
+    shares = every.join(inside, "copy", "left").select("copy", F.coalesce("share", F.lit(0.0)).alias("share"))
+    null = F.when(F.col("copy") > 0, F.col("share"))
+    got = shares.agg(F.max(F.when(F.col("copy") == 0, F.col("share"))).alias("observed"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_std"))
+    gap = F.col("observed") - F.col("null_mean")
+    z = F.when(F.col("null_std") > 1e-12, gap / F.col("null_std")).when(gap <= 0, 0.0).otherwise(99.0)
+    return got.withColumn("z", z).withColumn("has_structure", F.col("z") > 2)
+
+
+def sampler_verdict(arms: DataFrame, found: DataFrame, localised: DataFrame) -> DataFrame:
+    """For each family with both designs (arms named ``family[lhs]``, ``family[random+...]``): which reached more localised regions.
+
+    A gap counts from two regions and 30% of the family's on. Of several arms with one family and design, the last name counts.
+    """
+    form = r"^([^\[]*)\[(lhs|random)(\+.*)?\]$"
+    named = arms.where(F.col("owner").rlike(form)).select("owner", F.regexp_extract("owner", form, 1).alias("family"), F.regexp_extract("owner", form, 2).alias("design"))
+    chosen = named.groupBy("family", "design").agg(F.max("owner").alias("owner"))
+    both = chosen.groupBy("family").agg(F.count("*").alias("designs")).where("designs = 2").select("family")
+    reach = found.select("owner", "region").distinct().join(localised.select("region").distinct(), "region").join(F.broadcast(chosen), "owner")
+    per = reach.groupBy("family", "region").agg(F.max((F.col("design") == "lhs").cast("int")).alias("l"), F.max((F.col("design") == "random").cast("int")).alias("r"))
+    per = per.groupBy("family").agg(F.sum("l").alias("localised_lhs"), F.sum("r").alias("localised_random"), F.count("*").alias("pool"), F.sum(F.col("l") * F.col("r")).alias("shared"))
+    got = both.join(per, "family", "left").na.fill(0)
+    gap = F.col("localised_lhs") - F.col("localised_random")
+    verdict = F.when(F.col("pool") == 0, "n/a").when((F.abs(gap) < 2) | (F.abs(gap) / F.col("pool") < 0.3), "tie").when(gap > 0, "lhs").otherwise("random")
+    return got.select("family", "localised_lhs", "localised_random", (F.col("localised_lhs") - F.col("shared")).alias("only_lhs"), (F.col("localised_random") - F.col("shared")).alias("only_random"), verdict.alias("verdict"))
+
+
+def regime(points: DataFrame, records: DataFrame, has_structure: bool = False) -> DataFrame:
+    """One row: smallest axis spread, localised regions and their share of the failures, and whether the regime is rare."""
+    local = F.size("constraining_axes") > 0
+    spread = axis_spread(points).agg(F.min("spread").alias("min_spread"))
+    shares = records.agg(F.count_if(local).alias("n_localised"), F.coalesce(F.sum(F.when(local, F.col("n")).otherwise(0)) / F.sum("n"), F.lit(0.0)).alias("localised_share"))
+    rare = F.lit(has_structure) | F.coalesce(F.col("min_spread") < 0.9, F.lit(False))
+    return spread.crossJoin(shares).select("min_spread", "n_localised", "localised_share", rare.alias("rare_regime"))
+
+
+def rarest(records: DataFrame, k: int = 5) -> DataFrame:
+    """The k regions that are hardest to hit blindly, of those that can be estimated."""
+    return records.where("p_hit_uniform is not null").orderBy("p_hit_uniform", "region").limit(k)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import odd
-from ..operators import design, importance, ranking, rates, regions, roads, sweeps, telemetry
+from ..operators import design, importance, ranking, rates, regions, roads, surrogate, sweeps, telemetry
 from ..sources import campaigns, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -580,6 +580,87 @@ def _(spark, sf_dir):
     return sweeps.comparison_caveats(summary, sweeps.shared_design(b.where("backend = 'fast'"), full).select(F.lit("fast|full").alias("pair"), "same"))
 
 
+LOCAL = f"""{GRAPH}, rb AS (SELECT region, count(*) AS n, {', '.join(f'least(1, max(u{i}) + 0.02) - greatest(0, min(u{i}) - 0.02) AS s{i}' for i in range(4))} FROM rg JOIN fp USING (point_id) GROUP BY region),
+rc AS (SELECT *, n >= 4 AND (least(s0, s1, s2, s3) < 0.5 * (n - 1) / (n + 1)) AS local, CASE WHEN n >= 4 THEN {' * '.join(f'CASE WHEN s{i} < 0.5 * (n - 1) / (n + 1) THEN s{i} ELSE 1.0 END' for i in range(4))} END AS p FROM rb)"""
+
+
+@query("h11_structure_score")
+def _(spark, sf_dir):
+    ready(spark)
+    return regions.structure_score(failing(spark, sf_dir).select("point_id", "u"), 4, EPS)
+
+
+@query("h17_sampler_verdict", f"""WITH RECURSIVE {LOCAL}, ow AS (SELECT point_id, owner AS family, CASE WHEN point_id % 2 = 0 THEN 'lhs' ELSE 'random' END AS design FROM fp),
+bo AS (SELECT family FROM ow GROUP BY family HAVING count(DISTINCT design) = 2),
+pe2 AS (SELECT family, region, CAST(bool_or(design = 'lhs') AS INT) AS l, CAST(bool_or(design = 'random') AS INT) AS r FROM ow JOIN rg USING (point_id) JOIN rc USING (region) WHERE local GROUP BY 1, 2),
+fs AS (SELECT family, sum(l) AS l, sum(r) AS r, count(*) AS pool, sum(l * r) AS shared FROM pe2 GROUP BY family), al AS (SELECT family, coalesce(l, 0) AS l, coalesce(r, 0) AS r, coalesce(pool, 0) AS pool, coalesce(shared, 0) AS shared FROM bo LEFT JOIN fs USING (family))
+SELECT family, CAST(l AS BIGINT) AS localised_lhs, CAST(r AS BIGINT) AS localised_random, CAST(l - shared AS BIGINT) AS only_lhs, CAST(r - shared AS BIGINT) AS only_random,
+ CASE WHEN pool = 0 THEN 'n/a' WHEN abs(l - r) < 2 OR abs(l - r) / pool::DOUBLE < 0.3 THEN 'tie' WHEN l > r THEN 'lhs' ELSE 'random' END AS verdict FROM al""")
+def _(spark, sf_dir):
+    design_of = F.when(F.col("point_id") % 2 == 0, "[lhs]").otherwise("[random]")
+    owned = members(spark, sf_dir).withColumn("owner", F.concat("owner", design_of)).checkpoint()
+    local = regions.region_records(owned, 4).where(F.size("constraining_axes") > 0)
+    return regions.sampler_verdict(owned.select("owner").distinct(), regions.discoveries(owned), local)
+
+
+@query("h18_rare_regime", f"""WITH RECURSIVE {LOCAL}, sp AS (SELECT least({', '.join(f'max(u{i}) - min(u{i})' for i in range(4))}) AS m FROM fp)
+SELECT round((SELECT m FROM sp), 6) AS min_spread, count(*) FILTER (local) AS n_localised, round(coalesce(sum(CASE WHEN local THEN n ELSE 0 END) / sum(n)::DOUBLE, 0.0), 6) AS localised_share, coalesce((SELECT m FROM sp) < 0.9, false) AS rare_regime FROM rc""")
+def _(spark, sf_dir):
+    got = regions.regime(failing(spark, sf_dir), regions.region_records(members(spark, sf_dir), 4))
+    return got.select(r6("min_spread", "min_spread"), "n_localised", r6("localised_share", "localised_share"), "rare_regime")
+
+
+@query("h18_rarest_regions", f"WITH RECURSIVE {LOCAL} SELECT region, n, round(p, 6) AS p_hit FROM rc WHERE p IS NOT NULL ORDER BY p, region LIMIT 5")
+def _(spark, sf_dir):
+    return regions.rarest(regions.region_records(members(spark, sf_dir), 4), 5).select("region", "n", r6("p_hit_uniform", "p_hit"))
+
+
+def unit(theta: Column) -> Column:
+    return F.array(*[(theta[i] - a.lower) / (a.upper - a.lower) for i, a in enumerate(ODD.axes)])
+
+
+def given_surrogate(spark: SparkSession, sf_dir: str) -> surrogate.Surrogate:
+    """Trained on the worst and the best point of every arm and seed: 2 x 6 x 12 points at most, whatever the table's size."""
+    import numpy as np
+
+    ev = views.evaluations(spark, sf_dir).where("margin is not null").select("arm", "seed", F.struct("margin", "point_id", unit(F.col("theta")).alias("u")).alias("x"))
+    ends = ev.groupBy("arm", "seed").agg(F.min("x").alias("worst"), F.max("x").alias("best"))
+    rows = ends.select(F.explode(F.array("worst", "best")).alias("x")).select("x.*").distinct().orderBy("point_id").collect()
+    points = np.array([r["u"] for r in rows], float).reshape(-1, 3)
+    return surrogate.Surrogate.given(points, np.array([r["margin"] for r in rows], float), np.array([0.2, 0.4, 0.4]))
+
+
+def scored_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = reference(spark, sf_dir).select("point_id", unit(F.col("theta")).alias("u"))
+    return surrogate.score_pool(pool, given_surrogate(spark, sf_dir))
+
+
+@query("f9_diverse_batch")
+def _(spark, sf_dir):
+    ready(spark)
+    score = importance.binary_entropy(importance.failure_probability(F.col("mu"), F.col("sigma")))
+    return surrogate.diverse_batch(scored_pool(spark, sf_dir).withColumn("score", score), 16, 0.5 / math.sqrt(3))
+
+
+@query("f10_posterior")
+def _(spark, sf_dir):
+    return scored_pool(spark, sf_dir).select("point_id", "mu", "sigma")
+
+
+@query("f11_integrated_probability")
+def _(spark, sf_dir):
+    return surrogate.integrated_probability(scored_pool(spark, sf_dir))
+
+
+@query("f12_axis_importance", f"""WITH {views.EVALUATIONS}, le AS (SELECT 'quantity' AS name, stddev_pop((t0 - 1) / 49.0::DOUBLE) AS l FROM ev UNION ALL SELECT 'discount', stddev_pop(t1 / 0.10::DOUBLE) FROM ev UNION ALL SELECT 'tax', stddev_pop(t2 / 0.08::DOUBLE) FROM ev),
+iv AS (SELECT name, 1 / greatest(l, 1e-9) AS v FROM le) SELECT name, round(v / sum(v) OVER (), 6) AS importance FROM iv""")
+def _(spark, sf_dir):
+    u = unit(F.col("theta"))
+    spread = views.evaluations(spark, sf_dir).agg(*[F.stddev_pop(u[i]).alias(a.name) for i, a in enumerate(ODD.axes)])
+    lengths = spread.select(F.explode(F.array(*[F.struct(F.lit(a.name).alias("name"), F.col(a.name).alias("length")) for a in ODD.axes])).alias("x")).select("x.*")
+    return surrogate.axis_importance(lengths).select("name", r6("importance", "importance"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which arm yields most rare failures per 100 valid runs?"""
     return ranking.leaderboard(ranking.arm_scores(scored(spark, sf_dir)), "rare_per_100")
