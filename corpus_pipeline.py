@@ -51,7 +51,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The tokeniser and the similarity classes have no SQL form; tests/llm/test_pipeline.py has a brute-force version.
+#: The tokeniser and the similarity classes have no SQL form; test_pipeline in tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
