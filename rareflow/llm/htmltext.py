@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,6 +36,8 @@ FURNITURE = frozenset(
 )
 #: An element of these kinds that holds the content region is the article.
 ARTICLES = frozenset(("article", "main"))
+#: Only these can be the region of a page without an article; a paragraph, heading, list, table or inline element cannot.
+CONTAINERS = frozenset("html body div section center td".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Their start ends an open paragraph.
@@ -51,6 +54,7 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.numbered = self.furniture = 0
         self.articles: list[int] = []
+        self.containers: set[int] = set()
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -106,6 +110,8 @@ class Lines(HTMLParser):
         self.numbered += 1
         furniture = self.marked(tag, attrs)
         self.furniture += furniture
+        if tag in CONTAINERS:
+            self.containers.add(self.numbered)
         if tag in ARTICLES or ("role", "main") in attrs or ("itemprop", "articleBody") in attrs:
             self.articles.append(self.numbered)
         self.open.append((tag, furniture, self.numbered))
@@ -157,8 +163,8 @@ def main_text(html: str) -> str:
     """The article of one page: its blocks in page order, joined by newlines; empty if there is none.
 
     Every line's text-to-tag ratio is smoothed along the page; the lines of the upper cluster vote with their length
-    for the region they stand in: the outermost article or main element if any, else the innermost container that
-    holds nearly all of their text. Every line of that region which is not furniture is kept, whatever its own ratio.
+    for the region they stand in: the outermost article or main element if any, else the innermost block container of
+    two lines or more that holds nearly all of their text (around a single line it is a paragraph by another name). Every line of that region which is not furniture is kept, whatever its own ratio.
     """
     parser = Lines()
     parser.feed(html)
@@ -177,13 +183,15 @@ def main_text(html: str) -> str:
         top = next(a for a, n in article_mass.items() if n == most)
         return "\n".join(line[0] for line in lines if line[3] == top)
     mass: dict[int, int] = {}
+    held: Counter = Counter()
     total = 0
     for line, d in zip(lines, dense, strict=True):
+        held.update(line[4])
         if d:
             total += len(line[0])
             for number in line[4]:
                 mass[number] = mass.get(number, 0) + len(line[0])
-    region = max((n for n, m in mass.items() if m >= 0.8 * total), default=0)
+    region = max((n for n, m in mass.items() if m >= 0.8 * total and n in parser.containers and held[n] > 1), default=0)
     return "\n".join(line[0] for line in lines if not region or region in line[4])
 
 

@@ -115,6 +115,17 @@ def test_html(spark):
     assert got[5].text == "A <b\nB" and got[5].n_chars == 6
 
 
+def test_html_dominant_paragraph_is_not_the_region():
+    long, other, last = "word " * 180, "other " * 10, "more " * 16
+    parts = f"<h1>A heading of the page</h1><p>{long}</p><p>{other}</p><p>{last}</p>"
+    want = "\n".join(["A heading of the page", long.strip(), other.strip(), last.strip()])
+    nav = "<div><a href=x>Home</a> <a href=y>News</a></div>"
+    for page in (f"<div>{parts}</div>", f"<body>{nav}<div>{parts}</div></body>", f"<div>{parts.replace('<p>', '<div>').replace('</p>', '</div>')}</div>", f"<div>{parts.replace('<p>', '<p><span>')}</div>"):
+        assert htmltext.main_text(page) == want
+    listed = f"<div><h1>Head</h1><ul><li>{long}</li><li>{other}</li></ul><p>{last}</p></div>"
+    assert htmltext.main_text(listed) == "\n".join(["Head", long.strip(), other.strip(), last.strip()])
+
+
 def test_licenses(docs, empty):
     for r in licenses.scan_licenses(docs).collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(TEXTS[r.doc_id]))
