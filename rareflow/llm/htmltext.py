@@ -34,6 +34,18 @@ FURNITURE = frozenset(
     "search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets "
     "complementary contentinfo alert alertdialog form".split()
 )
+#: Those that are ordinary words too: alone, they only count for a container whose text looks like furniture.
+AMBIGUOUS = frozenset(
+    "ad ads advertising alert banner comment consent cookie cookies footer form header login menu modal navigation notice "
+    "notices notification overlay pagination popup promoted related replies reply respond search share sharing social "
+    "sponsor subscribe subscription toolbar widget widgets".split()
+)
+#: Classes that are never slugs of a title, and roles that say what an element is.
+PLAIN_MARKS = {"class": frozenset(("ad", "ads")), "role": frozenset("banner navigation menu menubar search".split())}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | {"p", "pre", "hgroup", "blockquote"}
+#: A container looks like furniture if half of its text is links or it has fewer characters a tag; headings do not count.
+LINK_SHARE, SPARSE = 0.5, 10
 #: An element of these kinds that holds the content region is the article.
 ARTICLES = frozenset(("article", "main"))
 #: Only these can be the region of a page without an article; a paragraph, heading, list, table or inline element cannot.
@@ -45,25 +57,33 @@ _P_ENDS = BLOCKS - frozenset("html head body title option optgroup caption tbody
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, inside furniture, innermost article, path of open containers)."""
+    """Collects lines: (text, tags, inside furniture, outermost article, path of open elements, link characters, heading, tags so far)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # name, furniture, number
-        self.lines: list[tuple[str, int, bool, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, bool, int, tuple[int, ...], int, bool, int]] = []
         self.parts: list[str] = []
-        self.tags = self.numbered = self.furniture = 0
+        self.tags = self.all_tags = self.numbered = self.furniture = self.links = self.link_chars = 0
+        self.doubtful: dict[int, int] = {}  # containers that only an ambiguous word marks, with the tags before them
         self.articles: list[int] = []
         self.containers: set[int] = set()
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.furniture > 0, self.articles[0] if self.articles else 0, tuple(n for _, _, n in self.open)))
+            path, heading = tuple(n for _, _, n in self.open), any(n in HEADINGS for n, _, _ in self.open)
+            self.lines.append((text, self.tags, self.furniture > 0, self.articles[0] if self.articles else 0, path, self.link_chars, heading, self.all_tags))
             self.tags = 0
+        self.link_chars = 0
         self.parts.clear()
 
     def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether the element is furniture for certain; a container that may be is noted in ``doubtful``.
+
+        An article's headings and paragraphs are not marked by their ids, nor are its own headers.
+        """
+        doubtful = False
         if tag in OUTSIDE or tag == "header" and not self.articles:
             return True
         for name, value in attrs:
@@ -72,11 +92,30 @@ class Lines(HTMLParser):
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
             if name in ("class", "id", "role") and value and tag not in ("html", "body", *ARTICLES):
-                words = SPLIT.split(CAMEL.sub(" ", value).lower())
-                if FURNITURE.intersection(words):
+                if name == "id" and self.articles and tag in PARAGRAPHS:
+                    continue
+                words = FURNITURE.intersection(SPLIT.split(CAMEL.sub(" ", value).lower()))
+                if self.articles:
+                    words -= {"header"}
+                if words - AMBIGUOUS or len(words) > 1 and name != "id" or PLAIN_MARKS.get(name, frozenset()).intersection(value.lower().split()):
                     return True
+                doubtful |= bool(words)
+        if doubtful and tag in BLOCKS and tag not in PARAGRAPHS:
+            self.doubtful[self.numbered] = self.all_tags
         return False
 
+    def content(self) -> list[tuple]:
+        """The lines outside furniture, after the text of each doubtful container is known."""
+        lines = [x for x in self.lines if not x[2]]
+        chars, links, tags = Counter(), Counter(), Counter()
+        for text, n_tags, _, _, path, n_links, heading, so_far in lines if self.doubtful else ():
+            for number in () if heading else self.doubtful.keys() & set(path):
+                chars[number] += len(text)
+                links[number] += n_links
+                tags[number] += min(n_tags, so_far - self.doubtful[number])
+        gone = {n for n in chars if links[n] >= LINK_SHARE * chars[n] or chars[n] < SPARSE * max(1, tags[n])}
+        return [x for x in lines if gone.isdisjoint(x[4])] if gone else lines
+
     def close(self) -> None:
         super().close()
         self.end_line()
@@ -85,12 +124,14 @@ class Lines(HTMLParser):
         """Close every element from place ``at`` of the stack on."""
         while len(self.open) > at:
             name, furniture, number = self.open.pop()
+            self.links -= name == "a"
             self.furniture -= furniture
             if self.articles and self.articles[-1] == number:
                 self.articles.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        self.all_tags += 1
         if tag == "br" or tag == "wbr":
             self.parts.append(" " if tag == "br" else "")
             return
@@ -114,10 +155,12 @@ class Lines(HTMLParser):
             self.containers.add(self.numbered)
         if tag in ARTICLES or ("role", "main") in attrs or ("itemprop", "articleBody") in attrs:
             self.articles.append(self.numbered)
+        self.links += tag == "a"
         self.open.append((tag, furniture, self.numbered))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        self.all_tags += 1
         if tag in BLOCKS:
             self.end_line()
         names = [n for n, _, _ in self.open]
@@ -134,6 +177,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.links:
+            self.link_chars += len(" ".join(data.split()))
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -169,7 +214,7 @@ def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [x for x in parser.lines if not x[2]]
+    lines = parser.content()
     if not lines:
         return ""
     ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))

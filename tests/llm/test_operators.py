@@ -126,6 +126,19 @@ def test_html_dominant_paragraph_is_not_the_region():
     assert htmltext.main_text(listed) == "\n".join(["Head", long.strip(), other.strip(), last.strip()])
 
 
+def test_html_furniture_words_of_slugs_and_wrappers():
+    text = "A sentence of the article with enough words to be prose. " * 4
+    links = "".join(f"<li><a href={i}>Other article {i}</a></li>" for i in range(5))
+    page = f"""<body><div class="ad">Buy this</div><article><div class="entry-header"><h1>Title</h1><p>By me</p></div><p>{text}</p>
+<h2 id="related-work">Related work</h2><p id="notice">{text}</p><section id="search"><h2>Search</h2><p>{text}</p></section>
+<div class="form"><h3 id="share">Share</h3></div><div class="related"><h3>Related</h3><ul>{links}</ul></div><div class="share"><span>Tweet</span><span>Mail</span></div>
+<section id="comments" class="comments"><p>I disagree. {text}</p></section><div class="cookie-notice"><p>{text}</p></div><div class="ad"><p>{text}</p></div></article></body>"""
+    one = text.strip()
+    assert htmltext.main_text(page) == "\n".join(["Title", "By me", one, "Related work", one, "Search", one, "Share"])
+    bare = f'<body><div><div class="entry-header"><h1>Title</h1></div><p>{text}</p><p>{text}</p><div class="header"><a href="x">Home</a></div></div></body>'
+    assert htmltext.main_text(bare) == "\n".join(["Title", one, one])
+
+
 def test_licenses(docs, empty):
     for r in licenses.scan_licenses(docs).collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(TEXTS[r.doc_id]))
