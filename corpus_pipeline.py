@@ -20,12 +20,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one with the smallest id.
+    """One row of each near-duplicate group (five-word shingles, similarity 0.8): smallest id, null last, then row key.
 
-    The kept ids grow with the corpus, so the join shuffles at every size. A row with a null id stays out.
+    Every row has a key of its own, so rows without an id stay if they are unique, and rows that share an id are
+    compared as any others. The keyed rows are written once, as each pass must see the same keys. The kept keys grow
+    with the corpus, so the join shuffles at every size.
     """
-    kept = keep(minhash.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi").select(*COLUMNS)
+    rows = keep(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()))
+    groups = minhash.near_duplicates(rows, width=5, percent=80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
+    kept = keep(groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min_by("__row", order).alias("__kept")).select("__kept"))
+    return rows.join(kept.hint("merge"), F.col("__row") == F.col("__kept"), "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

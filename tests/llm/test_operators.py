@@ -285,3 +285,25 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert kept == {0, 12, 13, 15}  # the long clean texts, one of the near copies, none with the passage
+
+
+def test_pipeline_dedup_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as pipeline
+
+    alone, other, twice, third = prose(80), prose(90), prose(100), prose(110)
+    made = [(7, BASE), (5, NEAR), (None, BASE), (None, alone), (None, other), (None, other), (3, twice), (3, twice), (4, third), (4, prose(120)), (4, third), (9, alone), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, "").collect())
+    assert got == Counter([(5, NEAR), (9, alone), (None, other), (3, twice), (4, third), (4, made[9][1]), (None, None), (None, "")])
+    assert pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_keeps_null_ids_and_drops_repeats(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    nameless = prose(200)
+    made = [(1, BASE), (1, BASE), (None, nameless), (None, nameless), (2, TEXTS[13])]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = Counter(r.doc_id for r in pipeline.run(spark, str(tmp_path)).where("piece = 0").collect())
+    assert got == {1: 1, None: 1, 2: 1}
