@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import keep, mix, text_or_empty, texts, word_ids
 
-#: Positions that a mask looks at (1) and ignores (0): weight 6, different gaps.
-MASKS = ("111111", "1101011001", "11001010011", "1110100101")  # fixed values
-#: Aligned words that are compared, and how many of them must be equal; a shorter item is compared whole.
+#: Positions that a mask looks at (1) and ignores (0): weight 6. Each choice of 12 of 16 places holds one of them whole.
+MASKS = ("111111", "11101101", "111010101", "1101001011", "110001100011", "1100100010011")  # fixed values
+#: Aligned words that are compared, and how many of them must be equal; a shorter item or text is compared whole.
 SPAN, NEED = 16, 12
+WEIGHT = min(m.count("1") for m in MASKS)
 #: Benchmark words in one broadcast block; more items make more blocks, each a pass.
 BLOCK_WORDS = 2_000_000
 _MULTIPLIERS = mix(np.arange(101, 133, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -59,6 +60,10 @@ class Seeds:
             for hashes in seed_hashes(ids):
                 for place, h in enumerate(hashes.tolist()):
                     self.at[h].append((k, place))
+        self.short: dict[bytes, list[int]] = defaultdict(list)  # too short for a seed, found only as a whole text
+        for item, ids in self.items:
+            if 0 < len(ids) < WEIGHT:
+                self.short[ids.tobytes()].append(item)
         self.keys = np.array(sorted(self.at), np.uint64)
         self.bits = max(16, min(26, int(len(self.keys) * 16).bit_length()))
         self.bitmap = np.zeros(1 << self.bits, bool)
@@ -73,17 +78,18 @@ class Seeds:
                 for k, at in self.at.get(int(hashes[place]), ()):
                     shifts.add((k, place - at))
         best: dict[int, tuple[int, int]] = {}
+        if len(ids) < WEIGHT:
+            best |= dict.fromkeys(self.short.get(ids.tobytes(), ()), (len(ids), 0))
         for k, shift in shifts:
             item, other = self.items[k]
             lo, hi = max(0, -shift), min(len(other), len(ids) - shift)
-            equal = ids[lo + shift : hi + shift] == other[lo:hi]
-            span = min(SPAN, len(other))
-            if len(equal) < span:
-                continue
+            equal = np.zeros(len(other), bool)  # words of the item beyond the text's edges are not equal
+            equal[lo:hi] = ids[lo + shift : hi + shift] == other[lo:hi]
+            span = min(SPAN, len(other), len(ids))
             run = np.convolve(equal, np.ones(span, int), "valid")
             top = int(run.argmax())
             if run[top] * SPAN >= NEED * span:
-                found = (int(equal.sum()), lo + shift + top)
+                found = (int(equal.sum()), max(0, shift + top))
                 if item not in best or found[0] > best[item][0]:
                     best[item] = found
         return best
@@ -109,8 +115,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_items, items (sorted ids), n_equal (of the best overlap), contaminated.
 
-    A document is contaminated if, on some alignment that a seed hit proposes, 12 of 16 consecutive words equal an
-    item's (three quarters of a shorter item's). Items of fewer than 6 words hold no seed and are never found. Null
+    A document is contaminated if, on some alignment, 12 of 16 consecutive words of an item equal its own; words
+    beyond its edges count as unequal. The masks miss none of the 1820 ways to place 12 of 16. Of an item or a document
+    of fewer than 16 words three quarters must be equal, on an alignment that a seed hit proposes: of the least such
+    ways, masks miss none from 14 words on, 1 of 286 at 13, 26 of 220 at 12, and more below (whole copies of 6 words or
+    more are always hit). An item of fewer than 6 words is only found where it is a document's whole text. Null
     texts overlap nothing; null item ids are left out; null document ids and repeated rows are kept as they are; empty
     tables are fine; other columns are ignored. The benchmark is broadcast in blocks of bounded size, one narrow pass
     over the texts each; several blocks are united by one grouping on row numbers of the input.

@@ -160,6 +160,33 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert decontam.contamination(empty, bench).count() == 0
 
 
+def test_decontamination_of_edges_and_short_texts(spark):
+    item, r = [f"w{i}" for i in range(40)], random.Random(3)
+    noise = [f"n{i}" for i in range(60)]
+    cases = {
+        "whole": item[5:17], "fifteen": item[20:35], "seven": item[3:10], "six": item[34:], "tail first": item[-12:] + noise, "head last": noise + item[:12],
+        "tail of 15": item[-15:] + noise, "one substituted": [*item[5:9], "x", *item[10:18]], "tiny": ["a", "b", "c"],
+    }
+    clean = {"tail of 11": item[-11:] + noise, "11 in the middle": noise + item[10:21] + noise, "tiny part": item[:4], "none": [], "other": ["a", "b", "d"]}
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "a b c"), (3, None)], "item_id long, text string")
+    names = [*cases, *clean]
+    docs = spark.createDataFrame([(i, " ".join((cases | clean)[n])) for i, n in enumerate(names)], "doc_id long, text string")
+    got = {names[x.doc_id]: list(x["items"]) for x in decontam.contamination(docs, bench).collect()}
+    assert got == {n: [2] if n == "tiny" else [1] for n in cases} | dict.fromkeys(clean, [])
+    assert {x.doc_id for x in decontam.drop_contaminated(docs, bench).collect()} == {names.index(n) for n in clean}
+
+
+def test_masks_hit_every_twelve_of_sixteen():
+    import itertools
+
+    item = [f"w{i}" for i in range(16)]
+    seeds = decontam.Seeds([(1, " ".join(item).encode())])
+    noise = [f"n{i}" for i in range(20)]
+    for out in itertools.combinations(range(16), 4):
+        text = noise + ["x" if i in out else w for i, w in enumerate(item)] + noise
+        assert seeds.overlaps(" ".join(text).encode()) == {1: (12, 20)}
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
