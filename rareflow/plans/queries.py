@@ -73,6 +73,12 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("point_id", design.to_bounds(F.col("u"), ODD.lower, ODD.upper).alias("theta"))
 
 
+def operational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws from the operational distribution: the same uniforms through the marginals' inverse CDFs."""
+    u = design.uniform_design(views.table(spark, sf_dir, "orders"), 3, "o_orderkey", salt=11)
+    return u.select("point_id", design.through_odd(F.col("u"), ODD).alias("theta"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = rates.rarity_cut(reference(spark, sf_dir), odd.log_density(ODD, F.col("theta")), 0.10)
     lf = odd.log_density(ODD, F.col("theta"))
@@ -649,7 +655,8 @@ def _(spark, sf_dir):
 
 @query("f11_integrated_probability")
 def _(spark, sf_dir):
-    return surrogate.integrated_probability(scored_pool(spark, sf_dir))
+    draws = operational(spark, sf_dir).select("point_id", unit(F.col("theta")).alias("u"))
+    return surrogate.integrated_probability(surrogate.score_pool(draws, given_surrogate(spark, sf_dir)))
 
 
 @query("f12_axis_importance", f"""WITH {views.EVALUATIONS}, le AS (SELECT 'quantity' AS name, stddev_pop((t0 - 1) / 49.0::DOUBLE) AS l FROM ev UNION ALL SELECT 'discount', stddev_pop(t1 / 0.10::DOUBLE) FROM ev UNION ALL SELECT 'tax', stddev_pop(t2 / 0.08::DOUBLE) FROM ev),

@@ -81,3 +81,27 @@ def test_sampler_verdict(spark):
     got = regions.sampler_verdict(found.select("owner").distinct(), found, spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "region long"))
     assert {r.family: (r.verdict, r.only_lhs, r.only_random) for r in got.collect()} == {"a": ("lhs", 3, 0), "b": ("tie", 1, 1), "d": ("n/a", 0, 0)}
     assert got.where(F.col("family") == "c").count() == 0
+
+
+def test_integrated_probability_is_over_the_operational_distribution(spark):
+    from statistics import NormalDist
+
+    from rareflow.operators import design
+    from rareflow.plans import queries
+    from rareflow.sources import views
+
+    at, z = "/root/testdata/sf0.001", NormalDist()
+    draws = design.uniform_design(views.table(spark, at, "orders"), 3, "o_orderkey", salt=11).collect()
+
+    def ppf(axis, p):
+        a = axis.bounded()
+        if a.family == "uniform":
+            return a.lower + p * (a.upper - a.lower)
+        lo, hi = z.cdf((a.lower - a.mu) / a.sigma), z.cdf((a.upper - a.mu) / a.sigma)
+        return a.mu + a.sigma * z.inv_cdf(lo + p * (hi - lo))
+
+    direct = [(r.point_id, [(ppf(a, p) - a.lower) / (a.upper - a.lower) for a, p in zip(queries.ODD.axes, r.u)]) for r in draws]
+    table = spark.createDataFrame(direct, "point_id long, u array<double>")
+    want = surrogate.integrated_probability(surrogate.score_pool(table, queries.given_surrogate(spark, at))).first()
+    got = queries.QUERIES["f11_integrated_probability"](spark, at).first()
+    assert got.n == want.n == len(direct) and abs(got.p - want.p) < 1e-6
