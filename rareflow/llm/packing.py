@@ -2,13 +2,14 @@
 
 Documents are tokenised and cut into pieces of at most ``capacity`` tokens. Only the histogram of piece lengths (at
 most ``capacity`` numbers, whatever the corpus) reaches the driver. There, best-fit decreasing gives an incumbent, and
-a branch-and-bound over bin completions (undominated fillings around the largest remaining length, pruned by the waste
-that a better solution may still have) tries to beat it until a lower bound is met or its node budget ends. The result
-is a table of bin patterns; every piece finds its bin from its rank among the pieces of its length.
+a branch-and-bound over bin completions (all undominated fillings around the largest remaining length, pruned by the
+waste that a better solution may still have) tries to beat it until a lower bound is met, the tree is exhausted or its
+budget ends. The result is a table of bin patterns; every piece finds its bin from its rank among those of its length.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_right
@@ -93,94 +94,131 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> Solution:
     return done + [(t, tuple(f)) for group in open_bins.values() for t, f in group]
 
 
-def fillings(hist: dict[int, int], lengths: list[int], room: int, wide: int) -> list[tuple[int, list[int]]]:
-    """Up to ``wide`` undominated fillings of ``room``, least waste first: (waste, lengths).
+def undominated(left: dict[int, int], lengths: list[int], chosen: Counter, waste: int) -> bool:
+    """Martello and Toth's test: no item left out may take the place of chosen items that are together no longer.
 
-    Depth first, longest items first. A filling into which a remaining item still fits is dominated and not listed.
+    Such an exchange needs chosen items of a total in [x - waste, x] for an item x left out: the bin it gives is no
+    worse, and what is left over fits wherever x would have gone. Equal totals are no gain but for one item less.
+    """
+    totals = 1  # bit t: some of the chosen items have the total t
+    singles = 0
+    for length, copies in chosen.items():
+        singles |= 1 << length
+        for _ in range(copies):
+            totals |= totals << length
+    for x in lengths:
+        if left[x] - chosen[x] <= 0:
+            continue
+        low = max(1, x - waste)
+        window = (totals >> low) & ((1 << (x - low + 1)) - 1)
+        if window & ~(1 << (x - low)):  # a smaller total that x may replace
+            return False
+        if window and not singles >> x & 1:  # several items of just this total
+            return False
+    return True
+
+
+def fillings(left: dict[int, int], lengths: list[int], room: int, slack: int, steps: list[int]) -> Iterator[tuple[int, Counter]]:
+    """Every undominated filling of ``room`` that wastes at most ``slack``: (waste, copies of each length).
+
+    Depth first, longest items first, so the first ones are those of a best-fit bin. A filling that still has room for
+    a remaining item is not maximal and left out. ``steps`` counts down; the search ends with its budget, not here.
+    """
+
+    reach, total = [], 0  # what all items up to here hold together
+    for length in lengths:
+        total += left[length] * length
+        reach.append(total)
+
+    def go(room: int, at: int, chosen: Counter) -> Iterator[tuple[int, Counter]]:
+        for i in range(min(at, bisect_right(lengths, room) - 1), -1, -1):
+            length = lengths[i]
+            if reach[i] < room - slack or steps[0] <= 0:
+                break
+            for copies in range(min(left[length] - chosen[length], room // length), 0, -1):
+                steps[0] -= 1
+                chosen[length] += copies
+                yield from go(room - copies * length, i - 1, chosen)
+                chosen[length] -= copies
+        if room <= slack and not any(left[x] > chosen[x] for x in lengths[: bisect_right(lengths, room)]):
+            yield room, +chosen
+
+    for waste, chosen in go(room, len(lengths) - 1, Counter()):
+        steps[0] -= len(lengths) // 16  # the test looks at every length
+        if undominated(left, lengths, chosen, waste):
+            yield waste, chosen
+
+
+def complete_bins(hist: dict[int, int], capacity: int, effort: int = 200) -> tuple[Solution, int, bool]:
+    """The best solution found, the lower bound, and whether the solution is proven to be the best.
+
+    Branches on the bin of the longest remaining item: each undominated filling, first in as many equal bins as counts
+    allow, then in one. A branch is cut where its waste leaves no room for a better solution than the incumbent, which
+    is best-fit decreasing at first. Best-fit may meet the bound at once. Otherwise the search ends when the tree is
+    exhausted or after ``effort`` steps for each distinct length and as many for 256 more, whatever the corpus.
     """
-    found: list[tuple[int, list[int]]] = []
-    steps = 0
-
-    def go(room: int, top: int, chosen: list[int], used: Counter) -> None:
-        nonlocal steps
-        at, branched = bisect_right(lengths, min(room, top)) - 1, 0
-        extended = False
-        while at >= 0 and steps < 400 and branched < 4 and not (found and found[-1][0] == 0 and len(found) >= wide):
-            length = lengths[at]
-            at -= 1
-            if hist[length] - used[length] <= 0:
-                continue
-            steps += 1
-            branched += 1
-            extended = True
-            used[length] += 1
-            go(room - length, length, [*chosen, length], used)
-            used[length] -= 1
-        if not extended:
-            found.append((room, chosen))
-
-    go(room, room, [], Counter())
-    unique = {tuple(x): w for w, x in found}
-    return sorted(((w, list(x)) for x, w in unique.items()), key=lambda f: (f[0], len(f[1]), [-x for x in f[1]]))[:wide]
-
-
-def complete_bins(hist: dict[int, int], capacity: int, nodes: int = 4_000, wide: int = 3) -> tuple[Solution, int]:
-    """The best solution found and the lower bound. Equal bins are completed together, as often as counts allow."""
     hist = {k: v for k, v in hist.items() if v > 0}
     if not hist:
-        return [], 0
+        return [], 0, True
     best = best_fit_decreasing(hist, capacity)
     bins, bound = sum(t for t, _ in best), lower_bound(hist, capacity)
     total = sum(k * v for k, v in hist.items())
-    left, lengths = dict(hist), sorted(hist)
-    path: list[tuple[int, Pattern]] = []
-    waste = 0
-    frames: list[list] = []
+    left, lengths, path, waste = dict(hist), sorted(hist), [], 0
+    steps = [effort * (len(hist) + 256)]
+    frames: list[list] = []  # generator of (waste, times, pattern), what is placed now
 
-    def open_frame() -> None:
+    def options() -> Iterator[tuple[int, int, Pattern]]:
         top = lengths[-1]
         left[top] -= 1
-        options = fillings(left, lengths, capacity - top, wide)
-        left[top] += 1
-        frames.append([[(w, [top, *f]) for w, f in options], None])
-
-    def undo(frame: list) -> None:
-        nonlocal waste
-        if frame[1] is not None:
-            times, pattern, w = frame[1]
+        here = list(lengths) if left[top] else lengths[:-1]
+        spare = (bins - 1) * capacity - total - waste
+        found = fillings(left, here, capacity - top, spare, steps)
+        while True:
+            filled = next(found, None)
+            left[top] += 1
+            if filled is None:
+                return
+            w, chosen = filled
+            pattern = tuple(sorted((chosen + Counter([top])).items(), reverse=True))
+            most = min(left[length] // copies for length, copies in pattern)
+            for times in dict.fromkeys((most, 1)):
+                yield w, times, pattern
+            left[top] -= 1
+
+    def place(times: int, pattern: Pattern, sign: int) -> None:
+        for length, copies in pattern:
+            if left[length] == 0:
+                lengths.insert(bisect_right(lengths, length), length)
+            left[length] -= sign * times * copies
+            if left[length] == 0:
+                lengths.remove(length)
+
+    frames.append([options(), None])
+    while frames and bins > bound and steps[0] > 0:
+        made, placed = frames[-1]
+        if placed:
+            w, times, pattern = placed
+            place(times, pattern, -1)
             waste -= times * w
             path.pop()
-            for length, copies in pattern:
-                if left[length] == 0:
-                    lengths.insert(bisect_right(lengths, length), length)
-                left[length] += times * copies
-            frame[1] = None
-
-    open_frame()
-    while frames and nodes > 0 and bins > bound:
-        frame = frames[-1]
-        undo(frame)
-        if not frame[0]:
+            frames[-1][1] = None
+        step = next(made, None)
+        if step is None:
             frames.pop()
             continue
-        w, filled = frame[0].pop(0)
-        pattern = tuple(sorted(Counter(filled).items(), reverse=True))
-        times = min(left[length] // copies for length, copies in pattern)
-        if times == 0 or waste + times * w > (bins - 1) * capacity - total and waste + w > (bins - 1) * capacity - total:
+        w, times, pattern = step
+        if waste + times * w > (bins - 1) * capacity - total:
             continue  # no better solution can waste that much
-        nodes -= 1
-        for length, copies in pattern:
-            left[length] -= times * copies
-            if left[length] == 0:
-                lengths.remove(length)
+        steps[0] -= 1
+        place(times, pattern, 1)
         waste += times * w
         path.append((times, pattern))
-        frame[1] = (times, pattern, w)
+        frames[-1][1] = step
         if lengths:
-            open_frame()
+            frames.append([options(), None])
         elif (n := sum(t for t, _ in path)) < bins:
             bins, best = n, list(path)
-    return best, bound
+    return best, bound, bins == bound or not frames
 
 
 def segments(solution: Solution) -> np.ndarray:
@@ -198,50 +236,57 @@ def segments(solution: Solution) -> np.ndarray:
 
 #: The vocabulary's pre-token pattern (a fixed value of its file).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stands between the runs of a batch; no id has all its bytes set.
+BREAK = b"\xff" * 4
 
 
 class ChunkIds:
     """Token ids of each distinct run of non-space bytes, as the library gives them.
 
     The vocabulary's normaliser and pre-tokeniser never join text across ASCII white space, so a text's ids are the
-    ids of its runs one after another. Both tables are bounded and kept for each Python worker.
+    ids of its runs one after another. A batch's new runs are lowered and cut into pre-tokens together; the library's
+    model is asked once for each new pre-token. Both tables are bounded and kept for each Python worker.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, runs: int = 300_000, pretokens: int = 800_000):
         self.vocabulary = Vocabulary(path)
-        self.tokenizer, self.pattern = self.vocabulary.tokenizer, regex.compile(PRETOKEN)
-        #: scripts for which regex and the library were not seen to agree on every code point go to the library whole
-        self.far = regex.compile("[^\\x00-\\u052f]")
-        self.limit, self.known, self.pretokens = limit, {}, {}
-
-    def _chunk(self, raw: bytes) -> bytes:
-        chunk = raw.decode()
-        if self.far.search(chunk) or self.vocabulary.special is not None and self.vocabulary.special.search(chunk):
-            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        chunk = chunk.lower() if chunk.isascii() else self.tokenizer.normalizer.normalize_str(chunk)
-        out = []
-        for pretoken in self.pattern.findall(chunk):
-            ids = self.pretokens.get(pretoken)
-            if ids is None:
-                if len(self.pretokens) >= self.limit:
-                    self.pretokens.clear()
-                ids = self.pretokens[pretoken] = array("I", [p.id for p in self.vocabulary.pieces(pretoken)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
-
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids."""
-        words, known = text.split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > self.limit:
-            known.clear()
-        for word in words:
-            if word not in known:
-                known[word] = self._chunk(word)
-        return b"".join(map(known.__getitem__, words))
+        self.tokenizer, self.pattern = self.vocabulary.tokenizer, regex.compile(PRETOKEN + "| ")
+        #: scripts for which regex and the library were not seen to agree on every code point, and letters whose lower
+        #: case hangs on their neighbours, go to the library whole
+        self.far = regex.compile("[^\x00-\u036f\u0400-\u052f]")
+        self.limits, self.known, self.pretokens = (runs, pretokens), {}, {" ": BREAK}
+
+    def _learn(self, runs: list[bytes]) -> None:
+        text = b" ".join(runs).decode()
+        special = self.vocabulary.special
+        if self.far.search(text) or special is not None and special.search(text):
+            odd = {r for r in runs if self.far.search(c := r.decode()) or special is not None and special.search(c)}
+            for r in odd:
+                self.known[r] = np.array(self.tokenizer.encode(r.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            runs = [r for r in runs if r not in odd]
+            text = b" ".join(runs).decode()
+        if not runs:
+            return
+        found = self.pattern.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+        pretokens = self.pretokens
+        for pretoken in set(found).difference(pretokens):
+            pretokens[pretoken] = array("I", [p.id for p in self.vocabulary.pieces(pretoken)]).tobytes()
+        self.known.update(zip(runs, b"".join(map(pretokens.__getitem__, found)).split(BREAK), strict=True))
+
+    def ids(self, batch: list[bytes]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        for at in range(0, len(batch), 64):
+            split = [text.split() for text in batch[at : at + 64]]
+            known = self.known
+            if len(known) > self.limits[0]:
+                known.clear()
+            if len(self.pretokens) > self.limits[1]:
+                self.pretokens = {" ": BREAK}
+            new = set().union(*split).difference(known)
+            if new:
+                self._learn(list(new))
+            for words in split:
+                yield b"".join(map(known.__getitem__, words))
 
 
 _LOADED: dict[str, ChunkIds] = {}
@@ -260,8 +305,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
         encoder, end = chunk_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(texts(batch)):
-                ids = encoder.ids(text) + end
+            for i, found in enumerate(encoder.ids(texts(batch))):
+                ids = found + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(i)
@@ -278,7 +323,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id",
-         text_col: str = "text", nodes: int = 4_000) -> DataFrame:
+         text_col: str = "text", effort: int = 200) -> DataFrame:
     """Pack all documents into as few sequences as the search finds; one row per piece.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is the end id alone;
@@ -298,7 +343,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     for p, length, n, first in groups:
         start_of.append((length, p, first, hist[length]))
         hist[length] += n
-    solution, _ = complete_bins(hist, capacity, nodes)
+    solution, _, _ = complete_bins(hist, capacity, effort)
     table = spark.sparkContext.broadcast((segments(solution), np.array(sorted(start_of), dtype=np.int64).reshape(-1, 4)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -216,7 +216,7 @@ def test_packing(docs, empty):
 def test_bin_completion_is_valid_and_bounded(seed):
     r = random.Random(seed)
     hist = Counter(r.choices(range(1, 101), k=200))
-    solution, bound = packing.complete_bins(hist, 100, nodes=2000)
+    solution, bound, proven = packing.complete_bins(hist, 100)
     used = Counter()
     for times, pattern in solution:
         assert sum(x * k for x, k in pattern) <= 100
@@ -224,7 +224,66 @@ def test_bin_completion_is_valid_and_bounded(seed):
             used[x] += times * k
     assert used == hist
     bins = sum(t for t, _ in solution)
-    assert bound <= bins <= sum(t for t, _ in packing.best_fit_decreasing(hist, 100))
+    assert bound <= bins <= sum(t for t, _ in packing.best_fit_decreasing(hist, 100)) and proven == (bins == bound or proven)
+
+
+def fewest_bins(items, capacity):
+    """Over all subsets: the fewest full bins and the least load of the last one."""
+    best = [(len(items) + 1, 0)] * (1 << len(items))
+    best[0] = (1, 0)
+    for m in range(1 << len(items)):
+        for i, x in enumerate(items):
+            if not m >> i & 1:
+                n, load = best[m]
+                best[m | 1 << i] = min(best[m | 1 << i], (n, load + x) if load + x <= capacity else (n + 1, x))
+    return best[-1][0]
+
+
+def test_bin_completion_reaches_the_optimum_and_beats_best_fit():
+    beaten = 0
+    for seed in range(60):
+        r = random.Random(seed)
+        capacity = r.choice([20, 50, 100])
+        items = [r.randint(1, capacity * 3 // 5) for _ in range(10)]
+        solution, _, proven = packing.complete_bins(Counter(items), capacity)
+        bins = sum(t for t, _ in solution)
+        assert proven and bins == fewest_bins(items, capacity)
+        beaten += bins < sum(t for t, _ in packing.best_fit_decreasing(Counter(items), capacity))
+    assert beaten
+    hist = Counter({6: 2, 4: 2, 3: 2, 2: 2, 5: 2})  # 4 bins of 10 hold it exactly
+    assert sum(t for t, _ in packing.complete_bins(hist, 10)[0]) == 4
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_fillings_are_all_that_no_other_dominates(seed):
+    import itertools
+
+    r = random.Random(seed)
+    items = [r.randint(1, 12) for _ in range(8)]
+    room, left = 20, Counter(items)
+    got = {tuple(sorted(c.elements())) for _, c in packing.fillings(dict(left), sorted(left), room, room, [10**6])}
+    every = {tuple(sorted(c)) for n in range(9) for c in itertools.combinations(items, n) if sum(c) <= room}
+
+    def dominates(a, b):  # the items of b, in groups, fit into items of a
+        if not b:
+            return True
+        if not a:
+            return False
+        head, rest = a[0], a[1:]
+        return any(sum(g) <= head and dominates(rest, tuple((Counter(b) - Counter(g)).elements())) for n in range(len(b) + 1) for g in set(itertools.combinations(b, n)))
+
+    assert got <= every
+    for b in every:  # whatever is not listed has a listed filling that is at least as good
+        assert any(dominates(a, b) for a in got)
+
+
+def test_ids_of_runs_are_the_librarys():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder, r = Tokenizer.from_file(path), packing.ChunkIds(path, runs=50, pretokens=80), random.Random(3)
+    pools = ["abcXYZ'sStT \n.,!?019", "éÈüßñ\u0308 \x85aB'", "ДЖаё \u0300б", "ΑΒΣς σ", "日本語 abc", "<|endoftext|> <|startoftext|>a", "\x1c \x0b\x0c\ra İI"]
+    made = ["".join(r.choice(r.choice(pools) if r.random() < 0.3 else pools[k % 7]) for _ in range(r.randint(0, 40))) for k in range(700)]
+    for text, ids in zip(made, encoder.ids([t.encode() for t in made]), strict=True):
+        assert [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)] == library.encode(text, add_special_tokens=False).ids
 
 
 def test_token_counts(docs, empty):
