@@ -1,4 +1,11 @@
-"""Token counts without token ids: count once per distinct pre-token, then sum over each document's frequencies."""
+"""Token counts without token ids: pieces once per distinct pre-token, joined to every document's frequencies.
+
+1. One narrow pass writes each document's pre-token frequencies.
+2. The corpus's distinct pre-tokens are grouped, and the library's model is asked once for each: a table of pieces.
+3. Frequencies are joined to that table and summed by document. The pre-tokens of most documents, a bounded number of
+   bounded length, are a broadcast side, so no frequent pre-token is ever a shuffle key; all others are rare by choice
+   and join by shuffle.
+"""
 
 from __future__ import annotations
 
@@ -10,72 +17,87 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, texts
-from .vocabulary import Vocabulary
+from .common import cpu_partitions, keep, text_or_empty, texts
+from .vocabulary import Vocabulary, loaded
 
-SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 #: The byte-level pre-token pattern of the vocabulary (a fixed value; see the tokenizer folder's PATTERN).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The broadcast side has at most so many pre-tokens of at most so many bytes: 13 MB with its overhead.
+HEAD, HEAD_BYTES = 100_000, 64
 
 
-class PretokenCounts:
-    """Tokens of each distinct pre-token, asked of the library once and remembered up to ``limit`` pre-tokens."""
+def frequencies(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, n_bytes, n_special (special strings, a token each), pretokens, times."""
+    pattern = PRETOKEN
 
-    def __init__(self, path: str, limit: int = 500_000):
-        self.vocabulary = Vocabulary(path)
-        self.tokenizer, self.special = self.vocabulary.tokenizer, self.vocabulary.special
-        self.limit, self.known = limit, {}
-        self.pattern = regex.compile(PRETOKEN)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        special, find = loaded(tokenizer_path).special, regex.compile(pattern).findall
+        for batch in batches:
+            size, n_special, ends, pretokens, times = [], [], [0], [], []
+            for raw in texts(batch):
+                text = raw.decode()
+                if special is None or not special.search(text):
+                    found, n = Counter(find(text)), 0
+                else:
+                    parts = special.split(text)
+                    found, n = Counter(x for part in parts for x in find(part)), len(parts) - 1
+                size.append(len(raw)), n_special.append(n)
+                pretokens.extend(found), times.extend(found.values())
+                ends.append(len(times))
+            at = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(n_special, pa.int64()),
+                 pa.ListArray.from_arrays(at, pa.array(pretokens, pa.string())), pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))],
+                names=["doc_id", "n_bytes", "n_special", "pretokens", "times"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_special long, pretokens array<string>, times array<long>")
 
-    def frequencies(self, text: str) -> tuple[Counter, int]:
-        """Pre-token frequencies of a text, and the count of special strings in it (one token each)."""
-        if self.special is None or not self.special.search(text):
-            return Counter(self.pattern.findall(text)), 0
-        parts = self.special.split(text)
-        found: Counter = Counter()
-        for part in parts:
-            found.update(self.pattern.findall(part))
-        return found, len(parts) - 1
 
-    def total(self, text: str) -> int:
-        frequencies, n = self.frequencies(text)
-        known = self.known
-        for piece, times in frequencies.items():
-            count = known.get(piece)
-            if count is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                count = known[piece] = len(self.vocabulary.pieces(piece))
-            n += times * count
-        return n
+def pieces_of(distinct: DataFrame, tokenizer_path: str) -> DataFrame:
+    """pretoken, docs, pieces: the model's answer for each distinct pre-token (columns pretoken and docs)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary: Vocabulary = loaded(tokenizer_path)
+        for batch in batches:
+            pieces = [len(vocabulary.pieces(p)) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())], names=["pretoken", "docs", "pieces"])
 
-_LOADED: dict[str, PretokenCounts] = {}
+    return distinct.select("pretoken", "docs").mapInArrow(run, "pretoken string, docs long, pieces long")
 
 
-def counts_of(path: str) -> PretokenCounts:
-    """One table for each Python worker; it outlives the task, so later tasks ask the library for new pre-tokens only."""
-    if path not in _LOADED:
-        _LOADED[path] = PretokenCounts(path)
-    return _LOADED[path]
+def head_threshold(counted: DataFrame, head: int) -> int:
+    """The least power of two such that at most ``head`` pre-tokens are in so many documents: 64 numbers reach the driver."""
+    power = F.floor(F.log2(F.col("docs").cast("double"))).cast("int")
+    counts = counted.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()
+    held, least = 0, 64
+    for power_of, n in sorted(((r["power"], r["n"]) for r in counts), reverse=True):
+        held += n
+        if held > head:
+            break
+        least = power_of
+    return 1 << least if least < 63 else (1 << 63) - 1
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, budget: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, budget: int = 1024, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > budget).
 
     Null or empty text gives 0 bytes and 0 tokens; a null id is kept; repeated rows each give a row; an empty table
-    gives an empty result; other columns are ignored. Narrow pass, no shuffle, memory bounded by one batch and the
-    pre-token table.
+    gives an empty result; other columns are ignored. ``head`` bounds the broadcast side; any value gives the same
+    counts. Texts are read once; frequencies and the table of pieces are written in the shared folder.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counts_of(tokenizer_path)
-        for batch in batches:
-            raw = texts(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array([counter.total(t.decode()) for t in raw], pa.int64())],
-                names=["doc_id", "n_bytes", "n_tokens"],
-            )
-
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, SCHEMA).withColumn("over_limit", F.col("n_tokens") > F.lit(budget))
+    held = keep(frequencies(rows, tokenizer_path).withColumn("row", F.monotonically_increasing_id()))
+    distinct = held.select(F.explode("pretokens").alias("pretoken")).groupBy("pretoken").agg(F.count("*").alias("docs"))
+    counted = keep(pieces_of(distinct.repartition(cpu_partitions(docs), "pretoken"), tokenizer_path))
+    frequent = (F.col("docs") >= head_threshold(counted, head)) & (F.octet_length("pretoken") <= HEAD_BYTES)
+    common = counted.where(frequent).select("pretoken", F.col("pieces").alias("known"))
+    rare = counted.where(~frequent).select("pretoken", "pieces")
+    long = held.select("row", F.explode(F.arrays_zip("pretokens", "times")).alias("x")).select("row", F.col("x.pretokens").alias("pretoken"), F.col("x.times").alias("times"))
+    looked_up = long.join(F.broadcast(common), "pretoken", "left")
+    # one row for each document, partial sums first; what the broadcast side does not know goes on to the other join
+    from_head = looked_up.where("known is not null").groupBy("row").agg(F.sum(F.col("times") * F.col("known")).alias("n"))
+    from_tail = looked_up.where("known is null").select("row", "pretoken", "times").join(rare, "pretoken").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("n"))
+    summed = from_head.unionByName(from_tail).groupBy("row").agg(F.sum("n").alias("n"))
+    n_tokens = F.coalesce("n", F.lit(0)) + F.col("n_special")
+    return held.select("row", "doc_id", "n_bytes", "n_special").join(summed, "row", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > F.lit(budget)).alias("over_limit"))

@@ -34,3 +34,13 @@ class Vocabulary:
     def pieces(self, pretoken: str) -> list:
         """The model's pieces of one pre-token; they carry ``id``."""
         return self.model.tokenize(pretoken.encode().decode("latin-1").translate(LETTERS))
+
+
+_LOADED: dict[str, Vocabulary] = {}
+
+
+def loaded(path: str) -> Vocabulary:
+    """One for each Python worker."""
+    if path not in _LOADED:
+        _LOADED[path] = Vocabulary(path)
+    return _LOADED[path]

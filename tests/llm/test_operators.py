@@ -287,10 +287,13 @@ def test_ids_of_runs_are_the_librarys():
         assert [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)] == library.encode(text, add_special_tokens=False).ids
 
 
-def test_token_counts(docs, empty):
+@pytest.mark.parametrize("head", [tokens.HEAD, 3])
+def test_token_counts(docs, empty, head):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    for r in tokens.token_counts(docs, path).collect():
+    got = tokens.token_counts(docs, path, head=head).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows())
+    for r in got:
         text = TEXTS[r.doc_id] or ""
         n = len(t.encode(text, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 1024)
