@@ -22,10 +22,28 @@ from .common import keep
 #: finds the same spans: a run is taken whole from its leftmost start, and a start further right is only shorter.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 KINDS = {"assign": (ASSIGN, 6), "access": (r"AKIA[A-Z0-9]{16,}", 0), "hex": (r"[0-9a-f]{24,}", 0)}
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+#: Runs of key-like characters. A run of fewer than 20 that is a word, a number or one after the other changes its
+#: character class once at most, and no threshold accepts it: its ratio stays below -ln(share). All others are tested.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?!(?:[A-Z]?[a-z]*[0-9]*|[A-Z]*[0-9]*|[0-9]+[A-Za-z]?[a-z]*)(?![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{8,}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 _SPANS = "array<struct<s:int,e:int>>"
 
 
+def before(values: str, zero: str, merge: str) -> str:
+    """SQL: for each element of an array, ``merge`` (of a.at and x) over all elements in front of it.
+
+    Runs inside blocks of about the root of the size, then over the blocks: an array of n copies n ** 1.5 values, where
+    growing one array copies n ** 2.
+    """
+    scan = f"named_struct('at', {merge}, 'out', concat(a.out, array(a.at)))"
+    empty = f"CAST(array() AS array<{'bigint' if zero.endswith('L') else 'int'}>)"
+    width = f"greatest(1, CAST(sqrt(size({values})) AS int))"
+    blocks = f"transform(sequence(0, CAST(greatest(0, ceil(size({values}) / {width}) - 1) AS int)), b -> slice({values}, b * {width} + 1, {width}))"
+    totals = f"transform({blocks}, v -> aggregate(v, named_struct('at', {zero}), (a, x) -> named_struct('at', {merge}), a -> a.at))"
+    starts = f"aggregate({totals}, named_struct('at', {zero}, 'out', {empty}), (a, x) -> {scan}, a -> a.out)"
+    inside = f"aggregate(y.v, named_struct('at', y.at, 'out', {empty}), (a, x) -> {scan}, a -> a.out)"
+    return f"flatten(transform(zip_with({blocks}, {starts}, (v, at) -> named_struct('v', v, 'at', at)), y -> {inside}))"
+
+
 def with_spans(rows: DataFrame, name: str, pattern: str, least: int = 0, text_of_hits: bool = False) -> DataFrame:
     """Add the code point spans of the leftmost non-overlapping matches; group 2 must have ``least`` characters.
 
@@ -40,15 +58,11 @@ def with_spans(rows: DataFrame, name: str, pattern: str, least: int = 0, text_of
         "__groups": F.when(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(2))).otherwise(none) if least else none,
         "__pieces": F.when(found, F.split(text, pattern, -1)).otherwise(none),
     })
-    spans = F.expr(f"""aggregate(
-        CASE WHEN size(__hits) > 0 THEN sequence(0, size(__hits) - 1) ELSE CAST(array() AS array<int>) END,
-        named_struct('at', 0, 'out', CAST(array() AS {kind})),
-        (a, i) -> named_struct(
-            'at', a.at + length(__pieces[i]) + length(__hits[i]),
-            'out', CASE WHEN {wanted} THEN concat(a.out, CAST(array(named_struct('s', a.at + length(__pieces[i]),
-                'e', a.at + length(__pieces[i]) + length(__hits[i]){extra})) AS {kind})) ELSE a.out END),
-        a -> a.out)""")
-    return rows.withColumn(name, spans).drop("__hits", "__groups", "__pieces")
+    rows = rows.withColumn("__long", F.expr("transform(__hits, (h, i) -> length(__pieces[i]) + length(h))"))
+    rows = rows.withColumn("__from", F.expr(f"CASE WHEN size(__long) > 0 THEN {before('__long', '0', 'a.at + x')} ELSE CAST(array() AS array<int>) END"))
+    spans = F.expr(f"""filter(transform(__from, (at, i) -> CASE WHEN {wanted} THEN
+        named_struct('s', at + length(__pieces[i]), 'e', at + __long[i]{extra}) END), x -> x IS NOT NULL)""").cast(kind)
+    return rows.withColumn(name, spans).drop("__hits", "__groups", "__pieces", "__long", "__from")
 
 
 def _normal_tail(z: str) -> str:
@@ -78,11 +92,16 @@ STAY, CLASSES = 0.9, (26, 26, 10, 4)
 def battery(rows: DataFrame, name: str) -> DataFrame:
     """Replace candidate spans (s, e, t) by (s, e, p_random, ratio); the runs themselves are not carried on."""
     alphabet = "CASE " + " ".join(f"WHEN c.t RLIKE '{p}' THEN '{a}'" for p, a in ENCODINGS if p) + f" ELSE '{ENCODINGS[-1][1]}' END"
-    coded = f"""transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'n', CAST(length(c.t) AS double), 'k', CAST(length({alphabet}) AS double),
-        'v', transform(split(c.t, '(?!^)(?!$)'), x -> CAST(instr({alphabet}, x) - 1 AS double)),
-        'c', transform(split(c.t, '(?!^)(?!$)'), x -> CASE WHEN x BETWEEN 'a' AND 'z' THEN 0 WHEN x BETWEEN 'A' AND 'Z' THEN 1 WHEN x BETWEEN '0' AND '9' THEN 2 ELSE 3 END)))"""
-    counted = """transform(__coded, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'k', c.k,
-        'squares', aggregate(array_distinct(c.v), 0D, (a, x) -> a + power(size(filter(c.v, y -> y = x)), 2)),
+    # each step reads what the one before bound, so nothing of a whole run is computed for each of its characters
+    named = f"transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'a', {alphabet}, 'x', split(c.t, '')))"
+    coded = """transform(__named, c -> named_struct('s', c.s, 'e', c.e, 'n', CAST(size(c.x) AS double), 'k', CAST(length(c.a) AS double),
+        'v', transform(c.x, x -> CAST(instr(c.a, x) - 1 AS double)),
+        'c', transform(c.x, x -> CASE WHEN x BETWEEN 'a' AND 'z' THEN 0 WHEN x BETWEEN 'A' AND 'Z' THEN 1 WHEN x BETWEEN '0' AND '9' THEN 2 ELSE 3 END)))"""
+    ends = """transform(__coded, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'k', c.k, 'v', c.v, 'c', c.c, 'sorted', array_sort(c.v)))"""
+    cut = """transform(__ends, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'k', c.k, 'v', c.v, 'c', c.c, 'last', filter(
+        transform(c.sorted, (x, i) -> CASE WHEN i + 1 = size(c.sorted) OR x != c.sorted[i + 1] THEN i + 1 END), i -> i IS NOT NULL)))"""
+    counted = """transform(__cut, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'k', c.k,
+        'squares', aggregate(transform(c.last, (x, i) -> x - CASE WHEN i > 0 THEN c.last[i - 1] ELSE 0 END), 0D, (a, x) -> a + power(x, 2)),
         'runs', 1 + size(filter(c.v, (x, i) -> i > 0 AND (x * 2 < c.k) != (c.v[i - 1] * 2 < c.k))),
         'serial', aggregate(transform(slice(c.v, 2, size(c.v)), (x, i) -> (x - (c.k - 1) / 2) * (c.v[i] - (c.k - 1) / 2)), 0D, (a, x) -> a + x),
         'changes', size(filter(c.c, (x, i) -> i > 0 AND x != c.c[i - 1])),
@@ -94,7 +113,10 @@ def battery(rows: DataFrame, name: str) -> DataFrame:
     p = f"least(1D, 3 * least({_normal_tail(chi)}, 2 * {_normal_tail(runs)}, 2 * {_normal_tail(serial)}))"
     ratio = f"c.n * ln(1 / c.k) - ({math.log(1 / 4)!r} + c.changes * {math.log((1 - STAY) / 3)!r} + (c.n - 1 - c.changes) * {math.log(STAY)!r} + c.inside)"
     scored = f"transform(__counted, c -> named_struct('s', c.s, 'e', c.e, 'p_random', {p}, 'ratio', {ratio}))"
-    return rows.withColumn("__coded", F.expr(coded)).withColumn("__counted", F.expr(counted)).withColumn(name, F.expr(scored)).drop("__coded", "__counted")
+    steps = {"__named": named, "__coded": coded, "__ends": ends, "__cut": cut, "__counted": counted, name: scored}
+    for step, sql in steps.items():
+        rows = rows.withColumn(step, F.expr(sql))
+    return rows.drop(*[x for x in steps if x != name])
 
 
 def scanned(rows: DataFrame) -> DataFrame:
@@ -120,17 +142,25 @@ def discovery_threshold(candidates: DataFrame, alpha: float, share: float) -> fl
     return least
 
 
-def all_spans(alpha: float, threshold: float) -> tuple[Column, Column]:
-    """Base spans and all spans, as sorted arrays of (s, order, e, kind)."""
+def with_all_spans(rows: DataFrame, alpha: float, threshold: float) -> DataFrame:
+    """Add __base and __every: base spans and all spans, as sorted arrays of (s, order, e, kind).
+
+    A candidate counts where no base span overlaps it. In the array of candidates and of one kind's spans by start, a
+    candidate's place less its own number is the number of spans before it, so its two neighbours are known.
+    """
 
     def labelled(kind: str, order: int) -> str:
         return f"transform({kind}, c -> named_struct('s', c.s, 'order', {order}, 'e', c.e, 'kind', '{kind}'))"
 
-    base = "concat(" + ", ".join(labelled(k, i) for i, k in enumerate(KINDS)) + ")"
     limit = "false" if math.isinf(threshold) else f"c.ratio >= {threshold}D"
-    clear = " AND ".join(f"NOT exists({k}, b -> b.s < c.e AND c.s < b.e)" for k in KINDS)
-    more = f"transform(filter(candidates, c -> c.p_random >= {alpha}D AND {limit} AND {clear}), c -> named_struct('s', c.s, 'order', {len(KINDS)}, 'e', c.e, 'kind', 'random'))"
-    return F.expr(f"array_sort({base})"), F.expr(f"array_sort(concat({base}, {more}))")
+    rows = rows.withColumn("__base", F.expr("array_sort(concat(" + ", ".join(labelled(k, i) for i, k in enumerate(KINDS)) + "))"))
+    rows = rows.withColumn("__free", F.expr(f"transform(filter(candidates, c -> c.p_random >= {alpha}D AND {limit}), c -> named_struct('s', c.s, 'e', c.e))"))
+    for kind in KINDS:
+        mixed = f"array_sort(concat(transform({kind}, b -> named_struct('s', b.s, 'mine', 0, 'e', b.e, 'i', 0)), transform(__free, (c, i) -> named_struct('s', c.s, 'mine', 1, 'e', c.e, 'i', i))))"
+        clear = f"u.mine = 1 AND (p - u.i <= 0 OR {kind}[p - u.i - 1].e <= u.s) AND (p - u.i >= size({kind}) OR {kind}[p - u.i].s >= u.e)"
+        rows = rows.withColumn("__free", F.expr(f"CASE WHEN size({kind}) = 0 OR size(__free) = 0 THEN __free ELSE transform(filter({mixed}, (u, p) -> {clear}), u -> named_struct('s', u.s, 'e', u.e)) END"))
+    more = f"transform(__free, c -> named_struct('s', c.s, 'order', {len(KINDS)}, 'e', c.e, 'kind', 'random'))"
+    return rows.withColumn("__every", F.expr(f"array_sort(concat(__base, {more}))")).drop("__free")
 
 
 def joined(spans: str) -> Column:
@@ -148,8 +178,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = keep(scanned(rows).drop("text"))
-    base, every = all_spans(alpha, discovery_threshold(found, alpha, share))
-    out = found.withColumn("__base", base).withColumn("__every", every)
+    out = with_all_spans(found, alpha, discovery_threshold(found, alpha, share))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(joined("__base").cast("binary"), 256).alias("base_sha256"), joined("__every").alias("spans"))
 
@@ -162,11 +191,14 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", alph
     columns, original = docs.columns, "__original"
     rows = docs.withColumn(original, F.struct(*[F.col(c) for c in columns])).select(original, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     only = keep(scanned(rows.select("text")).select("candidates"))
-    _, every = all_spans(alpha, discovery_threshold(only, alpha, share))
-    kept = F.expr(f"""aggregate(__every, named_struct('at', 0, 'out', ''), (a, c) -> named_struct(
-        'at', greatest(a.at, c.e),
-        'out', CASE WHEN c.s < a.at THEN a.out ELSE concat(a.out, substring(text, a.at + 1, c.s - a.at), '{mask}') END),
-        a -> concat(a.out, substring(text, a.at + 1, greatest(length(text) - a.at, 0))))""")
-    out = scanned(rows).withColumn("__every", every)
+    out = with_all_spans(scanned(rows), alpha, discovery_threshold(only, alpha, share))
+    # characters and the places to which the spans in front of each span reach; a slice costs its own length
+    hit = F.size("__every") > 0
+    out = out.withColumn("__chars", F.when(hit, F.split("text", ""))).withColumn("__ends", F.when(hit, F.expr("transform(__every, c -> c.e)")))
+    out = out.withColumn("__reach", F.when(hit, F.expr(before("__ends", "0", "greatest(a.at, x)"))))
+    pieces = f"""concat(transform(__every, (c, i) -> CASE WHEN c.s < __reach[i] THEN '' ELSE
+        concat(array_join(slice(__chars, __reach[i] + 1, c.s - __reach[i]), ''), '{mask}') END),
+        array(array_join(slice(__chars, array_max(__ends) + 1, size(__chars)), '')))"""
+    kept = F.array_join(F.expr(pieces), "")
     clean = F.when(F.size("__every") > 0, kept).otherwise(F.col(f"{original}.{text_col}"))
     return out.select(*[clean.alias(c) if c == text_col else F.col(f"{original}.{c}").alias(c) for c in columns])
