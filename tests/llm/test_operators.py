@@ -149,14 +149,15 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
-def test_decontamination(spark, docs, empty, monkeypatch):
+def test_decontamination(spark, docs, empty):
     item = PASSAGE.split()
     item[7] = item[21] = item[40] = "swapped"
     bench = spark.createDataFrame([(1, " ".join(item)), (2, prose(40)), (None, BASE), (3, None), (4, TEXTS[15][:200])], "item_id long, text string")
-    for block in (2_000_000, 10):
-        monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
-        got = {r.doc_id: list(r["items"]) for r in decontam.contamination(docs, bench).collect()}
+    for bits in (decontam.BITS, 8):  # the small bitmap lets most places through to the join
+        got = {r.doc_id: list(r["items"]) for r in decontam.contamination(docs, bench, bits=bits).collect()}
         assert {d: x for d, x in got.items() if x} == {3: [1], 4: [1], 15: [4]}
+    assert Counter(r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()) == Counter(i for i in range(len(TEXTS)) if i not in (3, 4, 15))
+    assert decontam.drop_contaminated(docs, bench).columns == docs.columns
     assert decontam.contamination(empty, bench).count() == 0
 
 
@@ -179,12 +180,57 @@ def test_decontamination_of_edges_and_short_texts(spark):
 def test_masks_hit_every_twelve_of_sixteen():
     import itertools
 
-    item = [f"w{i}" for i in range(16)]
-    seeds = decontam.Seeds([(1, " ".join(item).encode())])
-    noise = [f"n{i}" for i in range(20)]
+    import numpy as np
+
+    places = [[k for k, bit in enumerate(m) if bit == "1"] for m in decontam.MASKS]
     for out in itertools.combinations(range(16), 4):
-        text = noise + ["x" if i in out else w for i, w in enumerate(item)] + noise
-        assert seeds.overlaps(" ".join(text).encode()) == {1: (12, 20)}
+        assert any(not {k + at for k in place} & set(out) for place, m in zip(places, decontam.MASKS) for at in range(17 - len(m)))
+    ids = np.arange(1, 41, dtype=np.uint64)
+    for mask, hashes in zip(decontam.MASKS, decontam.seed_hashes(ids)):  # words under the mask's zeros do not matter
+        other = ids.copy()
+        other[[k + 5 for k, bit in enumerate(mask) if bit == "0"]] += np.uint64(1000)
+        assert decontam.seed_hashes(other, (mask,))[0][5] == hashes[5] and len(hashes) == 41 - len(mask)
+
+
+def overlap_by_hand(text, item):
+    """Whether 12 of 16 words (three quarters of a shorter one) agree on any alignment at all."""
+    span = min(16, len(item), len(text))
+    for shift in range(-len(item), len(text) + 1):
+        equal = [0 <= k + shift < len(text) and text[k + shift] == w for k, w in enumerate(item)]
+        if any(sum(equal[k : k + span]) * 16 >= 12 * span for k in range(len(item) - span + 1)):
+            return True
+    return False
+
+
+def test_decontamination_against_every_alignment(spark):
+    r = random.Random(17)
+    items = [[f"v{r.randint(0, 400)}" for _ in range(r.randint(16, 60))] for _ in range(30)]
+    made = []
+    for _ in range(300):  # passages at the limit of what counts, and a little beyond it, inside noise
+        item = r.choice(items)
+        at = r.randint(0, len(item) - 16)
+        part = item[at : at + 16]
+        for k in r.sample(range(16), r.randint(2, 6)):
+            part[k] = f"n{r.randint(0, 400)}"
+        made.append([f"n{r.randint(0, 400)}" for _ in range(r.randint(0, 40))] + part + [f"n{r.randint(0, 400)}" for _ in range(r.randint(0, 40))])
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(made)], "doc_id long, text string").repartition(3)
+    want = {d: {k for k, x in enumerate(items) if overlap_by_hand(t, x)} for d, t in enumerate(made)}
+    got = {x.doc_id: set(x["items"]) for x in decontam.contamination(docs, bench).collect()}
+    links = sum(map(len, want.values()))
+    assert all(got[d] <= want[d] for d in want) and sum(len(got[d]) for d in want) >= 0.99 * links and links > 100
+    assert got == want
+
+
+def test_decontamination_of_short_items_nulls_and_repeats(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "Omega!"), (2, "psi chi"), (None, "x y z"), (4, None), (5, "")], "item_id long, text string")
+    made = [(1, "so alpha, Beta gamma it is"), (1, "so alpha, Beta gamma it is"), (None, "an omega."), (3, "alpha beta delta gamma"), (4, None), (5, ""), (6, "x y z"), (7, "psi. chi"), (None, "clean")]
+    docs = spark.createDataFrame([(i, t, "c", 0, True) for i, t in made], "doc_id long, text string, hits string, row int, body boolean")
+    got = Counter((r.doc_id, tuple(r["items"]), r.contaminated) for r in decontam.contamination(docs, bench).collect())
+    assert got == Counter([(1, (1,), True)] * 2 + [(None, (2,), True), (3, (), False), (4, (), False), (5, (), False), (6, (), False), (7, (2,), True), (None, (), False)])
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([made[3], made[4], made[5], made[6], made[8]])
+    assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
 def test_packing(docs, empty):
