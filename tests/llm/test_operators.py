@@ -82,15 +82,14 @@ def test_hilbert_steps_are_neighbours(dims, bits):
         last = x
 
 
-@pytest.mark.parametrize("limit", [256, 0])
-def test_substring(docs, empty, limit, monkeypatch):
-    monkeypatch.setattr(substring, "GROUP", limit)
+@pytest.mark.parametrize("limit", [256, 2, 0])
+def test_substring(docs, empty, limit):
     first = {}
     for i, t in enumerate(TEXTS):
         w = words(t)
         for k in range(len(w) - 49):
             first.setdefault(tuple(w[k : k + 50]), i)
-    for r in substring.digest(substring.drop_repeats(docs)).collect():
+    for r in substring.digest(substring.drop_repeats(docs, group=limit)).collect():
         w = words(TEXTS[r.doc_id])
         gone = set()
         for k in range(len(w) - 49):
@@ -101,6 +100,34 @@ def test_substring(docs, empty, limit, monkeypatch):
     assert substring.drop_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [256, 3])
+def test_substring_of_many_variants(spark, limit):
+    """A hot passage inside texts that differ all around it, cut at all lengths, so that groups are split over and over."""
+    r = random.Random(8)
+    passage = [f"p{k % 60}" for k in range(90)]
+    made = []
+    for i in range(40):
+        lo, hi = sorted(r.sample(range(90), 2))
+        made.append([f"a{r.randint(0, 9)}" for _ in range(r.randint(0, 60))] + passage[lo:hi] + [f"b{r.randint(0, 9)}" for _ in range(r.randint(0, 60))])
+    made += [["z"] * 120, ["z"] * 70, passage, passage]
+    texts_ = [" ".join(x) for x in made]
+    docs = spark.createDataFrame([*enumerate(texts_), (None, texts_[-1]), (3, texts_[3]), (3, "short"), (3, " ".join(["y"] * 60))], "doc_id long, text string").repartition(3)
+    first = {}
+    for i, w in enumerate(made):
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    got = substring.digest(substring.drop_repeats(docs, group=limit)).collect()
+    assert Counter(x.doc_id for x in got) == Counter([*range(len(made)), None, 3, 3, 3])
+    for x in got:
+        w = made[-1] if x.doc_id is None else made[x.doc_id]
+        if x.doc_id == 3 and x.n_words in (1, 60) and x.n_words != len(w):
+            assert x.n_removed == 0
+            continue
+        gone = {j for k in range(len(w) - 49) if x.doc_id is not None and first[tuple(w[k : k + 50])] < x.doc_id for j in range(k, k + 50)}
+        kept = " ".join(t for j, t in enumerate(w) if j not in gone)
+        assert (x.n_words, x.n_removed, x.kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><header>Top</header><nav><a>Menu</a></nav>
 <div class="cookie-notice">We use cookies</div><div id="wrap"><h1>Head &amp; line</h1><p>First <b>bold</b>&nbsp;text that is long enough to count
 as prose, with words.<p>Second paragraph<br>also long enough to be dense text for the ratio, surely.<p>End.</div><aside>Side</aside>
