@@ -1,11 +1,14 @@
 """Near-duplicate classes by fast similarity sketching, banding and exact verification.
 
-1. One narrow pass gives each document a fingerprint of its shingle set and a sketch cut into bands.
-2. Documents with equal sets collapse to their smallest id; only these representatives go on.
-3. Bands with several representatives are buckets; buckets with the same members count once. First every member is
-   paired with the bucket's best-connected member only. Pairs are verified on the full sets, links become components.
-4. Buckets whose members are still in different components are compared whole, inside tasks, a pair of bounded blocks
-   at a time. Only links that join components leave a task, never all pairs, and no pair of a bucket goes untested.
+1. One narrow pass gives each row a key, a fingerprint of its shingle set and a sketch cut into bands, and keeps the
+   compressed text beside them.
+2. Rows with equal sets collapse to one representative; only these go on.
+3. Bands with several representatives are buckets; buckets with the same members count once. Every member is paired
+   with the bucket's best-connected member, then, where a bucket still mixes components, with the best-connected one
+   outside that member's component, and so on for a few rounds. Pairs are verified on the full sets, links become
+   components. A member's text travels once a round; a centre's only to where its members are.
+4. Buckets that still mix components are compared whole, inside tasks, a pair of bounded blocks at a time. Only links
+   that join components leave a task, never all pairs, and no pair of a bucket goes untested.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, keep, mix, signed, text_or_empty, texts, word_ids
 
 COORDINATES, BANDS = 128, 32
+#: Star rounds before what is left is compared whole, and shingles in a block of that (8 bytes each).
+ROUNDS, BLOCK = 3, 400_000
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -64,42 +69,34 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's fingerprint, and the bands (null where the set is empty)."""
+    """doc_id, n_shingles, two halves of the set's fingerprint, the bands, and the lowered text, compressed (null where
+    the set is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            size, first, second, band = [], [], [], []
+            size, first, second, band, body = [], [], [], [], []
             for text in texts(batch):
                 s = shingles(text, width)
                 size.append(len(s))
                 if not len(s):
-                    first.append(None), second.append(None), band.append(None)
+                    first.append(None), second.append(None), band.append(None), body.append(None)
                     continue
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
                 first.append((digest >> 64) - (1 << 63))
                 second.append((digest & ((1 << 64) - 1)) - (1 << 63))
                 band.append(signed(bands(sketch(s))))
+                body.append(press.compress(text.lower()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(band, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(body, pa.binary())],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "body"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
-
-
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and the lowered text, compressed so that a shuffle moves less."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t.lower()) for t in texts(batch)], pa.binary())], names=["doc_id", "body"])
-
-    return docs.mapInArrow(run, "doc_id long, body binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, body binary")
 
 
 def verified(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; many a may share one b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress, known = zstandard.ZstdDecompressor(), {}
@@ -157,56 +154,71 @@ def candidate_members(reps: DataFrame) -> DataFrame:
     return keep(all_members.join(shared, "key").select("key", "doc_id", "size"))
 
 
-def linked_in(sets: list[np.ndarray], comps: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links (places) that join all components which some pair of these sets links: a forest, not every linked pair.
-
-    The sizes of all intersections are one product of the incidence matrix, taken over the shingles that two sets or
-    more hold, a block of columns at a time.
-    """
-    m, sizes = len(sets), np.array([len(x) for x in sets])
-    every = np.concatenate(sets)
-    row = np.repeat(np.arange(m), sizes)
-    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: one product of the incidence matrix, taken over the shingles that two sets or more
+    hold, a block of columns at a time."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row, column = row[times[column] > 1], column[times[column] > 1]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    new = np.r_[False, column[1:] != column[:-1]]
-    column = np.cumsum(new) if len(column) else column
-    both = np.zeros((m, m), np.float32)
-    wide = 4096
+    column = np.cumsum(np.r_[False, column[1:] != column[:-1]]) if len(column) else column
+    both, wide = np.zeros((m, m), np.float32), 4096
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
         lo, hi = np.searchsorted(column, (at, at + wide))
         held = np.zeros((m, wide), np.float32)
         held[row[lo:hi], column[lo:hi] - at] = 1
         both += held @ held.T
-    both = both.astype(np.int64)
-    comp = np.array(comps)
-    enough = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (comp[:, None] != comp[None, :])
+    return both.astype(np.int64)
+
+
+def linked_in(sets: list[np.ndarray], comps: list[int], percent: int, sides: list[int] | None = None, step: int = 512) -> list[tuple[int, int]]:
+    """Links (places) that join all components which some pair of these sets links: a forest, not every linked pair.
+
+    With ``sides`` (0 or 1), only pairs across the sides count. At most 2 * ``step`` sets are compared at a time.
+    """
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
         while (up := parent.get(x, x)) != x:
-            x = up
+            parent[x] = x = parent.get(up, up)
         return x
 
-    found = []
-    for i, j in np.argwhere(np.triu(enough)).tolist():
-        x, y = top(comps[i]), top(comps[j])
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            found.append((i, j))
+    if sides is None:
+        chunks = [range(at, min(at + step, len(sets))) for at in range(0, len(sets), step)]
+        turns = [(x, y) for k, x in enumerate(chunks) for y in chunks[k:]]
+    else:
+        first, second = ([k for k, side in enumerate(sides) if side == want] for want in (0, 1))
+        turns = [(first[x : x + step], second[y : y + step]) for x in range(0, len(first), step) for y in range(0, len(second), step)]
+    sizes, found = np.array([len(x) for x in sets]), []
+    for x, y in turns:
+        here = list(dict.fromkeys([*x, *y]))
+        comp = np.array([top(comps[k]) for k in here])
+        if (comp == comp[0]).all():
+            continue
+        both, size = intersections([sets[k] for k in here]), sizes[here]
+        enough = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (comp[:, None] != comp[None, :])
+        if sides is not None:
+            enough[: len(x), : len(x)] = enough[len(x) :, len(x) :] = False
+        for i, j in np.argwhere(np.triu(enough)).tolist():
+            p, q = top(comps[here[i]]), top(comps[here[j]])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                found.append((here[i], here[j]))
     return found
 
 
 def compared(members: DataFrame, bodies: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Links (a, b) inside the buckets of ``members`` (key, doc_id, comp, size), all pairs compared in tasks.
+    """Links (a, b) inside the buckets of ``members`` (key, doc_id, comp, n_shingles), all pairs compared in tasks.
 
-    A bucket of more than ``block`` members is dealt out as pairs of blocks, so a task holds two blocks at most.
+    A bucket of more than ``block`` shingles is dealt out as pairs of blocks, so a task holds about two blocks.
     """
-    n = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "comp")
+    parts = members.groupBy("key").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
+    dealt = members.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select("key", i.alias("i"), j.alias("j"), "doc_id", "comp", F.when(i < j, (F.col("own") == j).cast("int")).alias("side"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -216,10 +228,11 @@ def compared(members: DataFrame, bodies: DataFrame, width: int, percent: int, bl
         unpress = zstandard.ZstdDecompressor()
         a, b = [], []
         for _, group in groupby(rows(batches), key=lambda r: r[:3]):
-            docs = [(doc, comp, body) for _, _, _, doc, comp, body in group]
-            if len({comp for _, comp, _ in docs}) > 1:
-                sets = [shingles(unpress.decompress(body), width) for _, _, body in docs]
-                for x, y in linked_in(sets, [comp for _, comp, _ in docs], percent):
+            docs = [r[3:] for r in group]
+            if len({comp for _, comp, _, _ in docs}) > 1:
+                sets = [shingles(unpress.decompress(body), width) for *_, body in docs]
+                sides = [side for _, _, side, _ in docs]
+                for x, y in linked_in(sets, [comp for _, comp, _, _ in docs], percent, None if None in sides else sides):
                     a.append(docs[x][0])
                     b.append(docs[y][0])
             if len(a) > 5000:
@@ -227,42 +240,59 @@ def compared(members: DataFrame, bodies: DataFrame, width: int, percent: int, bl
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    held = dealt.join(bodies, "doc_id").select("key", "i", "j", "doc_id", "comp", "body")
+    held = dealt.join(bodies, "doc_id").select("key", "i", "j", "doc_id", "comp", "side", "body")
     return held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     A document's set holds the distinct ``width``-word shingles of its lowered text. Documents with Jaccard similarity
     of ``percent`` / 100 or more are linked (candidates: 32 bands of 4 coordinates, which miss a pair at 0.8 with
     probability 5e-8; links: exact). ``component_id`` is the smallest id reachable and ``kept`` marks it. Null or
-    empty texts have no shingles and stay alone; a null id gets a null component and is kept; repeated rows of one id
-    count as one document and each give a row; an empty table gives an empty result; other columns are ignored.
+    empty texts have no shingles and stay alone; a null id gets a null component and is kept; rows that repeat an id
+    are each compared with their own text, and two of one component give the same answer; an empty table gives an
+    empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    signed_rows = keep(signatures(rows, width))
+    signed_rows = keep(signatures(rows, width).withColumn("row", F.monotonically_increasing_id()))
     full = signed_rows.where("set_a is not null and doc_id is not null")
-    same = keep(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    reps = full.select("doc_id", "set_a", "set_b", "bands").join(same.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
-    members = candidate_members(reps.select("doc_id", "bands"))
+    same = keep(full.groupBy("set_a", "set_b").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")))
+    # from here on, a representative's row key stands for it
+    reps = full.join(same.select(F.col("rep").alias("row")), "row", "left_semi")
+    members = candidate_members(reps.select(F.col("row").alias("doc_id"), "bands"))
     needed = keep(members.groupBy("doc_id").agg(F.sum("size").alias("degree")))
-    bodies = keep(packed_texts(rows.where("doc_id is not null")).join(needed.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    members = keep(members.join(needed, "doc_id").select("key", "doc_id", "size", "degree"))
+    bodies = keep(full.select(F.col("row").alias("doc_id"), "n_shingles", "body").join(needed.select("doc_id"), "doc_id", "left_semi"))
+    members = keep(members.join(needed, "doc_id").join(bodies.select("doc_id", "n_shingles"), "doc_id").select("key", "doc_id", "n_shingles", "size", "degree"))
+    bodies = bodies.select("doc_id", "body")
 
     labels = needed.select("doc_id", F.col("doc_id").alias("comp"))
-    centres = keep(members.groupBy("key").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("centre")))
-    pairs = keep(members.join(centres, "key").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct())
-    labels = keep(components(labels, verified(pairs, bodies, width, percent)))
-    at = keep(members.join(labels, "doc_id"))
-    mixed = keep(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-    links = keep(compared(at.join(mixed, "key").where("size > 2"), bodies, width, percent, block))
+    best = F.struct("degree", -F.col("doc_id"))
+    centres = keep(members.groupBy("key").agg(F.max_by("doc_id", best).alias("centre")))
+    pairs = members.join(centres, "key").where("doc_id <> centre")
+    mixed = None
+    for turn in range(rounds):
+        tried = keep(pairs.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
+        links = keep(verified(tried, bodies, width, percent))
+        if links.limit(1).count():
+            labels = keep(components(labels, links))
+        at = keep(members.where("size > 2").join(labels, "doc_id"))
+        mixed = keep(at.join(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "key"))
+        if turn + 1 == rounds or not mixed.limit(1).count():
+            break
+        # the next centre: the best-connected member outside the components of the centres so far
+        done = keep(centres.join(labels.select(F.col("doc_id").alias("centre"), "comp"), "centre").select("key", "comp"))
+        fresh = mixed.join(done, ["key", "comp"], "left_anti")
+        centres = keep(fresh.groupBy("key").agg(F.max_by("doc_id", best).alias("centre"), F.max_by("comp", best).alias("of")))
+        pairs = mixed.join(centres, "key").where("comp <> of")
+    links = keep(compared(mixed, bodies, width, percent, block))
     if links.limit(1).count():
         labels = keep(components(labels, links))
 
-    named = keep(same.join(labels.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp")))
+    comps = keep(same.join(labels.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"), "least"))
+    named = keep(comps.join(comps.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("set_a", "set_b", "component"))
     return (
         signed_rows.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")))
+        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )

@@ -373,8 +373,8 @@ def test_token_counts(docs, empty, head):
     assert tokens.token_counts(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_near_duplicates(docs, empty, block):
+@pytest.mark.parametrize("block,rounds", [(minhash.BLOCK, 3), (300, 1), (300, 2)])
+def test_near_duplicates(docs, empty, block, rounds):
     sets = {}
     for i, t in enumerate(TEXTS):
         w = words(lower(t))
@@ -385,7 +385,7 @@ def test_near_duplicates(docs, empty, block):
             for b in sets:
                 if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
-    got = minhash.near_duplicates(docs, 4, 80, block=block).collect()
+    got = minhash.near_duplicates(docs, 4, 80, block=block, rounds=rounds).collect()
     assert len(got) == len(rows())
     for r in got:
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], label[r.doc_id] == r.doc_id)
@@ -404,11 +404,51 @@ def test_bucket_links_join_what_pairs_join():
                 x, y = set(sets[a].tolist()), set(sets[b].tolist())
                 if 100 * len(x & y) >= 80 * len(x | y):
                     label[a] = label[b] = min(label[a], label[b])
-    mine = list(range(len(sets)))
-    for a, b in minhash.linked_in(sets, mine[:], 80):
-        old, new = max(mine[a], mine[b]), min(mine[a], mine[b])
-        mine = [new if x == old else x for x in mine]
-    assert mine == label
+    halves = [k % 2 for k in range(len(sets))]
+    for step, split in ((512, False), (7, False), (7, True)):
+        mine = list(range(len(sets)))
+        links = minhash.linked_in(sets, mine[:], 80, step=step)
+        if split:  # the pairs across two halves, and those inside each of them
+            links = minhash.linked_in(sets, mine[:], 80, halves, step)
+            for half in (0, 1):
+                own = [k for k in range(len(sets)) if halves[k] == half]
+                links += [(own[x], own[y]) for x, y in minhash.linked_in([sets[k] for k in own], own, 80)]
+        for a, b in links:
+            old, new = max(mine[a], mine[b]), min(mine[a], mine[b])
+            mine = [new if x == old else x for x in mine]
+        assert mine == label
+
+
+@pytest.mark.parametrize("block,rounds", [(minhash.BLOCK, 3), (2000, 1)])
+def test_near_duplicates_in_mixed_buckets_and_repeated_ids(spark, block, rounds):
+    """Many texts on one template, linked in chains; ids that repeat with other texts; null ids."""
+    r = random.Random(4)
+    template = [f"t{k}" for k in range(100)]
+    made = []
+    for i in range(60):
+        w = template[:]
+        for k in r.sample(range(100), r.choice([1, 2, 3, 8])):
+            w[k] = f"x{r.randint(0, 3)}"
+        made.append((i if i % 7 else 14, " ".join(w)))
+    made += [(None, " ".join(template)), (900, "few words"), (900, "Few  words"), (14, "other text altogether"), (901, None), (901, "")]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    sets = []
+    for _, t in made:
+        w = words(lower(t))
+        sets.append({tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set())
+    label = list(range(len(made)))
+    for _ in made:
+        for a in range(len(made)):
+            for b in range(len(made)):
+                if sets[a] and made[a][0] is not None and made[b][0] is not None and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    least = {}
+    for k, c in enumerate(label):
+        if made[k][0] is not None:
+            least[c] = min(least.get(c, made[k][0]), made[k][0])
+    want = Counter((made[k][0], len(sets[k]), None if made[k][0] is None else least[c], made[k][0] is None or made[k][0] == least[c]) for k, c in enumerate(label))
+    got = Counter((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(docs, 4, 80, block=block, rounds=rounds).collect())
+    assert got == want and len({c for _, _, c, _ in want}) > 3
 
 
 def test_quality(docs, empty):
