@@ -16,30 +16,45 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine, one of our own if it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and sc.master.startswith("local"):
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        elif named is None:
-            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(named)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+_STAGES: list[str] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives later joins a plain scan on that side, so that adaptive
-    execution may split a skewed partition.
+    execution may split a skewed partition. The table stays until ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_tables() -> list[str]:
+    """The tables that ``keep`` has written and nobody has released."""
+    return _STAGES[:]
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete tables in the shared folder, once the results that read them are written."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _STAGES[:] = [p for p in _STAGES if p not in paths]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,10 +1,11 @@
 """Licence scans with a positional index of rare words.
 
-The templates' words are indexed by (template, position). A text's licence words are looked up from the rarest on
-(highest inverse document frequency, counted over the whole corpus). Postings are intersected by relative position: a
-word at place i of the text and place j of a template votes for the alignment i - j. An alignment with enough rare
-words is verified: the template's mandatory phrases must stand where the alignment puts them, give or take a word, and
-its coverage is the score.
+The templates' words are indexed by (template, position). A text's own licence words are looked up from the rarest on
+(highest inverse document frequency, counted over the whole corpus), until every template whose mandatory words the
+text has got its share of lookups. Postings are intersected by relative position: a word at place i of the text and
+place j of a template votes for the alignment i - j. An alignment with half of what was looked up is verified: the
+template's mandatory phrases must stand where the alignment puts them, give or take a word, and its coverage is the
+score.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ TEMPLATES = {
     "unlicense": ("this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     "all-rights-reserved": ("copyright all rights reserved", ("all rights reserved",)),
 }
+#: Rare words looked up for each template that a text may hold, and the share of a template's words that must be there.
+LOOKUPS, COVERED = 4, 0.6
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -86,13 +89,29 @@ class Index:
             for at, word in enumerate(words):
                 self.postings[word].append((label, at))
         self.base = [(p.encode().split(), label) for p, label in BASE.items()]
-        #: the rarest words of each template: an alignment needs one of them, so only these are searched for first
-        self.rare = {label: set(sorted(set(words), key=lambda w: (-self.idf[w], w))[:4]) for label, words in self.words.items()}
-        seek = {w for words in self.rare.values() for w in words} | {phrase[0] for phrase, _ in self.base} | {w for keys in self.keys.values() for k in keys for w in k}
-        self.seek = seek
+        self.must = {label: {w for k in keys for w in k} for label, keys in self.keys.items()}
+        self.seek = {w.encode() for w in VOCABULARY}
         #: a text without any of these has neither a base phrase nor a mandatory phrase
         self.marks = {max(phrase, key=len) for phrase, _ in self.base} | {max(keys[0], key=len) for keys in self.keys.values()}
 
+    def alignments(self, words: list[bytes], hits: list[int]) -> dict[str, list[int]]:
+        """For each template that the text may hold, the places where half of its looked-up weight puts its start."""
+        held: dict[bytes, list[int]] = defaultdict(list)
+        for i in hits:
+            held[words[i]].append(i)
+        wanted = {label: LOOKUPS for label, must in self.must.items() if must <= held.keys()}
+        weight: dict[str, float] = defaultdict(float)
+        votes: dict[str, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+        for word in sorted(held, key=lambda w: (-self.idf[w], w)):
+            if not any(wanted.values()):
+                break
+            for label in {label for label, _ in self.postings.get(word, ()) if wanted.get(label)}:
+                wanted[label] -= 1
+                weight[label] += self.idf[word]
+                for shift in {i - at for of, at in self.postings[word] if of == label for i in held[word]}:
+                    votes[label][shift] += self.idf[word]
+        return {label: [k for k, w in shifts.items() if 2 * (w + shifts.get(k - 1, 0.0) + shifts.get(k + 1, 0.0)) >= weight[label]] for label, shifts in votes.items()}
+
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, set[str], set[str], float]:
         """n_words, n_base, first and last base place, base labels, the method's labels, score."""
         text = text.lower()
@@ -109,23 +128,14 @@ class Index:
                     n_base += 1
                     places.append(i)
                     labels.add(label)
-        votes: dict[str, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-        for i in hits:
-            for label, at in self.postings.get(words[i], ()):
-                if words[i] in self.rare[label]:
-                    votes[label][i - at] += self.idf[words[i]]
         more, score = set(), 1.0 if labels else 0.0
-        for label, shifts in votes.items():
-            needed = 0.5 * sum(self.idf[w] for w in self.rare[label])
-            for shift, weight in shifts.items():
-                near = weight + shifts.get(shift - 1, 0.0) + shifts.get(shift + 1, 0.0)
-                if near < needed:
-                    continue
-                template = self.words[label]
+        for label, shifts in self.alignments(words, hits).items():
+            template = self.words[label]
+            for shift in shifts:
                 part = words[max(0, shift - 1) : max(0, shift + len(template) + 1)]
                 if all(any(part[k : k + len(key)] == key for k in range(len(part) - len(key) + 1)) for key in self.keys[label]):
                     same = sum((Counter(part) & Counter(template)).values()) / len(template)
-                    if same >= 0.6:
+                    if same >= COVERED:
                         more.add(label)
                         score = max(score, same)
         return n, n_base, min(places, default=None), max(places, default=None), labels, more, score

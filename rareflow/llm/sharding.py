@@ -93,6 +93,12 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     The only global steps are one approximate-percentile pass over the metadata, one range sort of narrow rows, and
     one count per sorted partition (as many numbers as partitions reach the driver).
     """
+    placed = _placed(docs, n_shards, id_col, text_col, numeric, categorical, bits, [])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def _placed(docs: DataFrame, n_shards: int, id_col: str, text_col: str, numeric: tuple[str, ...], categorical: tuple[str, ...], bits: int, carried: list[Column]) -> DataFrame:
+    """doc_id, size, text_crc32, hilbert, shard, slot and the carried columns, in curve order inside each partition."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -100,6 +106,7 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
         F.crc32(text.cast("binary")).alias("text_crc32"),
         hilbert_index(_levels(docs, list(numeric), list(categorical), bits), bits).alias("hilbert"),
         F.monotonically_increasing_id().alias("__scan"),
+        *carried,
     )
     keys = ["hilbert", "doc_id", "text_crc32", "__scan"]
     run = keep(narrow.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).drop("__scan"))
@@ -116,12 +123,21 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
         run.withColumn("__rank", rank)
         .withColumn("shard", F.call_function("div", F.col("__rank") * s, n).cast("int"))
         .withColumn("slot", F.col("__rank") - F.call_function("div", F.col("shard") * n + s - F.lit(1), s))
-        .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write whole rows into one folder per shard, in curve order inside each; ids must be unique."""
-    at = placed.select(F.col("doc_id").alias(id_col), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    rows = docs.join(at, id_col).withColumn("shard", F.col("__shard"))
-    rows.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot").drop("__shard", "__slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
+                 numeric: tuple[str, ...] = ("n_chars", "doc_id"), categorical: tuple[str, ...] = ("lang", "source"), bits: int = 4) -> str:
+    """Write whole rows into one folder per shard, as ``hilbert_shards`` places them, in curve order inside each.
+
+    Rows travel through the range sort, so every row is written once: with a null id, repeated or not. All columns keep
+    their names; the folders' column is named ``shard``, with underscores in front where the table has one of that name.
+    Returns that name. An empty table writes no folder.
+    """
+    folder = "shard"
+    while folder in docs.columns:
+        folder = f"_{folder}"
+    placed = _placed(docs, n_shards, id_col, text_col, numeric, categorical, bits, [F.struct(*[F.col(c) for c in docs.columns]).alias("__row")])
+    rows = placed.sortWithinPartitions("shard", "slot").select(*[F.col("__row")[c].alias(c) for c in docs.columns], F.col("shard").alias(folder))
+    rows.write.partitionBy(folder).parquet(path)
+    return folder

@@ -67,6 +67,32 @@ def test_sharding(docs, empty):
     assert sharding.hilbert_shards(empty).count() == 0
 
 
+def test_written_shards_hold_every_row(spark, docs, tmp_path):
+    made = spark.createDataFrame([(None, "é", 1, "en"), (None, None, 2, None), (5, "x", 3, "de"), (5, "x", 3, "de"), (6, "y", 4, "de")], "doc_id long, text string, shard int, lang string")
+    made = made.withColumns({"n_chars": made["doc_id"], "source": made["lang"]})
+    folder = sharding.write_shards(made, str(tmp_path / "a"), 3)
+    got = spark.read.parquet(str(tmp_path / "a"))
+    assert folder == "_shard" and got.columns == [*made.columns, folder]
+    assert Counter(tuple(r)[:-1] for r in got.collect()) == Counter(map(tuple, made.collect()))
+    where = Counter((r.doc_id, r.text_crc32, r.shard) for r in sharding.hilbert_shards(made, 3).collect())
+    assert where == Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r[folder]) for r in got.collect())
+
+
+def test_shards_prune_in_every_dimension(spark):
+    r = random.Random(12)
+    made = [(i, "t", r.randint(0, 10_000), r.choice("abcd"), r.choice("xyz")) for i in range(4000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, n_chars long, lang string, source string").repartition(4)
+    placed = sharding.hilbert_shards(docs, 24, numeric=("n_chars", "doc_id"), categorical=())
+    held = {}
+    for x in placed.collect():
+        held.setdefault(x.shard, []).append((made[x.doc_id][2], x.doc_id))
+    read = 0
+    for _ in range(100):  # boxes of a tenth of each dimension, against the shards' least and greatest values
+        a, b = r.randint(0, 9000), r.randint(0, 3600)
+        read += sum(min(x for x, _ in s) <= a + 1000 and max(x for x, _ in s) >= a and min(y for _, y in s) <= b + 400 and max(y for _, y in s) >= b for s in held.values())
+    assert read / 100 < 0.25 * 24  # sorted by one of the two, all of 24 / 10 + 1 shards for the one and all 24 for the other
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (4, 2)])
 def test_hilbert_steps_are_neighbours(dims, bits):
     place, after = sharding.hilbert_tables(dims)
@@ -176,6 +202,43 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def license_labels_by_hand(w):
+    want = {}
+    for name, (text, keys) in licenses.TEMPLATES.items():
+        t = text.split()
+        for shift in range(-len(t), len(w) + 1):
+            part = w[max(0, shift - 1) : max(0, shift + len(t) + 1)]
+            same = sum((Counter(part) & Counter(t)).values()) / len(t)
+            if same >= licenses.COVERED and all(any(part[k : k + len(key.split())] == key.split() for k in range(len(part))) for key in keys):
+                want[name] = max(same, want.get(name, 0))
+    return want
+
+
+def test_license_labels_against_every_alignment(spark):
+    """Notices with words dropped, swapped or put in, at random places: all templates at all places, without an index."""
+    r, made = random.Random(6), []
+    for _ in range(150):
+        parts = []
+        for name in r.sample(list(licenses.TEMPLATES), r.choice([0, 1, 1, 2, 3])):
+            w = licenses.TEMPLATES[name][0].split()
+            for _ in range(r.choice([0, 0, 1])):
+                k = r.randrange(len(w))
+                w[k : k + 1] = r.choice([[], ["word"], [w[k], "word"]])
+            parts += [*(r.choice(["the", "license", "other", "free", "of", "text"]) for _ in range(r.randint(0, 20))), *w]
+        made.append(" ".join(parts))
+    docs = spark.createDataFrame([*enumerate(made), (None, None), (None, ""), (None, made[3])], "doc_id long, text string").repartition(2)
+    links = found = 0
+    for x in licenses.scan_licenses(docs).collect():
+        if x.doc_id is None:
+            continue
+        want = license_labels_by_hand(made[x.doc_id].split())
+        got = set(filter(None, x.labels.split(","))) - set(filter(None, x.base_labels.split(",")))
+        assert got <= set(want)
+        assert x.score == (1.0 if x.base_labels else pytest.approx(max((want[n] for n in got), default=0.0)))
+        links, found = links + len(want), found + len(got)
+    assert links > 100 and found >= 0.97 * links
+
+
 def test_decontamination(spark, docs, empty):
     item = PASSAGE.split()
     item[7] = item[21] = item[40] = "swapped"
