@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rareflow.llm import decontam, minhash, packing, quality, secrets
-from rareflow.llm.common import keep, read, shared_dir
+from rareflow.llm.common import keep, kept_tables, read, release, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep. Null and empty texts have no words and go; null ids and repeated rows are judged like all others."""
     return quality.drop_low_quality(docs.select(*COLUMNS))
 
 
@@ -34,17 +34,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage. Null texts, null ids and repeated rows stay."""
     return decontam.drop_contaminated(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret masked; n_chars follows the new text."""
+    """All documents, with every secret masked; n_chars follows the new text. Null texts stay null, with null n_chars."""
     return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and place."""
+    """The pieces of all documents, each with its sequence and place. A null text is the end id alone; null ids stay."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
@@ -61,10 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The pieces of what all stages keep. A stage's own tables and its input go once its output is written."""
+    docs, before = read(spark, sf_dir, "documents"), []
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
+        others = set(kept_tables())
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
+        release(spark, *before, *(path for path in kept_tables() if path not in others))
+        before = [f"{base}/{name}"]
     return docs
