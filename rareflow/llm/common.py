@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 _STAGES: list[str] = []
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives later joins a plain scan on that side, so that adaptive
@@ -37,7 +37,7 @@ def keep(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _STAGES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -22,8 +22,10 @@ from .vocabulary import Vocabulary, loaded
 
 #: The byte-level pre-token pattern of the vocabulary (a fixed value; see the tokenizer folder's PATTERN).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The broadcast side has at most so many pre-tokens of at most so many bytes: 13 MB with its overhead.
-HEAD, HEAD_BYTES = 100_000, 64
+#: The broadcast side has at most so many pre-tokens of at most so many bytes: some 40 MB with its overhead.
+HEAD, HEAD_BYTES = 300_000, 64
+#: Pre-tokens of the texts that a task holds as Python strings at a time, but for those of a single text.
+SLICE = 200_000
 
 
 def frequencies(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -32,24 +34,32 @@ def frequencies(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special, find = loaded(tokenizer_path).special, regex.compile(pattern).findall
+        def made(ids: pa.Array, size: list[int], n_special: list[int], ends: list[int], pretokens: list[str], times: list[int]) -> pa.RecordBatch:
+            at = pa.array(ends, pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [ids, pa.array(size, pa.int64()), pa.array(n_special, pa.int64()),
+                 pa.ListArray.from_arrays(at, pa.array(pretokens, pa.string())), pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))],
+                names=["doc_id", "n_bytes", "n_special", "pretokens", "times"],
+            )
+
         for batch in batches:
-            size, n_special, ends, pretokens, times = [], [], [0], [], []
-            for raw in texts(batch):
+            first, held = 0, ([], [], [0], [], [])
+            for i in range(batch.num_rows):
+                (raw,) = texts(batch.slice(i, 1))
                 text = raw.decode()
                 if special is None or not special.search(text):
                     found, n = Counter(find(text)), 0
                 else:
                     parts = special.split(text)
                     found, n = Counter(x for part in parts for x in find(part)), len(parts) - 1
+                size, n_special, ends, pretokens, times = held
                 size.append(len(raw)), n_special.append(n)
                 pretokens.extend(found), times.extend(found.values())
                 ends.append(len(times))
-            at = pa.array(ends, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(n_special, pa.int64()),
-                 pa.ListArray.from_arrays(at, pa.array(pretokens, pa.string())), pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))],
-                names=["doc_id", "n_bytes", "n_special", "pretokens", "times"],
-            )
+                if len(times) >= SLICE:
+                    yield made(batch.column(0).slice(first, i + 1 - first), *held)
+                    first, held = i + 1, ([], [], [0], [], [])
+            yield made(batch.column(0).slice(first), *held)
 
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_special long, pretokens array<string>, times array<long>")
 
@@ -67,16 +77,19 @@ def pieces_of(distinct: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def head_threshold(counted: DataFrame, head: int) -> int:
-    """The least power of two such that at most ``head`` pre-tokens are in so many documents: 64 numbers reach the driver."""
-    power = F.floor(F.log2(F.col("docs").cast("double"))).cast("int")
-    counts = counted.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()
-    held, least = 0, 64
-    for power_of, n in sorted(((r["power"], r["n"]) for r in counts), reverse=True):
+    """About the least number such that at most ``head`` pre-tokens are in so many documents.
+
+    Exact numbers up to 1000, then their two leading digits: about 2500 counts at most reach the driver.
+    """
+    scale = F.pow(F.lit(10.0), F.greatest(F.lit(0), F.length(F.col("docs").cast("string")) - F.lit(3))).cast("long")
+    counts = counted.groupBy((F.floor(F.col("docs") / scale) * scale).alias("least")).agg(F.count("*").alias("n")).collect()
+    held, threshold = 0, (1 << 63) - 1
+    for least, n in sorted(((r["least"], r["n"]) for r in counts), reverse=True):
         held += n
         if held > head:
             break
-        least = power_of
-    return 1 << least if least < 63 else (1 << 63) - 1
+        threshold = least
+    return threshold
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, budget: int = 1024, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
@@ -87,7 +100,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, budget: int = 1024, id_co
     counts. Texts are read once; frequencies and the table of pieces are written in the shared folder.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    held = keep(frequencies(rows, tokenizer_path).withColumn("row", F.monotonically_increasing_id()))
+    held = keep(frequencies(rows, tokenizer_path).withColumn("row", F.monotonically_increasing_id()), "zstd")
     distinct = held.select(F.explode("pretokens").alias("pretoken")).groupBy("pretoken").agg(F.count("*").alias("docs"))
     counted = keep(pieces_of(distinct.repartition(cpu_partitions(docs), "pretoken"), tokenizer_path))
     frequent = (F.col("docs") >= head_threshold(counted, head)) & (F.octet_length("pretoken") <= HEAD_BYTES)
