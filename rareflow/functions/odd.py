@@ -71,6 +71,15 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Published coefficients (fixed values): Hart's CDF as given by West, Acklam's inverse.
+CDF_TOP = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+CDF_LOW = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+MIDDLE_TOP = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+MIDDLE_LOW = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+EDGE_TOP = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+EDGE_LOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
 def normal_cdf(z: Column) -> Column:
     """Hart's rational approximation as given by West (double precision)."""
     return bound(z, _normal_cdf)
@@ -79,10 +88,10 @@ def normal_cdf(z: Column) -> Column:
 def _normal_cdf(z: Column) -> Column:
     a = F.abs(z)
     top = F.lit(0.0)
-    for c in (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376):
+    for c in CDF_TOP:
         top = top * a + c
     low = F.lit(0.0)
-    for c in (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752):
+    for c in CDF_LOW:
         low = low * a + c
     far = a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))
     tail = F.exp(-a * a / 2) * F.when(a < 7.07106781186547, top / low).otherwise(1 / (far * math.sqrt(2 * math.pi)))
@@ -92,11 +101,6 @@ def _normal_cdf(z: Column) -> Column:
 
 def normal_ppf(p: Column) -> Column:
     """Acklam's rational approximation with one Halley step, relative error about 1e-15 in the middle."""
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
-
     def poly(coefficients: tuple[float, ...], x: Column) -> Column:
         out = F.lit(0.0)
         for k in coefficients:
@@ -105,8 +109,8 @@ def normal_ppf(p: Column) -> Column:
 
     def start(p: Column) -> Column:
         q = p - 0.5
-        middle = bound(q * q, lambda r: poly(a, r) / poly(b, r)) * q
-        edge = bound(F.sqrt(-2 * F.log(F.least(p, 1 - p))), lambda low: poly(c, low) / poly(d, low))
+        middle = bound(q * q, lambda r: poly(MIDDLE_TOP, r) / poly(MIDDLE_LOW, r)) * q
+        edge = bound(F.sqrt(-2 * F.log(F.least(p, 1 - p))), lambda low: poly(EDGE_TOP, low) / poly(EDGE_LOW, low))
         return F.when(F.abs(q) <= 0.47575, middle).when(q < 0, edge).otherwise(-edge)
 
     def halley(x: Column, p: Column) -> Column:

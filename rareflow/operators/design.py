@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,44 @@ def execution_plan(arms: DataFrame, seeds: DataFrame, mode: str) -> DataFrame:
     order = {"sequential": ["arm_pos", "seed_pos"], "interleaved": ["seed_pos", "arm_pos"]}.get(mode) or [F.xxhash64("arm_pos", "seed_pos"), "arm_pos", "seed_pos"]
     tasks = arms.join(F.broadcast(seeds), F.lit(True))
     return tasks.withColumn("run_index", F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def known_detection(volume: Column, n: Column) -> Column:
+    """The exact chance that n independent draws find a region of this volume."""
+    return 1 - F.pow(1 - volume, n)
+
+
+def repaired(theta: Column, low: int, high: int) -> Column:
+    """Sweep points whose lower speed is not below the upper one get it set 1e-6 below."""
+    return F.transform(theta, lambda x, i: F.when(i == low, F.least(x, F.get(theta, F.lit(high)) - 1e-6)).otherwise(x))
+
+
+def boundary_grid(spark: SparkSession, scenario: Scenario, x: int, y: int, steps: int, speeds: tuple[int, int] | None = None) -> DataFrame:
+    """theta over a grid of two axes, all others at the operational median; the lower speed never above the upper one."""
+    lo, hi = scenario.lower, scenario.upper
+    ticks = lambda a: F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.lit(lo[a]) + k * (hi[a] - lo[a]) / max(1, steps - 1)))
+    grid = spark.range(1).select(ticks(x).alias("gx")).select("gx", ticks(y).alias("gy"))
+    value = [F.col("gx") if i == x else F.col("gy") if i == y else axis_ppf(a, F.lit(0.5)) for i, a in enumerate(scenario.axes)]
+    if speeds:
+        value[speeds[0]] = F.least(value[speeds[0]], value[speeds[1]])
+    return grid.select("gx", "gy", F.array(*value).alias("theta"))
+
+
+def centred_discrepancy(points: DataFrame, dims: int, design: str) -> DataFrame:
+    """Centred L2 discrepancy of each design (design, point_id, u): smaller is more even. Pairs meet inside a design only,
+    which is quadratic in its points, as the measure is; designs spread over the cluster."""
+    mid = [F.abs(F.col(f"x{i}") - 0.5) for i in range(dims)]
+    wide = points.select(design, *[F.col("u")[i].alias(f"x{i}") for i in range(dims)])
+
+    def product(terms: list[Column]) -> Column:
+        out = F.lit(1.0)
+        for t in terms:
+            out = out * t
+        return out
+
+    own = wide.groupBy(design).agg(F.count("*").alias("n"), F.sum(product([1 + 0.5 * m - 0.5 * m * m for m in mid])).alias("single"))
+    other = wide.select(design, *[F.col(f"x{i}").alias(f"y{i}") for i in range(dims)])
+    terms = [1 + 0.5 * F.abs(F.col(f"x{i}") - 0.5) + 0.5 * F.abs(F.col(f"y{i}") - 0.5) - 0.5 * F.abs(F.col(f"x{i}") - F.col(f"y{i}")) for i in range(dims)]
+    double = wide.join(other, design).groupBy(design).agg(F.sum(product(terms)).alias("double"))
+    value = math.pow(13 / 12, dims) - 2 / F.col("n") * F.col("single") + F.col("double") / (F.col("n") * F.col("n"))
+    return own.join(double, design).select(design, "n", value.alias("discrepancy"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.odd import normal_cdf
+from ..functions.odd import Axis, Scenario, hash_uniform, log_density, normal_cdf
+from ..functions.ranges import ready
+from .design import through_odd
 
 
 def defensive_weight(log_q: Column, log_f: Column, alpha: float) -> Column:
@@ -84,3 +88,39 @@ def cross_entropy_step(points: DataFrame, dims: int, rho: float, threshold: floa
     loc = [r[f"x{i}"] / r["w"] for i in range(dims)] if r["n"] else []
     scale = [max(0.0, r[f"xx{i}"] / r["w"] - m * m) ** 0.5 for i, m in enumerate(loc)]
     return {"gamma": gamma, "n_elite": r["n"], "loc": loc, "scale": scale}
+
+
+def cross_entropy_search(ids: DataFrame, scenario: Scenario, margin: Column, per_round: int, final: int, rho: float = 0.1, alpha: float = 0.1,
+                         rounds: int = 30, salt: int = 1, ident: str = "point_id") -> tuple[DataFrame, list[dict]]:
+    """Rare-event probability by cross entropy: (points of the last mixture with w and margin, history of the proposals).
+
+    ``ids`` gives the row ids draws are made from, one set of draws a round; ``margin`` is a Column of theta. Each round
+    samples a truncated normal on the box, moves to the weighted moments of its elite, and stops when the elite's bound
+    has come to the threshold, or too few points are valid or elite. The last sample is a defensive mixture: a share
+    alpha from the operational distribution, the rest from the proposal. State between rounds is two numbers an axis.
+    """
+    spark, dims = ids.sparkSession, len(scenario.axes)
+    ready(spark)
+    wide = [a.upper - a.lower for a in scenario.axes]
+    proposal = Scenario(tuple(Axis(a.name, a.lower, a.upper, "truncnorm", (a.lower + a.upper) / 2, 0.5 * w) for a, w in zip(scenario.axes, wide)), scenario.threshold)
+    history: list[dict] = []
+
+    def drawn(source: Scenario, n: int, turn: int, after: int = 0) -> DataFrame:
+        rows = ids.where((F.col(ident) >= after) & (F.col(ident) < after + n)).select(F.col(ident).alias("point_id"))
+        u = F.array(*[hash_uniform(F.col("point_id"), salt + turn * dims + j) for j in range(dims)])
+        return rows.select("point_id", u.alias("u")).select("point_id", through_odd(F.col("u"), source).alias("theta"))
+
+    for turn in range(rounds):
+        points = drawn(proposal, per_round, turn).withColumn("margin", margin).checkpoint()
+        step = cross_entropy_step(points, dims, rho, scenario.threshold, log_density(scenario, F.col("theta")), log_density(proposal, F.col("theta")))
+        history.append(step)
+        if step["gamma"] is None or step["n_elite"] < 2:
+            break
+        moved = [Axis(a.name, a.lower, a.upper, "truncnorm", min(a.upper, max(a.lower, m)), max(sd, 0.03 * w)) for a, m, sd, w in zip(scenario.axes, step["loc"], step["scale"], wide)]
+        proposal = Scenario(tuple(moved), scenario.threshold)
+        if step["gamma"] <= scenario.threshold:
+            break
+    n_defensive = math.floor(alpha * final)
+    last = drawn(scenario, n_defensive, rounds).unionByName(drawn(proposal, final - n_defensive, rounds, n_defensive))
+    weight = defensive_weight(log_density(proposal, F.col("theta")), log_density(scenario, F.col("theta")), alpha)
+    return last.withColumn("margin", margin).withColumn("w", weight), history

@@ -9,18 +9,40 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import average_ranks, exact_quantiles
+
 
 def arm_scores(scored: DataFrame, by: list[str] = ["arm"]) -> DataFrame:
     """Failures and rare failures per 100 valid points, worst and 5th percentile margin. Needs margin and is_rare."""
     fail = F.col("margin") < 0
-    got = scored.groupBy(*by).agg(
-        F.count("margin").alias("n_valid"), F.count_if(fail).alias("n_failures"), F.count_if(fail & F.col("is_rare")).alias("n_rare"),
-        F.min("margin").alias("worst_margin"), F.percentile("margin", F.lit(0.05)).alias("margin_q05"),
-    )
+    counts = scored.groupBy(*by).agg(F.count("margin").alias("n_valid"), F.count_if(fail).alias("n_failures"), F.count_if(fail & F.col("is_rare")).alias("n_rare"), F.min("margin").alias("worst_margin"))
+    got = counts.join(exact_quantiles(scored, F.col("margin"), {"margin_q05": 0.05}, by), by, "left")
     n = F.col("n_valid")
     return got.withColumns({f"{k}_per_100": F.when(n > 0, 100.0 * F.col(f"n_{k}") / n).otherwise(0.0) for k in ("failures", "rare")})
 
 
+def failure_percentiles(scored: DataFrame, percentiles: DataFrame, by: list[str] = ["arm"]) -> DataFrame:
+    """Median operational percentile of each arm's failures; ``percentiles``: (lf, odd_percentile)."""
+    fails = scored.where("margin < 0").join(percentiles, "lf")
+    return exact_quantiles(fails, F.col("odd_percentile"), {"median_percentile": 0.5}, by)
+
+
+def quality_notes(scores: DataFrame, n_seeds: int | None, usable: DataFrame | None = None) -> DataFrame:
+    """(note, detail): no failure at all, no paired test and why, arms whose failure probability is not usable.
+
+    ``scores`` has one row an arm (arm, n_valid, n_failures); ``n_seeds`` is None where points carry no seeds;
+    ``usable``: (arm, all_usable).
+    """
+    total = scores.agg(F.sum("n_failures").alias("f"), F.sum("n_valid").alias("n"))
+    notes = total.where("coalesce(f, 0) = 0").select(F.lit("no failures").alias("note"), F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" valid points")).alias("detail"))
+    if n_seeds is None or n_seeds < 2:
+        why = "points carry no seeds" if n_seeds is None else f"{n_seeds} seeds, 2 are needed"
+        notes = notes.unionByName(total.select(F.lit("no paired test").alias("note"), F.lit(why).alias("detail")))
+    if usable is not None:
+        notes = notes.unionByName(usable.where("not all_usable").select(F.lit("p_fail not usable").alias("note"), F.col("arm").alias("detail")))
+    return notes
+
+
 def leaderboard(scores: DataFrame, metric: str) -> DataFrame:
     """Ranks on a metric, best first, ties by arm name. One row for each arm, so one task is enough."""
     return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(metric), "arm")))
@@ -119,11 +141,12 @@ def run_rows(points: DataFrame) -> DataFrame:
 
 
 def arm_statistics(runs: DataFrame) -> DataFrame:
-    """Mean and spread over seeds; the spread of one seed is 0."""
+    """Mean and spread over seeds; the spread of one seed is 0. A run without ``p_fail_usable`` counts as usable."""
     sd = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
+    usable = F.col("p_fail_usable") if "p_fail_usable" in runs.columns else F.lit(True)
     return runs.groupBy("arm").agg(
         F.count("*").alias("n_seeds"), F.avg("p_fail").alias("p_mean"), sd("p_fail").alias("p_std"), F.avg("n_failures").alias("failures_mean"), sd("n_failures").alias("failures_std"),
-        F.min("worst_margin").alias("min_margin"), (sd("p_fail") / F.when(F.avg("p_fail") != 0, F.avg("p_fail"))).alias("cv"),
+        F.avg("n_evaluations").alias("evaluations_mean"), F.min("worst_margin").alias("min_margin"), (sd("p_fail") / F.when(F.avg("p_fail") != 0, F.avg("p_fail"))).alias("cv"), F.bool_and(usable).alias("all_usable"),
     )
 
 
@@ -141,17 +164,67 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str], least: int = 3) ->
     return got.select(*by, "n", F.when(fine, F.col("rho")).alias("rho"))
 
 
+def rank_correlation(rows: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
+    """One row (n, rho, p) over all rows, for any number of them; null rho below ``least`` rows or for a constant side.
+
+    p is two-sided from Student's t with n - 2 degrees, by its incomplete beta function on the driver.
+    """
+    ok = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    ranked = average_ranks(average_ranks(ok, x, "__x"), y, "__y")
+    got = ranked.agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("rho"), F.stddev_pop("__x").alias("sx"), F.stddev_pop("__y").alias("sy")).first()
+    fine = got["n"] >= least and (got["sx"] or 0) > 0 and (got["sy"] or 0) > 0
+    rho = got["rho"] if fine else None
+    p = student_p(rho, got["n"]) if fine else None
+    return rows.sparkSession.createDataFrame([(got["n"], rho, p)], "n long, rho double, p double")
+
+
+def student_p(rho: float, n: int) -> float:
+    """Two-sided p of a correlation: I(v / (v + t^2); v / 2, 1 / 2), a continued fraction (modified Lentz)."""
+    v = n - 2
+    if v < 1:
+        return math.nan
+    if abs(rho) >= 1:
+        return 0.0
+    x, a, b = 1 - rho * rho, v / 2, 0.5
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        x, a, b = 1 - x, b, a
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    f, c, d = 1.0, 1.0, 0.0
+    for i in range(400):
+        m = i // 2
+        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / ((1 + step * d) or 1e-300)
+        c = (1 + step / c) or 1e-300
+        f *= c * d
+        if abs(1 - c * d) < 1e-15:
+            break
+    tail = front * (f - 1) if f != 1 else 0.0
+    return min(1.0, max(0.0, 1 - tail if swap else tail))
+
+
 def lhs_vs_random(runs: DataFrame, metrics: dict[str, int]) -> DataFrame:
-    """family, metric, n, LHS wins in the metric's direction and p, over the seeds both designs have.
+    """family, metric, n, means and deviations of both designs, LHS wins in the metric's direction and p, over the seeds
+    both designs have.
 
-    Arms are named family[design+suffix]; families without both designs drop out.
+    Arms are named family[design+suffix]; families without both designs drop out; of several arms of one family and
+    design the last name counts; a metric that the runs lack is left out; p_fail counts only where it is usable on all
+    seeds of both arms.
     """
-    parts = runs.withColumn("family", F.regexp_extract("arm", r"^([^\[]+)\[(lhs|random)", 1)).withColumn("design", F.regexp_extract("arm", r"^([^\[]+)\[(lhs|random)", 2)).where("design <> ''")
-    long = parts.select("family", "design", "seed", F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value"))
-    sides = {d: long.where(F.col("design") == d).select("family", "seed", "metric", F.col("value").alias(c)) for d, c in (("lhs", "a"), ("random", "b"))}
+    form = r"^([^\[]+)\[(lhs|random)"
+    metrics = {m: s for m, s in metrics.items() if m in runs.columns}
+    named = runs.withColumns({"family": F.regexp_extract("arm", form, 1), "design": F.regexp_extract("arm", form, 2)}).where("design <> ''")
+    last = named.groupBy("family", "design").agg(F.max("arm").alias("arm"))
+    parts = named.join(last, ["family", "design", "arm"], "left_semi")
+    if "p_fail_usable" in runs.columns and "p_fail" in metrics:
+        fine = parts.groupBy("family").agg(F.bool_and("p_fail_usable").alias("__fine"))
+        parts = parts.join(fine, "family").withColumn("p_fail", F.when(F.col("__fine"), F.col("p_fail")))
+    long = parts.select("family", "design", "seed", F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value")).where("value is not null")
+    sides = {d: long.where(F.col("design") == d).select("family", "seed", "metric", F.col("value").alias(c)) for d, c in (("lhs", "x"), ("random", "y"))}
     signs = F.create_map(*[x for m, s in metrics.items() for x in (F.lit(m), F.lit(s))])
-    pairs = sides["lhs"].join(sides["random"], ["family", "seed", "metric"]).withColumns({"a": F.col("a") * signs[F.col("metric")], "b": F.col("b") * signs[F.col("metric")]})
-    return paired_tests(pairs, ["family", "metric"]).where("n >= 2")
+    pairs = sides["lhs"].join(sides["random"], ["family", "seed", "metric"]).withColumns({"a": F.col("x") * signs[F.col("metric")], "b": F.col("y") * signs[F.col("metric")]})
+    means = pairs.groupBy("family", "metric").agg(F.avg("x").alias("lhs_mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("lhs_sd"), F.avg("y").alias("random_mean"), F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("random_sd"))
+    return paired_tests(pairs, ["family", "metric"]).where("n >= 2").join(means, ["family", "metric"])
 
 
 def learning_share(scores: DataFrame, full: str, ablated: str, plain: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import exact_quantiles, prefix_sums
+
 Z = 1.96
 
 
@@ -30,41 +32,50 @@ def failure_rate(points: DataFrame, by: list[str], threshold: float = 0.0) -> Da
     return got.withColumns({"p": F.col("n_failures") / F.when(n > 0, n), "p_lo": lo, "p_hi": hi})
 
 
-def severity_top(points: DataFrame, by: str, fraction: float, ident: str = "point_id") -> DataFrame:
-    """The worst ``fraction`` of each group's failures, at least one: ties go to the smaller id.
+def severity_top(points: DataFrame, by: str, fraction: float, ident: str = "point_id", survival: str | None = None) -> DataFrame:
+    """The worst ``fraction`` of each group's failures, at least one: ties go to the shorter survival, then the smaller id.
 
-    The group's k comes from a small count table; ranks are taken over failures only.
+    The group's k and a bound on its margin come first, so that only failures near the top are ranked.
     """
     fails = points.where(failed(F.col("margin")))
-    k = fails.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(fraction))).alias("k"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("margin", ident))
-    return fails.withColumn("rank", rank).join(k, by).where(F.col("rank") <= F.col("k")).drop("k")
+    bound = fails.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(fraction))).alias("k"), F.percentile_approx("margin", min(1.0, fraction + 0.001), 5000).alias("most"), F.min("margin").alias("least"))
+    near = fails.join(bound, by).where(F.col("margin") <= F.greatest("most", "least"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("margin", *([survival] if survival else []), ident))
+    return near.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).drop("k", "most", "least")
+
+
+def rare_summary(theta: Column, names: list[str]) -> Column:
+    """Name to value of a rare point, rounded to four places."""
+    return F.map_from_arrays(F.array(*map(F.lit, names)), F.transform(theta, lambda x: F.round(x, 4)))
 
 
 def rarity_cut(reference: DataFrame, log_density: Column, q: float = 0.10) -> float:
     """The q-quantile of the finite log densities of a reference sample, interpolated."""
     finite = reference.select(log_density.alias("lf")).where(F.col("lf") > float("-inf"))
-    return finite.agg(F.percentile("lf", F.lit(q))).first()[0]
+    row = exact_quantiles(finite, F.col("lf"), {"cut": q}, []).first()
+    return row["cut"] if row else None
 
 
-def operational_percentile(queries: DataFrame, reference: DataFrame, value: str, ident: str, buckets: int = 1000) -> DataFrame:
-    """Share (in percent) of reference values strictly below each query value.
+def operational_percentile(queries: DataFrame, reference: DataFrame, value: str) -> DataFrame:
+    """Each distinct query value and the share (in percent) of reference values strictly below it.
 
-    A bucket of values holds both sides; ranks inside a bucket and the sum of the buckets before give the count, so no
-    task sees more than a bucket. Bucket edges are equal-depth, from one approximate-percentile pass.
+    Both sides are counted by value first, then one range sort and prefix sums give the counts below.
     """
-    edges = reference.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 100_000)).first()[0] or []
-    edges = sorted(set(edges))
-    at = F.call_function("array_position", F.array(F.lit(0.0)), F.lit(0.0)) * 0 if not edges else F.size(F.filter(F.lit(edges), lambda e: e <= F.col("v")))
-    both = queries.select(F.col(value).alias("v"), F.col(ident).alias("id"), F.lit(0).alias("is_ref")).unionByName(reference.select(F.col(value).alias("v"), F.lit(None).cast("long").alias("id"), F.lit(1).alias("is_ref"))).withColumn("bucket", at)
-    below = F.coalesce(F.sum("is_ref").over(Window.partitionBy("bucket").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("is_ref").over(Window.partitionBy("bucket", "v")), F.lit(0))
-    per = {r["bucket"]: r["n"] for r in both.groupBy("bucket").agg(F.sum("is_ref").alias("n")).collect()}
-    before, run = [], 0
-    for b in range(max(per, default=-1) + 1):
-        before.append(run)
-        run += per.get(b, 0)
-    start = F.element_at(F.lit(before or [0]).cast("array<bigint>"), F.col("bucket").cast("int") + 1)
-    return both.withColumn("below", below).where("is_ref = 0").select(F.col("id").alias(ident), F.col("v").alias(value), ((start + F.col("below")) * 100.0 / max(run, 1)).alias("odd_percentile"))
+    both = queries.select(F.col(value).alias("v"), F.lit(0).alias("n"), F.lit(True).alias("asked")).unionByName(reference.select(F.col(value).alias("v"), F.lit(1).alias("n"), F.lit(False).alias("asked")))
+    counts = both.groupBy("v").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked"))
+    total = F.greatest(reference.agg(F.count("*").alias("total")).first()["total"] * F.lit(1.0), F.lit(1.0))
+    return prefix_sums(counts, "v", "n").where("asked").select(F.col("v").alias(value), (F.col("before") * 100.0 / total).alias("odd_percentile"))
+
+
+def estimator_accuracy(points: DataFrame, rep: str, truth: float) -> DataFrame:
+    """Over replicates: number, mean and bias of the failure rate, coverage of the truth and mean width of the interval,
+    relative spread, and how many draws of plain Monte Carlo have that spread, against those of one replicate."""
+    per = failure_rate(points, [rep])
+    inside = (F.col("p_lo") <= truth) & (F.col("p_hi") >= truth)
+    sd, n = F.stddev_pop("p"), F.avg("n_valid")
+    return per.agg(
+        F.count("*").alias("reps"), F.avg("p").alias("mean_p"), (F.avg("p") - truth).alias("bias"), F.avg(inside.cast("double")).alias("coverage"),
+        F.avg(F.col("p_hi") - F.col("p_lo")).alias("mean_width"), (sd / truth).alias("relative_error"), (truth * (1 - truth) / F.when(sd > 0, sd * sd) / n).alias("mc_ratio"))
 
 
 def rate_by_bin(points: DataFrame, value: Column, lower: float, width: float, bins: int) -> DataFrame:

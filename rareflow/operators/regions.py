@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.odd import Scenario, axis_cdf
+from ..functions.ranges import exact_quantiles, ready
+
 
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
@@ -26,6 +30,71 @@ def eps_pairs(points: DataFrame, eps: float, axes: int = 2, by: Column | None =
     return left.join(right, "cell").where("a < b").withColumn("dist", distance(F.col("ua"), F.col("ub"))).where(F.col("dist") <= eps).select("a", "b", "dist")
 
 
+def neighbour_distances(points: DataFrame, dims: int, k: int = 2) -> DataFrame:
+    """(point_id, dist): the distance of each point to its k-th nearest other point.
+
+    A point with k others within a radius has its k-th among them, and these lie in the neighbouring cells of a grid of
+    that side. Points without so many are tried again with twice the radius, so only the lonely ones search far.
+    """
+    ready(points.sparkSession)
+    cloud = points.select("point_id", "u").checkpoint()
+    n = cloud.count()
+    if n <= k:
+        return cloud.select("point_id", F.lit(None).cast("double").alias("dist"))
+    radius, open_points, found = max(1e-3, (k / n) ** (1 / dims)), cloud, None
+    while True:
+        cells = [F.floor(F.col("u")[i] / radius) for i in range(min(2, dims))]
+        shifts = F.array(*[F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=len(cells))])
+        asked = open_points.select(F.col("point_id").alias("a"), F.col("u").alias("ua"), F.explode(F.transform(shifts, lambda s: F.array(*[c + s[i] for i, c in enumerate(cells)]))).alias("cell"))
+        others = cloud.select(F.col("point_id").alias("b"), F.col("u").alias("ub"), F.array(*cells).alias("cell"))
+        near = asked.join(others, "cell").where("a <> b").select("a", distance(F.col("ua"), F.col("ub")).alias("d")).where(F.col("d") <= radius)
+        # each task keeps its k smallest, so a dense point's neighbours are never gathered whole
+        few = near.groupBy("a").agg(F.expr(f"slice(array_sort(array_agg(d)), 1, {k})").alias("d")).where(F.size("d") == k)
+        done = few.select(F.col("a").alias("point_id"), F.col("d")[k - 1].alias("dist")).checkpoint()
+        found = done if found is None else found.unionByName(done)
+        open_points = open_points.join(done, "point_id", "left_anti").checkpoint()
+        if not open_points.limit(1).count():
+            return found
+        radius = math.inf if radius > math.sqrt(dims) else 2 * radius
+        if math.isinf(radius):
+            radius = 4 * math.sqrt(dims)
+
+
+def estimated_eps(points: DataFrame, dims: int, k: int = 2) -> float:
+    """The median distance to the k-th nearest other point; sqrt(d) / 4 where there are too few points or it is 0."""
+    row = exact_quantiles(neighbour_distances(points, dims, k), F.col("dist"), {"eps": 0.5}, []).first()
+    return row["eps"] if row and row["eps"] else math.sqrt(dims) / 4
+
+
+def constraint_text(names: list[str]) -> Column:
+    """The interval of each constraining axis of a region record, or that there is none."""
+    text = F.transform("constraining_axes", lambda j: F.format_string("%s in [%.2f, %.2f]", F.array(*map(F.lit, names))[j], F.col("box_lower")[j], F.col("box_upper")[j]))
+    return F.when(F.size("constraining_axes") == 0, "no axis constrained").otherwise(F.array_join(text, ", "))
+
+
+def centroid_text(names: list[str]) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size("centroid") - 1), lambda j: F.format_string("%s=%.2f", F.array(*map(F.lit, names))[j], F.col("centroid")[j])), ", ")
+
+
+def hit_under(scenario: Scenario) -> Column:
+    """A draw's chance to hit a region's constraining box under the operational marginals; 1 if no axis is constrained,
+    null below four points. The box is in the unit cube of the scenario's bounds."""
+    total = F.lit(1.0)
+    for i, axis in enumerate(scenario.axes):
+        wide = axis.upper - axis.lower
+        span = axis_cdf(axis, axis.lower + F.col("box_upper")[i] * wide) - axis_cdf(axis, axis.lower + F.col("box_lower")[i] * wide)
+        total = total * F.when(F.array_contains("constraining_axes", i), span).otherwise(1.0)
+    return F.when(F.col("n") >= 4, total)
+
+
+def arm_reports(points: DataFrame, found: DataFrame) -> DataFrame:
+    """Evaluations, failures, failure rate, worst margin and regions reached of every owner."""
+    n = F.count("margin")
+    per = points.groupBy("owner").agg(n.alias("n_evaluations"), F.count_if(F.col("margin") < 0).alias("n_failures"), (F.count_if(F.col("margin") < 0) / F.when(n > 0, n)).alias("failure_rate"), F.min("margin").alias("worst_margin"))
+    regions = found.groupBy("owner").agg(F.count("*").alias("n_regions"))
+    return per.join(regions, "owner", "left").withColumn("n_regions", F.coalesce("n_regions", F.lit(0)))
+
+
 def connected(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """(point_id, region): the smallest id reachable. Min-label rounds with pointer jumping, each checkpointed."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
@@ -42,6 +111,7 @@ def connected(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 2, axes: int = 2, by: Column | None = None) -> DataFrame:
     """(point_id, region). Cores link; a border point joins its smallest core's region; noise is a region of its own."""
+    ready(points.sparkSession)
     pairs = eps_pairs(points, eps, axes, by).checkpoint()
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cores = both.groupBy(F.col("a").alias("point_id")).agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select("point_id")

@@ -6,14 +6,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import exact_quantiles
+from .design import to_unit
 from .rates import failure_rate
+from .regions import dbscan, discoveries, overlaps
 
 
 def backend_summary(runs: DataFrame) -> DataFrame:
     """Valid runs, failure rate (null without valid runs) and median control rate of each backend."""
     fail = F.count_if(F.col("valid") & (F.col("margin") < 0))
     n = F.count_if("valid")
-    return runs.groupBy("backend").agg(n.alias("n_valid"), (fail / F.when(n > 0, n)).alias("failure_rate"), F.percentile("control_hz", F.lit(0.5)).alias("median_hz"))
+    got = runs.groupBy("backend").agg(n.alias("n_valid"), (fail / F.when(n > 0, n)).alias("failure_rate"), *([F.max("speed_scale").alias("speed_scale")] if "speed_scale" in runs.columns else []))
+    return got.join(exact_quantiles(runs, F.col("control_hz"), {"median_hz": 0.5}, ["backend"]), "backend", "left")
 
 
 def shared_design(a: DataFrame, b: DataFrame, tolerance: float = 0.51) -> DataFrame:
@@ -23,6 +27,18 @@ def shared_design(a: DataFrame, b: DataFrame, tolerance: float = 0.51) -> DataFr
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("n_alone"), F.max(far).alias("max_delta"), F.coalesce(F.bool_and(far <= tolerance), F.lit(False)).alias("same"))
 
 
+def backend_regions(runs: DataFrame, lower: list[float], upper: list[float], eps: float) -> DataFrame:
+    """How two or more backends share failure regions: Jaccard, shared and one-sided counts of each pair.
+
+    A failure is a margin below 0, whether the run counts as valid or not. Runs at the same place are one point of the
+    clustering, so that repeated settings add no pairs. No rows where no backend has a failure.
+    """
+    fails = runs.where("margin < 0").select(F.col("backend").alias("owner"), to_unit(F.col("theta"), lower, upper).alias("u"))
+    places = fails.select("u").distinct().withColumn("point_id", F.xxhash64("u"))
+    labels = dbscan(places, eps, axes=min(2, len(lower)))
+    return overlaps(discoveries(fails.join(places, "u").join(labels, "point_id")))
+
+
 def envelope(points: DataFrame, value: str, bins: int) -> DataFrame:
     """Failure rate with Wilson bounds in equal-width bins over the observed range; the last bin is closed."""
     ends = points.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -44,6 +60,16 @@ def sweep_summary(cells: DataFrame) -> DataFrame:
     return cells.groupBy("angle_max", "speed_max").agg((100.0 * F.count_if(F.col("margin") < 0) / F.when(n > 0, n)).alias("fail_pct"), n.alias("n_valid"), F.percentile("margin", F.lit(0.5)).alias("median_margin"))
 
 
+def in_band(summary: DataFrame, low: float = 20.0, high: float = 40.0, aim: float = 30.0, k: int = 5) -> DataFrame:
+    """The cells whose failure percentage is in the band, nearest to the aim first; if there are none, the k nearest cells.
+
+    A sweep has few cells, so one task orders them."""
+    ordered = summary.where("fail_pct is not null").withColumns({"away": F.abs(F.col("fail_pct") - aim), "inside": F.col("fail_pct").between(low, high)})
+    rank = F.row_number().over(Window.orderBy("away", "angle_max", "speed_max"))
+    some = F.max("inside").over(Window.partitionBy(F.lit(0)))
+    return ordered.withColumns({"rank": rank, "some": some}).where(F.when(F.col("some"), F.col("inside")).otherwise(F.col("rank") <= k)).drop("some")
+
+
 def sweep_matrix(summary: DataFrame, speeds: list) -> DataFrame:
     return summary.groupBy("angle_max").pivot("speed_max", speeds).agg(F.first("fail_pct"))
 
@@ -53,10 +79,12 @@ def repeatability(runs: DataFrame, repeats: int) -> DataFrame:
     per = runs.groupBy("point_id").agg(F.count("margin").alias("n"), F.bool_and(F.col("margin") < 0).alias("all_fail"), F.bool_or(F.col("margin") < 0).alias("any_fail"), F.stddev_samp("margin").alias("sd"), (F.max("margin") - F.min("margin")).alias("range"), F.avg("margin").alias("mean"))
     per = per.where(F.col("n") == repeats)
     flipped = F.col("any_fail") & ~F.col("all_fail")
-    return per.agg(
+    got = per.agg(
         F.count("*").alias("n_points"), F.count_if("all_fail").alias("n_fail"), F.count_if(~F.col("any_fail")).alias("n_pass"), F.count_if(flipped).alias("n_flipped"),
-        F.percentile("sd", F.lit(0.5)).alias("median_sd"), F.max("range").alias("max_range"), F.count_if(flipped & (F.abs("mean") < 0.2)).alias("n_near_flips"),
+        F.max("range").alias("max_range"), F.count_if(flipped & (F.abs("mean") < 0.2)).alias("n_near_flips"),
     )
+    one = F.lit(1).alias("__one")
+    return got.withColumn("__one", one).join(exact_quantiles(per, F.col("sd"), {"median_sd": 0.5}, []).withColumn("__one", one), "__one", "left").drop("__one")
 
 
 def verdict(flip_rate: Column) -> Column:
@@ -72,7 +100,9 @@ def drivability(roads: DataFrame, scales: list[float], mu: float = 0.8, g: float
     """Share of roads whose lateral acceleration passes mu g at each speed scale. Roads hold radius and speed (m/s)."""
     scaled = roads.withColumn("scale", F.explode(F.array(*map(F.lit, scales))))
     a = F.pow(F.col("speed") * F.col("scale"), F.lit(2)) / F.col("radius")
-    return scaled.groupBy("scale").agg(F.avg((a > mu * g).cast("double")).alias("over"), F.percentile(a, F.lit(0.5)).alias("median_a"))
+    fastest = F.sqrt(0.6 * mu * g * F.col("radius"))
+    got = scaled.groupBy("scale").agg(F.avg((a > mu * g).cast("double")).alias("over"), F.min(fastest).alias("v_max"), F.min(fastest / (F.col("speed") * F.col("scale"))).alias("min_ratio"))
+    return got.join(exact_quantiles(scaled, a, {"median_a": 0.5}, ["scale"]), "scale", "left")
 
 
 def episode_steps(length: Column, speed: Column, hz: float) -> Column:
@@ -93,6 +123,17 @@ def best_so_far(points: DataFrame, run: str, order: str) -> DataFrame:
     return points.withColumn("best", F.min("margin").over(w))
 
 
+def worst_cases(points: DataFrame, k: int) -> DataFrame:
+    """The k worst points of each arm, ranked; invalid points do not take part.
+
+    Each (arm, bucket of points) gives its own k first, so no task sorts an arm."""
+    salt = F.pmod(F.xxhash64("point_id"), F.lit(64))
+    order = ["margin", "point_id"]
+    first = points.where("margin is not null").withColumn("__salt", salt)
+    few = first.withColumn("rank", F.row_number().over(Window.partitionBy("arm", "__salt").orderBy(*order))).where(F.col("rank") <= k)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("arm").orderBy(*order))).where(F.col("rank") <= k).drop("__salt")
+
+
 def calibrate(rate_at, low: float, high: float, band: tuple[float, float] = (0.10, 0.20), rounds: int = 10) -> dict:
     """Bisection of a monotone failure rate to a band. ``rate_at`` runs one Spark rate job and returns a number."""
     history: list[tuple[float, float]] = []
@@ -120,10 +161,9 @@ def calibrate(rate_at, low: float, high: float, band: tuple[float, float] = (0.1
 
 def fidelity_report(runs: DataFrame, by: str) -> DataFrame:
     """Range and median of the control rate, median inference and waiting time, the waiting share and what bounds the loop."""
-    half = F.lit(0.5)
-    got = runs.groupBy(by).agg(
-        F.min("control_hz").alias("hz_min"), F.percentile("control_hz", half).alias("hz_median"), F.max("control_hz").alias("hz_max"),
-        F.percentile("infer_ms", half).alias("infer_ms"), F.percentile("wait_ms", half).alias("wait_ms"), F.count_if(~F.col("valid")).alias("n_invalid"))
+    got = runs.groupBy(by).agg(F.min("control_hz").alias("hz_min"), F.max("control_hz").alias("hz_max"), F.count_if(~F.col("valid")).alias("n_invalid"))
+    for source, name in (("control_hz", "hz_median"), ("infer_ms", "infer_ms"), ("wait_ms", "wait_ms")):
+        got = got.join(exact_quantiles(runs, F.col(source), {name: 0.5}, [by]), by, "left")
     total = F.col("infer_ms") + F.col("wait_ms")
     return got.withColumns({"wait_share": F.when(total > 0, F.col("wait_ms") / total * 100), "bottleneck": F.when(F.col("wait_ms") >= F.col("infer_ms"), "simulator").otherwise("inference")})
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import odd
+from ..functions.ranges import exact_quantiles, ready
 from ..operators import design, importance, ranking, rates, regions, roads, surrogate, sweeps, telemetry
 from ..sources import campaigns, views
 
@@ -52,9 +53,40 @@ def log_density_sql(columns: list[str]) -> str:
     return f"CASE WHEN {' AND '.join(inside)} THEN 0 {' '.join(total)} ELSE '-Infinity'::DOUBLE END"
 
 
+def _poly_sql(coefficients: tuple[float, ...], x: str) -> str:
+    out = "0e0"
+    for c in coefficients:
+        out = f"({out} * {x} + ({c!r}e0))" if "e" not in repr(c) else f"({out} * {x} + ({c!r}::DOUBLE))"
+    return out
+
+
+def through_odd_sql(source: str, name: str) -> str:
+    """CTEs that bring u0, u1, ... of ``source`` (id) through the marginals' inverse CDFs: ``name`` (id, t0, t1, ...)."""
+    p, start, cdf, last = [], [], [], []
+    for i, axis in enumerate(ODD.axes):
+        a = axis.bounded()
+        u = f"least(1 - 1e-12, greatest(1e-12, u{i}))"
+        if a.family == "uniform":
+            p.append(f"{u} AS p{i}"), start.append(f"p{i} AS x{i}"), cdf.append(f"x{i}, 0e0 AS c{i}, p{i}")
+            last.append(f"{a.lower!r}::DOUBLE + x{i} * {a.upper - a.lower!r}::DOUBLE AS t{i}")
+            continue
+        lo, hi = odd._phi((a.lower - a.mu) / a.sigma), odd._phi((a.upper - a.mu) / a.sigma)
+        p.append(f"{lo!r}::DOUBLE + {u} * {hi - lo!r}::DOUBLE AS p{i}")
+        q, low = f"(p{i} - 0.5e0)", f"sqrt(-2 * ln(least(p{i}, 1 - p{i})))"
+        edge = f"({_poly_sql(odd.EDGE_TOP, low)} / {_poly_sql(odd.EDGE_LOW, low)})"
+        start.append(f"p{i}, CASE WHEN abs({q}) <= 0.47575e0 THEN {_poly_sql(odd.MIDDLE_TOP, f'({q} * {q})')} / {_poly_sql(odd.MIDDLE_LOW, f'({q} * {q})')} * {q} WHEN {q} < 0 THEN {edge} ELSE -{edge} END AS x{i}")
+        tail = f"(exp(-abs(x{i}) * abs(x{i}) / 2) * {_poly_sql(odd.CDF_TOP, f'abs(x{i})')} / {_poly_sql(odd.CDF_LOW, f'abs(x{i})')})"
+        cdf.append(f"p{i}, x{i}, CASE WHEN x{i} > 0 THEN 1 - {tail} ELSE {tail} END AS c{i}")
+        h = f"((c{i} - p{i}) * {math.sqrt(2 * math.pi)!r}::DOUBLE * exp(x{i} * x{i} / 2))"
+        last.append(f"least({a.upper!r}::DOUBLE, greatest({a.lower!r}::DOUBLE, {a.mu!r}::DOUBLE + {a.sigma!r}::DOUBLE * (x{i} - {h} / (1 + x{i} * {h} / 2)))) AS t{i}")
+    return f"""{name}_p AS (SELECT id, {', '.join(p)} FROM {source}), {name}_x AS (SELECT id, {', '.join(start)} FROM (SELECT * FROM {name}_p)), {name}_c AS (SELECT id, {', '.join(cdf)} FROM (SELECT *, {', '.join(f'x{i} AS p{i}' for i, x in enumerate(ODD.axes) if x.bounded().family == 'uniform')} FROM {name}_x)),
+{name} AS (SELECT id, {', '.join(last)} FROM {name}_c)"""
+
+
 LF = log_density_sql(["t0", "t1", "t2"])
-REFERENCE = f"""ref AS (SELECT o_orderkey AS id, 1.0 + 49.0 * {uniform_sql('o_orderkey', 11)} AS t0, 0.10 * {uniform_sql('o_orderkey', 12)} AS t1, 0.08 * {uniform_sql('o_orderkey', 13)} AS t2 FROM orders),
-rl AS (SELECT id, {LF} AS lf FROM ref), cut AS (SELECT quantile_cont(lf, 0.1) AS c FROM rl WHERE lf > '-Infinity'::DOUBLE)"""
+UNIT = f"un AS (SELECT o_orderkey AS id, {', '.join(uniform_sql("o_orderkey", 11 + i) + f" AS u{i}" for i in range(3))} FROM orders)"
+REFERENCE = f"""{UNIT}, {through_odd_sql('un', 'ref')}, rl AS (SELECT id, {LF} AS lf FROM ref), cut AS (SELECT quantile_cont(lf, 0.1) AS c FROM rl WHERE lf > '-Infinity'::DOUBLE)"""
+UNIFORM = """ref AS (SELECT id, 1.0::DOUBLE + 49.0::DOUBLE * u0 AS t0, 0.10::DOUBLE * u1 AS t1, 0.08::DOUBLE * u2 AS t2 FROM un)"""
 SCORED = f"""{views.EVALUATIONS}, {REFERENCE}, sc AS (SELECT ev.*, {LF} AS lf, ({LF}) <= c AS is_rare FROM ev, cut)"""
 SEEDS = f"{SCORED}, ps AS (SELECT arm, seed, 100.0::DOUBLE * count(*) FILTER (margin < 0 AND is_rare) / greatest(count(margin), 1) AS score FROM sc GROUP BY 1, 2)"
 WILSON = """least(1.0, greatest(0.0, (p + 1.96 * 1.96 / (2 * n) {sign} 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)))"""
@@ -66,10 +98,9 @@ def wilson_sql(source: str, by: str, condition: str = "margin < 0") -> str:
  (SELECT *, n_valid::DOUBLE AS n, CASE WHEN n_valid > 0 THEN n_failures / n_valid::DOUBLE END AS p FROM (SELECT {by}, count(margin) AS n_valid, count(*) FILTER (margin IS NULL) AS n_invalid, count(*) FILTER ({condition}) AS n_failures FROM {source} GROUP BY {by}))"""
 
 
-def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A uniform reference sample of the box, one draw for each order."""
-    ids = views.table(spark, sf_dir, "orders")
-    u = design.uniform_design(ids, 3, "o_orderkey", salt=11)
+def uniform_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform sample of the box, one draw for each order."""
+    u = design.uniform_design(views.table(spark, sf_dir, "orders"), 3, "o_orderkey", salt=11)
     return u.select("point_id", design.to_bounds(F.col("u"), ODD.lower, ODD.upper).alias("theta"))
 
 
@@ -79,10 +110,16 @@ def operational(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("point_id", design.through_odd(F.col("u"), ODD).alias("theta"))
 
 
+def log_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(point_id, lf) of the reference sample of the operational distribution."""
+    return operational(spark, sf_dir).select("point_id", odd.log_density(ODD, F.col("theta")).alias("lf"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = rates.rarity_cut(reference(spark, sf_dir), odd.log_density(ODD, F.col("theta")), 0.10)
-    lf = odd.log_density(ODD, F.col("theta"))
-    return views.evaluations(spark, sf_dir).withColumn("lf", lf).withColumn("is_rare", F.col("lf") <= F.lit(cut))
+    """Evaluations with their log density, rare where it is at most the cut: a single row that joins them all."""
+    cut = exact_quantiles(log_densities(spark, sf_dir).where(F.col("lf") > float("-inf")), F.col("lf"), {"cut": 0.10}, [])
+    points = views.evaluations(spark, sf_dir).withColumn("lf", odd.log_density(ODD, F.col("theta")))
+    return points.join(F.broadcast(cut), F.lit(True), "left").withColumn("is_rare", F.col("lf") <= F.col("cut")).drop("cut")
 
 
 def tidy(rows: DataFrame, *keep: str) -> DataFrame:
@@ -108,29 +145,32 @@ def _(spark, sf_dir):
 
 @query("e5_rarity_cut", f"WITH {REFERENCE} SELECT (SELECT count(*) FROM rl) AS n, round(c, 6) AS cut FROM cut")
 def _(spark, sf_dir):
-    ref = reference(spark, sf_dir).select(odd.log_density(ODD, F.col("theta")).alias("lf"))
-    return ref.agg(F.count("*").alias("n"), r6(F.percentile(F.when(F.col("lf") > float("-inf"), F.col("lf")), F.lit(0.1)), "cut"))
+    ref = log_densities(spark, sf_dir)
+    cut = exact_quantiles(ref.where(F.col("lf") > float("-inf")), F.col("lf"), {"cut": 0.10}, [])
+    return ref.agg(F.count("*").alias("n")).join(F.broadcast(cut), F.lit(True), "left").select("n", r6("cut", "cut"))
 
 
 @query("e6_odd_percentile", f"""WITH {SCORED}, q AS (SELECT DISTINCT lf FROM sc WHERE margin < 0), a AS (SELECT lf, 1 AS r FROM rl UNION ALL SELECT lf, 0 FROM q),
 s AS (SELECT lf, r, sum(r) OVER (ORDER BY lf RANGE UNBOUNDED PRECEDING) - sum(r) OVER (PARTITION BY lf) AS below FROM a)
 SELECT round(lf, 6) AS lf, round(below * 100.0::DOUBLE / (SELECT count(*) FROM rl), 6) AS odd_percentile FROM s WHERE r = 0""")
 def _(spark, sf_dir):
-    q = scored(spark, sf_dir).where("margin < 0").select("lf").distinct().withColumn("id", F.xxhash64("lf"))
-    ref = reference(spark, sf_dir).select(odd.log_density(ODD, F.col("theta")).alias("lf"))
-    got = rates.operational_percentile(q, ref, "lf", "id")
+    got = rates.operational_percentile(evaluated(spark, sf_dir).where("margin < 0"), log_densities(spark, sf_dir), "lf")
     return got.select(r6("lf", "lf"), r6("odd_percentile", "odd_percentile"))
 
 
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.evaluations(spark, sf_dir).withColumn("lf", odd.log_density(ODD, F.col("theta")))
+
+
 @query("e7_rare_failures", f"WITH {SCORED} SELECT arm, point_id, round(margin, 6) AS margin, round(lf, 6) AS lf FROM sc WHERE margin < 0 AND is_rare")
 def _(spark, sf_dir):
     return scored(spark, sf_dir).where("margin < 0 AND is_rare").select("arm", "point_id", r6("margin", "margin"), r6("lf", "lf"))
 
 
-@query("e8_monte_carlo", f"""WITH {REFERENCE}, m AS (SELECT 'uniform' AS design, 0.9 - (t0 / 100 + t1 * 4 + t2 * 4.37) AS margin FROM ref) {wilson_sql('m', 'design')}""")
+@query("e8_monte_carlo", f"""WITH {UNIT}, {UNIFORM}, m AS (SELECT 'uniform' AS design, 0.9 - (t0 / 100 + t1 * 4 + t2 * 4.37) AS margin FROM ref) {wilson_sql('m', 'design')}""")
 def _(spark, sf_dir):
     t = F.col("theta")
-    got = reference(spark, sf_dir).select(F.lit("uniform").alias("design"), (0.9 - (t[0] / 100 + t[1] * 4 + t[2] * 4.37)).alias("margin"))
+    got = uniform_box(spark, sf_dir).select(F.lit("uniform").alias("design"), (0.9 - (t[0] / 100 + t[1] * 4 + t[2] * 4.37)).alias("margin"))
     return tidy(rates.failure_rate(got, ["design"]), "design")
 
 
@@ -239,10 +279,10 @@ def _(spark, sf_dir):
     return ranking.same_margins(ev, moved)
 
 
-@query("g19_merge", f"WITH {views.EVALUATIONS} SELECT arm, count(*) AS n FROM ev GROUP BY arm")
+@query("g19_merge", f"WITH {views.EVALUATIONS} SELECT arm, count(*) AS n, round(avg(margin), 6) AS mean_margin FROM ev WHERE arm NOT LIKE 'plain%' GROUP BY arm")
 def _(spark, sf_dir):
-    ev = views.evaluations(spark, sf_dir)
-    return campaigns.merge_campaigns(ev.where("arm like '%[lhs]'"), ev).groupBy("arm").agg(F.count("*").alias("n"))
+    ev = views.evaluations(spark, sf_dir).where("arm not like 'plain%'")
+    return campaigns.merge_campaigns(ev.where("arm like '%[lhs]'"), ev).groupBy("arm").agg(F.count("*").alias("n"), r6(F.avg("margin"), "mean_margin"))
 
 
 METRICS = f"""{views.TELEMETRY}, m AS (SELECT run_id, count(*) AS n_steps, max(abs(xte)) AS mx, max(abs(steering)) AS ms, avg(abs(steering)) AS av, min(step) FILTER (abs(xte) > 1.75) AS fn FROM st GROUP BY run_id),
@@ -322,13 +362,12 @@ def _(spark, sf_dir):
 
 @query("b3_to_bounds", f"SELECT o_orderkey AS point_id, {', '.join(f'round({lo!r} + {hi - lo!r}::DOUBLE * {uniform_sql('o_orderkey', 11 + i)}, 6) AS t{i}' for i, (lo, hi) in enumerate(zip(ODD.lower, ODD.upper)))} FROM orders")
 def _(spark, sf_dir):
-    return reference(spark, sf_dir).select("point_id", *[r6(F.col("theta")[i], f"t{i}") for i in range(3)])
+    return uniform_box(spark, sf_dir).select("point_id", *[r6(F.col("theta")[i], f"t{i}") for i in range(3)])
 
 
-@query("b4_through_odd")
+@query("b4_through_odd", f"WITH {UNIT}, {through_odd_sql('un', 'ref')} SELECT id AS point_id, round(t0, 6) AS t0, round(t1, 6) AS t1, round(t2, 6) AS t2 FROM ref")
 def _(spark, sf_dir):
-    u = design.uniform_design(views.table(spark, sf_dir, "orders"), 3, "o_orderkey", salt=11)
-    return u.select("point_id", design.through_odd(F.col("u"), ODD).alias("theta"))
+    return operational(spark, sf_dir).select("point_id", *[r6(F.col("theta")[i], f"t{i}") for i in range(3)])
 
 
 @query("b7_payload", f"WITH {views.EVALUATIONS} SELECT point_id, CAST(round_even(t0 / 4, 0) AS INTEGER) AS q, 250 AS map FROM ev")
@@ -373,18 +412,6 @@ def found_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.dbscan(failing(spark, sf_dir), EPS)
 
 
-def ready(spark: SparkSession) -> None:
-    """Names a checkpoint folder where the session has none: its own setting first."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        if sc.master.startswith("local") and spark.conf.get("spark.checkpoint.dir", None) is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(named)
-
-
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failing(spark, sf_dir).join(found_regions(spark, sf_dir), "point_id")
 
@@ -441,8 +468,8 @@ def _(spark, sf_dir):
 x AS {RANKED.format(by='pair', c='x', n='x', src='j')}, y AS {RANKED.format(by='pair', c='y', n='y', src='x')} SELECT pair, count(*) AS n, round(corr(r_x, r_y), 6) AS rho FROM y GROUP BY pair""")
 def _(spark, sf_dir):
     b = views.backend_runs(spark, sf_dir).where("valid")
-    both = b.where("backend = 'fast'").select("scenario_idx", F.col("margin").alias("x")).join(b.where("backend = 'full'").select("scenario_idx", F.col("margin").alias("y")), "scenario_idx").withColumn("pair", F.lit("all"))
-    return ranking.spearman(both, "x", "y", ["pair"]).select("pair", "n", r6("rho", "rho"))
+    both = b.where("backend = 'fast'").select("scenario_idx", F.col("margin").alias("x")).join(b.where("backend = 'full'").select("scenario_idx", F.col("margin").alias("y")), "scenario_idx")
+    return ranking.rank_correlation(both, "x", "y").select(F.lit("all").alias("pair"), "n", r6("rho", "rho"))
 
 
 @query("i3_backend_summary", f"WITH {views.BACKENDS} SELECT backend, count(*) FILTER (valid) AS n_valid, round(count(*) FILTER (valid AND margin < 0) / count(*) FILTER (valid)::DOUBLE, 6) AS failure_rate, quantile_cont(control_hz, 0.5) AS median_hz FROM br GROUP BY backend")
@@ -511,9 +538,10 @@ def _(spark, sf_dir):
     return sweeps.best_so_far(ev, "run", "point_id").select("arm", "seed", "point_id", r6("best", "best"))
 
 
-@query("f14_worst_case", f"WITH {views.EVALUATIONS} SELECT arm, round(min(margin), 6) AS margin FROM ev GROUP BY arm")
+@query("f14_worst_case", f"WITH {views.EVALUATIONS} SELECT arm, rank, point_id, round(margin, 6) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY margin, point_id) AS rank FROM (SELECT arm, point_id, min(margin) AS margin FROM ev WHERE margin IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 8")
 def _(spark, sf_dir):
-    return views.evaluations(spark, sf_dir).where("margin is not null").groupBy("arm").agg(F.min_by(F.struct("margin", "point_id"), F.struct("margin", "point_id")).alias("worst")).select("arm", r6("worst.margin", "margin"))
+    points = views.evaluations(spark, sf_dir).where("margin is not null").groupBy("arm", "point_id").agg(F.min("margin").alias("margin"))
+    return sweeps.worst_cases(points, 8).select("arm", F.col("rank").cast("long").alias("rank"), "point_id", r6("margin", "margin"))
 
 
 WINDOW = f"WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS start, (50 - value) / 50 AS margin FROM events) {wilson_sql('w', 'start')}"
@@ -626,18 +654,18 @@ def unit(theta: Column) -> Column:
 
 
 def given_surrogate(spark: SparkSession, sf_dir: str) -> surrogate.Surrogate:
-    """Trained on the worst and the best point of every arm and seed: 2 x 6 x 12 points at most, whatever the table's size."""
+    """Trained on the mean of every (seed, quantity) cell: 12 x 50 points at most, made from all evaluations."""
     import numpy as np
 
-    ev = views.evaluations(spark, sf_dir).where("margin is not null").select("arm", "seed", F.struct("margin", "point_id", unit(F.col("theta")).alias("u")).alias("x"))
-    ends = ev.groupBy("arm", "seed").agg(F.min("x").alias("worst"), F.max("x").alias("best"))
-    rows = ends.select(F.explode(F.array("worst", "best")).alias("x")).select("x.*").distinct().orderBy("point_id").collect()
-    points = np.array([r["u"] for r in rows], float).reshape(-1, 3)
+    u = unit(F.col("theta"))
+    cells = views.evaluations(spark, sf_dir).where("margin is not null").groupBy("seed", F.col("theta")[0].alias("q"))
+    rows = cells.agg(*[F.avg(u[i]).alias(f"u{i}") for i in range(3)], F.avg("margin").alias("margin")).orderBy("seed", "q").collect()
+    points = np.array([[r["u0"], r["u1"], r["u2"]] for r in rows], float).reshape(-1, 3)
     return surrogate.Surrogate.given(points, np.array([r["margin"] for r in rows], float), np.array([0.2, 0.4, 0.4]))
 
 
 def scored_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = reference(spark, sf_dir).select("point_id", unit(F.col("theta")).alias("u"))
+    pool = uniform_box(spark, sf_dir).select("point_id", unit(F.col("theta")).alias("u"))
     return surrogate.score_pool(pool, given_surrogate(spark, sf_dir))
 
 
@@ -668,6 +696,9 @@ def _(spark, sf_dir):
     return surrogate.axis_importance(lengths).select("name", r6("importance", "importance"))
 
 
+from . import extra  # noqa: E402, F401  (registers further queries)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which arm yields most rare failures per 100 valid runs?"""
     return ranking.leaderboard(ranking.arm_scores(scored(spark, sf_dir)), "rare_per_100")

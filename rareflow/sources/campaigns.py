@@ -47,7 +47,12 @@ def read_regions(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
     """(pos, id, a, b, direction, rationale) of a pre-registered plan; missing keys or an unknown direction are refused."""
-    rows = spark.read.schema(PLAN).option("multiLine", True).json(path).select(F.posexplode("hypotheses").alias("pos", "h")).select("pos", "h.*")
+    whole = spark.read.schema(PLAN).option("multiLine", True).json(path)
+    for missing in whole.select(*[F.col(k).isNull().alias(k) for k in ("alpha", "metric", "hypotheses")], (F.size("hypotheses") == 0).alias("any hypothesis")).collect():
+        absent = [k for k, gone in missing.asDict().items() if gone]
+        if absent:
+            raise ValueError(f"the plan has no {', '.join(absent)}")
+    rows = whole.select(F.posexplode("hypotheses").alias("pos", "h")).select("pos", "h.*")
     wrong = rows.where(F.col("id").isNull() | F.col("a").isNull() | F.col("b").isNull() | ~F.coalesce(F.col("direction").isin(*DIRECTIONS), F.lit(False))).limit(1).collect()
     if wrong:
         raise ValueError(f"plan hypothesis {wrong[0]['pos']} is not valid")
@@ -71,7 +76,39 @@ def check_metadata(meta: DataFrame, keys: list[str]) -> None:
             raise ValueError(f"the campaigns differ in {k}")
 
 
+def write_backend_runs(runs: DataFrame, path: str) -> None:
+    """One JSON object for each backend, its scenarios in order; an invalid margin is a null qoi."""
+    fields = ("theta", "margin", "valid", "control_hz", "meters_per_step")
+    held = runs.groupBy("backend", "speed_scale").agg(F.array_sort(F.collect_list(F.struct("scenario_idx", *fields))).alias("r"))
+    held.select("backend", "speed_scale", *[F.col(f"r.{f}").alias("qoi" if f == "margin" else f) for f in fields]).write.option("ignoreNullFields", False).json(path)
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """A per-run table as CSV with a header; arrays become bracketed text."""
+    flat = [F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ","), F.lit("]")).alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes]
+    rows.select(*flat).write.option("header", True).csv(path)
+
+
+def write_summary(points: DataFrame, path: str) -> None:
+    """A campaign's summary as JSON lines: one for each arm, with its seeds."""
+    points.groupBy("arm").agg(F.count("*").alias("n_points"), F.count("margin").alias("n_valid"), F.count_if(F.col("margin") < 0).alias("n_failures"), F.min("margin").alias("worst_margin"), F.sort_array(F.collect_set("seed")).alias("seeds")).write.json(path)
+
+
 def merge_campaigns(first: DataFrame, second: DataFrame, arms: list[str] | None = None) -> DataFrame:
-    """The first campaign's arms, and the second's other arms."""
+    """The first campaign's arms, and the second's other arms.
+
+    An arm that both have must have the same margins, seed by seed; a differing copy is refused, and so is one whose
+    points carry no seeds, because it cannot be verified.
+    """
+    from ..operators.ranking import same_margins
+
     second = second.where(F.col("arm").isin(*arms)) if arms else second
-    return first.unionByName(second.join(first.select("arm").distinct(), "arm", "left_anti"))
+    shared = first.select("arm").distinct().join(second.select("arm").distinct(), "arm")
+    mine, theirs = (c.join(shared, "arm", "left_semi") for c in (first, second))
+    blind = mine.unionByName(theirs, allowMissingColumns=True).where("seed is null").select("arm").limit(1).collect()
+    if blind:
+        raise ValueError(f"arm {blind[0]['arm']} is in both campaigns and has no seeds: its copies cannot be verified")
+    breach = same_margins(mine, theirs).where("n_breaches > 0").limit(1).collect()
+    if breach:
+        raise ValueError(f"the campaigns differ in {breach[0]['n_breaches']} margins of arm {breach[0]['arm']}")
+    return first.unionByName(second.join(shared, "arm", "left_anti"))
