@@ -183,8 +183,8 @@ def student_p(rho: float, n: int) -> float:
     v = n - 2
     if v < 1:
         return math.nan
-    if abs(rho) >= 1:
-        return 0.0
+    if rho == 0 or abs(rho) >= 1:
+        return 1.0 if rho == 0 else 0.0
     x, a, b = 1 - rho * rho, v / 2, 0.5
     swap = x > (a + 1) / (a + b + 2)
     if swap:
