@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,13 +22,20 @@ def ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written once in the checkpoint folder and read back. A checkpoint would compute it twice."""
+    ready(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prefix_sums(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over all rows with a smaller key. Keys must be distinct.
 
     One range sort; one number for each sorted partition reaches the driver.
     """
-    ready(rows.sparkSession)
-    run = rows.checkpoint().repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    run = stored(stored(rows).repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33).cast("int")
     total, starts = 0, {}
     for p, n in sorted((r["p"], r["n"]) for r in run.groupBy(part.alias("p")).agg(F.sum(value).alias("n")).collect()):
@@ -53,9 +61,8 @@ def exact_quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by
     held = rows.select(*by, value.cast("double").alias("__v")).where("__v is not null").withColumn("__g", F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
     gap = 2 / ACCURACY
     ends = [F.percentile_approx("__v", [max(0.0, q - gap), min(1.0, q + gap)], ACCURACY).alias(f"__b{i}") for i, q in enumerate(shares.values())]
-    ready(rows.sparkSession)
     # one row a group, cut from its lineage like the counts below, so that no plan holds the input more than twice
-    sketch = held.groupBy("__g").agg(F.count("*").alias("__n"), *ends).checkpoint()
+    sketch = stored(held.groupBy("__g").agg(F.count("*").alias("__n"), *ends))
     near = held.join(sketch, "__g")
     brackets = F.array(*[F.struct(F.lit(i).alias("q"), F.col(f"__b{i}")[0].alias("lo"), F.col(f"__b{i}")[1].alias("hi"), (F.lit(q) * (F.col("__n") - 1)).alias("at")) for i, q in enumerate(shares.values())])
     long = near.select("__g", "__v", F.explode(brackets).alias("b")).select("__g", "__v", "b.*")
@@ -64,7 +71,7 @@ def exact_quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by
     counts = long.groupBy("__g", "q", "at").agg(
         F.count_if(v < F.col("lo")).alias("below"), F.count_if(v <= F.col("hi")).alias("upto"),
         F.max(F.when(v < F.col("lo"), v)).alias("prev"), F.min(F.when(v > F.col("hi"), v)).alias("next"))
-    counts = counts.checkpoint()
+    counts = stored(counts)
     inside = long.where("__v >= lo and __v <= hi").join(counts.select("__g", "q", "below"), ["__g", "q"])
     place = F.col("below") + F.row_number().over(Window.partitionBy("__g", "q").orderBy("__v")) - 1
     ends_of = inside.withColumn("place", place).where((F.col("place") == F.floor("at")) | (F.col("place") == F.ceil("at"))).select("__g", "q", "at", "place", "__v")
@@ -73,4 +80,4 @@ def exact_quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by
     share = F.col("at") - F.floor("at")
     got = two.groupBy("__g", "q", "at").agg(F.min_by("__v", "place").alias("a"), F.max_by("__v", "place").alias("b"))
     wide = got.groupBy("__g").agg(*[F.max(F.when(F.col("q") == i, F.col("a") + share * (F.col("b") - F.col("a")))).alias(name) for i, name in enumerate(shares)])
-    return wide.select(*[F.col("__g")[c].alias(c) for c in by], *shares).checkpoint()
+    return stored(wide.select(*[F.col("__g")[c].alias(c) for c in by], *shares))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import odd
-from ..functions.ranges import exact_quantiles, ready
+from ..functions.ranges import exact_quantiles, ready, stored
 from ..operators import design, importance, ranking, rates, regions, roads, surrogate, sweeps, telemetry
 from ..sources import campaigns, views
 
@@ -105,14 +105,18 @@ def uniform_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws from the operational distribution: the same uniforms through the marginals' inverse CDFs."""
-    u = design.uniform_design(views.table(spark, sf_dir, "orders"), 3, "o_orderkey", salt=11)
+    """Draws from the operational distribution: the same uniforms through the marginals' inverse CDFs.
+
+    The inverse CDFs are the dear part, so bare ids are spread over all cores first.
+    """
+    ids = views.table(spark, sf_dir, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism)
+    u = design.uniform_design(ids, 3, "o_orderkey", salt=11)
     return u.select("point_id", design.through_odd(F.col("u"), ODD).alias("theta"))
 
 
 def log_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(point_id, lf) of the reference sample of the operational distribution."""
-    return operational(spark, sf_dir).select("point_id", odd.log_density(ODD, F.col("theta")).alias("lf"))
+    """(point_id, lf) of the reference sample of the operational distribution, computed once and kept."""
+    return stored(operational(spark, sf_dir).select("point_id", odd.log_density(ODD, F.col("theta")).alias("lf")))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
