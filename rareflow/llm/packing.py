@@ -123,17 +123,21 @@ def fillings(left: dict[int, int], lengths: list[int], room: int, slack: int, st
 
     Depth first, longest items first, so the first ones are those of a best-fit bin. A filling that still has room for
     a remaining item is not maximal and left out. ``steps`` counts down; the search ends with its budget, not here.
+    ``lengths`` is shared, not copied, and may hold lengths of which nothing is left: whoever changes it or ``left``
+    between two fillings puts both back first.
     """
 
-    reach, total = [], 0  # what all items up to here hold together
+    reach, total = [], 0  # what all items up to here hold together, as far as that is less than the room
     for length in lengths:
         total += left[length] * length
+        if total >= room:
+            break
         reach.append(total)
 
     def go(room: int, at: int, chosen: Counter) -> Iterator[tuple[int, Counter]]:
         for i in range(min(at, bisect_right(lengths, room) - 1), -1, -1):
             length = lengths[i]
-            if reach[i] < room - slack or steps[0] <= 0:
+            if (i < len(reach) and reach[i] < room - slack) or steps[0] <= 0:
                 break
             for copies in range(min(left[length] - chosen[length], room // length), 0, -1):
                 steps[0] -= 1
@@ -170,9 +174,8 @@ def complete_bins(hist: dict[int, int], capacity: int, effort: int = 200) -> tup
     def options() -> Iterator[tuple[int, int, Pattern]]:
         top = lengths[-1]
         left[top] -= 1
-        here = list(lengths) if left[top] else lengths[:-1]
         spare = (bins - 1) * capacity - total - waste
-        found = fillings(left, here, capacity - top, spare, steps)
+        found = fillings(left, lengths, capacity - top, spare, steps)
         while True:
             filled = next(found, None)
             left[top] += 1
