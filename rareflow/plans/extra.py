@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.ranges import exact_quantiles
 from ..operators import design, importance, outcomes, ranking, rates, regions, sweeps, telemetry
 from ..sources import views
-from .queries import EPS, GRAPH, LOCAL, METRICS, ODD, SCORED, evaluated, failing, log_densities, members, query, r6, scored, uniform_sql, wilson_sql
+from ..streaming import live
+from .queries import EPS, GRAPH, LOCAL, METRICS, ODD, ORACLE, SCORED, evaluated, failing, log_densities, members, query, r6, scored, uniform_box, uniform_sql, wilson_sql
 
 PADDED = f"{views.TELEMETRY}, ru AS (SELECT DISTINCT run_id, run_id % 40 AS run_length FROM st), kept AS (SELECT st.* FROM st JOIN ru USING (run_id) WHERE step < run_length)"
 
@@ -197,3 +199,73 @@ SELECT 'fast' AS a, 'full' AS b, shared, f.n - shared AS only_a, g.n - shared AS
 def _(spark, sf_dir):
     runs = views.backend_runs(spark, sf_dir).where("theta[0] is not null")
     return sweeps.backend_regions(runs, [1.0], [50.0], 0.5 / 49).select("a", "b", "shared", "only_a", "only_b", r6("jaccard", "jaccard"))
+
+
+MIDDLE = ", ".join(f"round({(lo + hi) / 2!r}::DOUBLE, 6)" for lo, hi in zip(ODD.lower, ODD.upper))
+
+
+@query("b6_nominal", f"SELECT point_id, t0, t1, t2, false AS is_nominal FROM ({ORACLE['b3_to_bounds']}) UNION ALL SELECT -1, {MIDDLE}, true")
+def _(spark, sf_dir):
+    got = design.with_nominal(uniform_box(spark, sf_dir), ODD)
+    return got.select("point_id", *[r6(F.col("theta")[i], f"t{i}") for i in range(3)], "is_nominal")
+
+
+@query("b8_repaired", f"WITH {views.EVALUATIONS} SELECT arm, point_id, round(least(t1, t2 - 1e-6::DOUBLE), 7) AS low, t2 AS high FROM ev")
+def _(spark, sf_dir):
+    theta = design.repaired(F.col("theta"), 1, 2)
+    return views.evaluations(spark, sf_dir).select("arm", "point_id", F.round(theta[1], 7).alias("low"), theta[2].alias("high"))
+
+
+@query("b12_execution_plan", f"""WITH {views.EVALUATIONS}, a AS (SELECT arm, row_number() OVER (ORDER BY arm) AS ap FROM (SELECT DISTINCT arm FROM ev)), s AS (SELECT seed, row_number() OVER (ORDER BY seed) AS sp FROM (SELECT DISTINCT seed FROM ev WHERE seed IS NOT NULL))
+SELECT arm, seed, row_number() OVER (ORDER BY sp, ap) - 1 AS run_index FROM a, s""")
+def _(spark, sf_dir):
+    ev = views.evaluations(spark, sf_dir)
+    at = lambda c: ev.where(F.col(c).isNotNull()).select(c).distinct().withColumn(f"{c}_pos", F.row_number().over(Window.orderBy(c)))
+    return design.execution_plan(at("arm"), at("seed"), "interleaved").select("arm", "seed", F.col("run_index").cast("long").alias("run_index"))
+
+
+@query("c6_path_per_decision", f"""WITH {views.TELEMETRY}, d AS (SELECT run_id, sqrt(pow(step * 1.5::DOUBLE - lag(step * 1.5::DOUBLE) OVER w, 2) + pow(xte - lag(xte) OVER w, 2)) AS far FROM st WINDOW w AS (PARTITION BY run_id ORDER BY step))
+SELECT run_id, round(coalesce(avg(far), 0), 6) AS meters_per_decision FROM d GROUP BY run_id""")
+def _(spark, sf_dir):
+    st = views.telemetry(spark, sf_dir).withColumns({"x": F.col("step") * 1.5, "y": F.col("xte")})
+    return telemetry.path_per_decision(st).select("run_id", r6("meters_per_decision", "meters_per_decision"))
+
+
+@query("d2_arc_length", f"""WITH {views.ROADS}, b AS (SELECT run_id, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM ve GROUP BY 1), l AS (SELECT run_id, sum(len) AS length FROM sg GROUP BY 1)
+SELECT run_id, round(length, 6) AS length, x_min, x_max, y_min, y_max FROM b JOIN l USING (run_id)""")
+def _(spark, sf_dir):
+    vertices = views.roads(spark, sf_dir).select("run_id", F.posexplode("xy").alias("vertex", "p")).select("run_id", "vertex", "p.x", "p.y")
+    return sweeps.arc_length(vertices).withColumn("length", F.round("length", 6))
+
+
+FIRST_SEEDS = f"""{views.EVALUATIONS}, ra AS (SELECT arm, row_number() OVER (ORDER BY count(*) FILTER (margin < 0) / count(margin)::DOUBLE DESC, arm) AS rank_a FROM ev GROUP BY arm),
+rb AS (SELECT arm, row_number() OVER (ORDER BY count(*) FILTER (margin < 0) / count(margin)::DOUBLE DESC, arm) AS rank_b FROM ev WHERE seed < 6 GROUP BY arm)"""
+
+
+@query("g9_leaderboards", f"WITH {FIRST_SEEDS} SELECT arm, rank_a, rank_b FROM ra FULL JOIN rb USING (arm)")
+def _(spark, sf_dir):
+    ev = views.evaluations(spark, sf_dir)
+    board = lambda points: ranking.leaderboard(rates.failure_rate(points, ["arm"]), "p")
+    both = ranking.compare_leaderboards(board(ev), board(ev.where("seed < 6")), ODD.lower + ODD.upper, ODD.lower + ODD.upper)
+    return both.select("arm", *[F.col(c).cast("long").alias(c) for c in ("rank_a", "rank_b")])
+
+
+EARLY = METRICS.replace(" FROM st GROUP BY run_id)", " FROM st WHERE step < 20 GROUP BY run_id)")
+
+
+@query("k1_running_margin", f"WITH {EARLY} SELECT run_id, n_steps, round(margin, 6) AS margin FROM mm")
+def _(spark, sf_dir):
+    return live.running_margin(views.telemetry(spark, sf_dir).where("step < 20")).select("run_id", "n_steps", r6("margin", "margin"))
+
+
+@query("k4_once_per_job", "SELECT DISTINCT user_id, event_type FROM events")
+def _(spark, sf_dir):
+    jobs = views.table(spark, sf_dir, "events").withColumn("job_id", F.struct("user_id", "event_type"))
+    return live.once_per_job(jobs, "ts").select("user_id", "event_type")
+
+
+@query("k6_sessions", """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL '12 hours', true)::INT AS opens FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, no""")
+def _(spark, sf_dir):
+    got = live.sessions(views.table(spark, sf_dir, "events"), "ts", "user_id", "12 hours")
+    return got.select("user_id", F.col("session.start").alias("start"), "n")
