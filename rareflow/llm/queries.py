@@ -59,6 +59,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: DuckDB SQL for the columns that SQL can express would leave out the methods' own columns, which the queries return;
-#: every query is tested against a brute-force version in tests/llm instead.
-ORACLE: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Windows are whole strings (no word holds a space), so equal ones are equal word for word.
+SUBSTRING_SQL = f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents), p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+v AS (SELECT doc_id, i, word, CASE WHEN count(*) OVER ahead = 50 THEN string_agg(word, ' ') OVER ahead END AS win FROM p WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+f AS (SELECT win, min(doc_id) AS first_id FROM v WHERE win IS NOT NULL GROUP BY win),
+c AS (SELECT doc_id, i, word, bool_or(coalesce(first_id < doc_id, false)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM v LEFT JOIN f USING (win)),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
+
+NEAR_DEDUP_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM w),
+v AS (SELECT doc_id, n, count(*) OVER ahead AS held, string_agg(word, ' ') OVER ahead AS shingle, i FROM p WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+s AS (SELECT DISTINCT doc_id, shingle FROM v WHERE held = 4 OR (n < 4 AND i = 1)), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE e.b > r.root), g AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM g LEFT JOIN z USING (doc_id)"""
+
+#: The other queries return columns of their methods, which SQL cannot express; tests/llm has brute-force versions.
+ORACLE: dict[str, str] = {"op2_substring_dedup": SUBSTRING_SQL, "op8_minhash_near_dedup": NEAR_DEDUP_SQL}
