@@ -20,6 +20,8 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,15 @@ def phrase_hashes(ids: np.ndarray, lang: np.ndarray, m: int) -> np.ndarray:
         return mix(gram_hashes(ids.view(np.uint64), m) + lang[: max(0, len(ids) - m + 1)] * np.uint64(2 * m + 1))
 
 
+def packed(bitmap: np.ndarray) -> bytes:
+    """A bitmap with few bits set travels as some kilobytes."""
+    return zstandard.ZstdCompressor(level=1).compress(bitmap)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint64)
+
+
 def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes >> np.uint64(64 - bits), hashes & np.uint64((1 << bits) - 1)
 
@@ -134,13 +145,12 @@ def is_known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (one & two) != 0
 
 
-def occurrences(shard: DataFrame, known: dict[int, tuple[np.ndarray, np.ndarray]], words: bool) -> DataFrame:
+def occurrences(shard: DataFrame, shared: Broadcast, words: bool) -> DataFrame:
     """lang, w1 to w5 (0 beyond the phrase), n: this shard's running phrases, summed up over each slice of a task.
 
-    ``known``: for a length m, the bitmaps of frequent phrases of m words now and a cycle ago. A phrase of m + 1 words runs
-    if both its subphrases are in the first, and not both in the second. ``words``: whether single words run.
+    ``shared``: for a length m, the bitmaps (``packed``) of frequent phrases of m words now and a cycle ago. A phrase of
+    m + 1 words runs if both its subphrases are in the first, and not both in the second. ``words``: whether words run.
     """
-    shared = shard.sparkSession.sparkContext.broadcast(known)
 
     def grouped(names: pa.Array, lang: np.ndarray, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, m: int) -> pa.RecordBatch:
         order = np.argsort(hashes)
@@ -181,7 +191,7 @@ def occurrences(shard: DataFrame, known: dict[int, tuple[np.ndarray, np.ndarray]
                 yield grouped(coded.dictionary, lang, ids, starts, phrase_hashes(ids, salt, m + 1)[starts], m + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = shared.value, [], 0
+        known, held, size = {m: tuple(map(unpacked, pair)) for m, pair in shared.value.items()}, [], 0
         for batch in batches:
             sizes, first = np.diff(batch.column(1).offsets.to_numpy()), 0
             for at, n in enumerate(sizes.tolist(), 1):
@@ -230,7 +240,8 @@ def frequent_phrases(rows: DataFrame, least: int, longest: int = LONGEST, shards
         known = {m: (maps[m], past[0][m]) for m in maps if maps[m] is not past[0][m]}
         if step >= shards and not known:
             break
-        found = occurrences(rows.where(F.col("shard") == step % shards), known, step < shards)
+        shared = rows.sparkSession.sparkContext.broadcast({m: tuple(map(packed, pair)) for m, pair in known.items()})
+        found = occurrences(rows.where(F.col("shard") == step % shards), shared, step < shards)
         seen = F.when(F.col("w2") == 0, 0).otherwise(step).alias("seen")
         both = found.select("lang", *WORDS, "n", seen, F.lit(None).cast("int").alias("reached"))
         both = both if running is None else running.unionByName(both)
@@ -238,6 +249,7 @@ def frequent_phrases(rows: DataFrame, least: int, longest: int = LONGEST, shards
         summed = summed.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= least, step)))
         whole = F.col("seen") <= step + 1 - shards
         table = keep(summed.where(F.col("reached").isNotNull() | ~whole), "zstd")
+        shared.destroy()
         added = set_bits(table.where((F.col("reached") == step) & (F.col(f"w{longest}") == 0)), bits)
         past, maps = [*past[1:], maps], dict(maps)
         for m, (word, value) in added.items():
