@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.odd import hash_uniform
+from .control import ControlLaw, Memory
 
 #: Lateral error beyond which a run has left the road (a fixed value).
 MAX_XTE = 2.5
@@ -116,23 +117,12 @@ def replay_control(states: DataFrame, latency: int = 0, tau: float = 0.0, k_lat:
     oldest there is, at first), smoothed with time constant ``tau``; steering is limited by rate. One run is one group.
     """
 
+    law = ControlLaw(latency, tau, k_lat, k_head, k_throttle, max_rate, reference_dt)
+
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step")
-        lateral, heading, dt = (rows[c].to_numpy(float) for c in ("lateral", "heading", "dt"))
-        dt = np.where(dt > 0, dt, reference_dt)
-        seen = np.maximum(np.arange(len(rows)) - latency, 0)
-        errors = np.stack([lateral[seen], heading[seen]])
-        steer, last, held = np.empty(len(rows)), 0.0, None
-        for i in range(len(rows)):
-            if tau > 0:
-                keep = np.exp(-dt[i] / tau)
-                held = errors[:, i] if held is None else keep * held + (1 - keep) * errors[:, i]
-            else:
-                held = errors[:, i]
-            wish = float(np.clip(-k_lat * held[0] - k_head * held[1], -1, 1))
-            last = last + float(np.clip(wish - last, -max_rate * dt[i], max_rate * dt[i])) if max_rate > 0 else wish
-            steer[i] = last
-        throttle = np.clip(k_throttle * (rows["target"].to_numpy(float) - rows["speed"].to_numpy(float)), -1, 1)
+        rows, memory = rows.sort_values("step"), Memory.fresh()
+        steer = [law.steer(memory, *x) for x in zip(*(rows[c].astype(float) for c in ("lateral", "heading", "dt")), strict=True)]
+        throttle = law.throttle(rows["speed"].to_numpy(float), rows["target"].to_numpy(float))
         return pd.DataFrame({run: rows[run], "step": rows["step"], "steer": steer, "throttle": throttle})
 
     return states.groupBy(run).applyInPandas(replay, f"{run} long, step int, steer double, throttle double")

@@ -65,9 +65,22 @@ def failure_mode(steps: DataFrame, run: str = "run_id") -> DataFrame:
     return out.select(run, mode.alias("mode"), F.when(F.col("last_xte") < 0, "left").otherwise("right").alias("side"))
 
 
-def episode_end(steps: DataFrame, max_xte: float, run: str = "run_id") -> DataFrame:
-    """First step outside the lane, for each run that leaves it."""
-    return steps.where(F.abs("xte") > max_xte).groupBy(run).agg(F.min("step").alias("end_step"))
+SILENT = "silent"
+
+
+def end_reason(max_xte: float, max_seconds: float) -> Column:
+    """Why a step (elapsed, xte, done, beyond_end) ends its run: the first of time, lane, done, road; null if it goes on."""
+    return (
+        F.when(F.col("elapsed") > max_seconds, "time").when(F.abs("xte") > max_xte, "lane").when(F.col("done"), "done").when(F.col("beyond_end"), "road")
+    )
+
+
+def episode_end(steps: DataFrame, max_xte: float, max_seconds: float, run: str = "run_id") -> DataFrame:
+    """run, end_step, reason: the first step that ends the run, or its last one, with ``silent``, if none does."""
+    reason = end_reason(max_xte, max_seconds)
+    step = F.when(reason.isNotNull(), F.col("step"))
+    got = steps.groupBy(run).agg(F.min(step).alias("end_step"), F.min_by(reason, step).alias("reason"), F.max("step").alias("last_step"))
+    return got.select(run, F.coalesce("end_step", "last_step").cast("long").alias("end_step"), F.coalesce("reason", F.lit(SILENT)).alias("reason"))
 
 
 def braking_margin(steps: DataFrame, params: DataFrame, run: str = "run_id") -> DataFrame:

@@ -89,12 +89,6 @@ def _(spark, sf_dir):
     return outcomes.centreline(roads).select("run_id", "vertex", r6("x", "x"), r6("y", "y"))
 
 
-@query("k5_control_replay")
-def _(spark, sf_dir):
-    st = views.telemetry(spark, sf_dir).select("run_id", "step", F.col("xte").alias("lateral"), (F.col("steering") / 3).alias("heading"), (F.col("speed_kmh") / 3.6).alias("speed"), F.lit(8.0).alias("target"), F.lit(0.1).alias("dt"))
-    return outcomes.replay_control(st, latency=2, tau=0.2)
-
-
 @query("e3_rare_summary", f"WITH {SCORED} SELECT arm, point_id, round(t0, 4) AS quantity, round(t1, 4) AS discount, round(t2, 4) AS tax FROM sc WHERE margin < 0 AND is_rare")
 def _(spark, sf_dir):
     names = [a.name for a in ODD.axes]
@@ -250,12 +244,9 @@ def _(spark, sf_dir):
     return both.select("arm", *[F.col(c).cast("long").alias(c) for c in ("rank_a", "rank_b")])
 
 
-EARLY = METRICS.replace(" FROM st GROUP BY run_id)", " FROM st WHERE step < 20 GROUP BY run_id)")
-
-
-@query("k1_running_margin", f"WITH {EARLY} SELECT run_id, n_steps, round(margin, 6) AS margin FROM mm")
+@query("k1_running_margin", f"WITH {METRICS} SELECT run_id, n_steps, round(margin, 6) AS margin FROM mm")
 def _(spark, sf_dir):
-    return live.running_margin(views.telemetry(spark, sf_dir).where("step < 20")).select("run_id", "n_steps", r6("margin", "margin"))
+    return live.running_margin(views.telemetry(spark, sf_dir)).select("run_id", "n_steps", r6("margin", "margin"))
 
 
 @query("k4_once_per_job", "SELECT DISTINCT user_id, event_type FROM events")

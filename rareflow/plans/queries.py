@@ -331,11 +331,6 @@ def _(spark, sf_dir):
     return telemetry.failure_mode(views.telemetry(spark, sf_dir))
 
 
-@query("k2_episode_end", f"WITH {views.TELEMETRY} SELECT run_id, min(step) AS end_step FROM st WHERE abs(xte) > 1.2 GROUP BY run_id")
-def _(spark, sf_dir):
-    return telemetry.episode_end(views.telemetry(spark, sf_dir), 1.2).withColumn("end_step", F.col("end_step").cast("long"))
-
-
 @query("c10_cut_in", f"WITH {views.TELEMETRY} SELECT run_id, round(coalesce(min(speed_kmh) FILTER (abs(xte) < 0.3), 'Infinity'::DOUBLE) - 1.5, 6) AS margin FROM st GROUP BY run_id")
 def _(spark, sf_dir):
     st = views.telemetry(spark, sf_dir).select("run_id", (F.abs("xte") / 0.3 * 1.75).alias("lat_gap"), F.col("speed_kmh").alias("long_gap"))
@@ -700,7 +695,7 @@ def _(spark, sf_dir):
     return surrogate.axis_importance(lengths).select("name", r6("importance", "importance"))
 
 
-from . import extra  # noqa: E402, F401  (registers further queries)
+from . import extra, streams  # noqa: E402, F401  (they register further queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
