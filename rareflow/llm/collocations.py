@@ -1,7 +1,7 @@
 """Phrase collocations by dynamic itemset counting over shards of the corpus.
 
 1. One pass turns texts into rows of word ids, dealt to shards, and lists each word once for a task. Ids are 64-bit
-   hashes; a grouping proves that no two words share one, and another seed is taken if two do.
+   hashes; a grouping proves that no two words share one, and another seed is taken if two do. Languages count as words.
 2. Shards are scanned in turn, again and again. Words are counted from the first step on. A longer phrase is counted
    from the step at whose start both its subphrases (all words but the last, all but the first) are known to be
    frequent, for one full cycle, so each shard is seen once. Phrases of all lengths run at the same time; the scans end
@@ -25,10 +25,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, keep, kept_tables, mix, release, text_or_empty, texts
+from .common import keep, kept_tables, mix, powers, release, text_or_empty, texts
 
 #: Shards of a cycle, words of the longest phrase, bits of the bitmap of a length (8 MB).
-SHARDS, LONGEST, BITS = 3, 5, 26
+SHARDS, LONGEST, BITS = 2, 5, 26
 #: Word ids of a row at most, but for those looked ahead; ids that a task handles at a time.
 CHUNK, SLICE = 1 << 13, 1 << 20
 #: Words that a task remembers; others are hashed and listed each time.
@@ -76,7 +76,7 @@ def encoded(docs: DataFrame, seed: int, shards: int) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
             shard, lang, own, n_words = map(list, zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), pa.array(lang, pa.string()), ids, pa.array(own, pa.int32()), pa.array(n_words, pa.int64()), pa.array(words, pa.list_(pa.string()))],
+                [pa.array(shard, pa.int32()), pa.array(lang, pa.int64()), ids, pa.array(own, pa.int32()), pa.array(n_words, pa.int64()), pa.array(words, pa.list_(pa.string()))],
                 names=["shard", "lang", "ids", "own", "n_words", "words"],
             )
 
@@ -88,7 +88,8 @@ def encoded(docs: DataFrame, seed: int, shards: int) -> DataFrame:
             parts.clear(), rows.clear(), known.fresh.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+            for name, text in zip(texts(batch, "lang"), texts(batch), strict=True):
+                lang = known[name]
                 tokens = tokens_of(text)
                 ids = np.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), 0)
                 for start in range(0, len(ids), CHUNK):
@@ -102,7 +103,7 @@ def encoded(docs: DataFrame, seed: int, shards: int) -> DataFrame:
                     size = 0
         yield from flushed()
 
-    return docs.select("lang", "text").mapInArrow(run, "shard int, lang string, ids array<long>, own int, n_words long, words array<string>")
+    return docs.select("lang", "text").mapInArrow(run, "shard int, lang long, ids array<long>, own int, n_words long, words array<string>")
 
 
 def coded_corpus(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
@@ -116,14 +117,18 @@ def coded_corpus(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
         release(docs.sparkSession, *kept_tables()[-2:])
 
 
-def lang_hashes(names: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], np.uint64)
+class Hashes:
+    """Hashes of the runs of m ids, with the language of their place, for any m: differences of one running polynomial sum."""
 
+    def __init__(self, ids: np.ndarray, lang: np.ndarray) -> None:
+        up, self.down = powers(len(ids) + 1)
+        self.lang = lang.view(np.uint64)
+        with np.errstate(over="ignore"):
+            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids.view(np.uint64) * up[:-1], dtype=np.uint64)])
 
-def phrase_hashes(ids: np.ndarray, lang: np.ndarray, m: int) -> np.ndarray:
-    """A hash of each run of m ids with its language (a hash for each place)."""
-    with np.errstate(over="ignore"):
-        return mix(gram_hashes(ids.view(np.uint64), m) + lang[: max(0, len(ids) - m + 1)] * np.uint64(2 * m + 1))
+    def at(self, starts: np.ndarray, m: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[starts + m] - self.total[starts]) * self.down[starts] + self.lang[starts] * np.uint64(2 * m + 1))
 
 
 def packed(bitmap: np.ndarray) -> bytes:
@@ -152,7 +157,7 @@ def occurrences(shard: DataFrame, shared: Broadcast, words: bool) -> DataFrame:
     m + 1 words runs if both its subphrases are in the first, and not both in the second. ``words``: whether words run.
     """
 
-    def grouped(names: pa.Array, lang: np.ndarray, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, m: int) -> pa.RecordBatch:
+    def grouped(lang: np.ndarray, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, m: int) -> pa.RecordBatch:
         order = np.argsort(hashes)
         starts, hashes = starts[order], hashes[order]
         columns = [lang[starts], *(ids[starts + k] for k in range(m))]
@@ -162,33 +167,34 @@ def occurrences(shard: DataFrame, shared: Broadcast, words: bool) -> DataFrame:
             first[1:] |= column[1:] != column[:-1]
         at = np.flatnonzero(first)
         none = np.zeros(len(at), np.int64)
-        held = [pa.array(columns[k][at] if k <= m else none) for k in range(1, LONGEST + 1)]
-        return pa.RecordBatch.from_arrays([names.take(pa.array(columns[0][at])), *held, pa.array(np.diff(np.append(at, len(starts))))], names=["lang", *WORDS, "n"])
+        held = [pa.array(columns[k][at] if k <= m else none) for k in range(LONGEST + 1)]
+        return pa.RecordBatch.from_arrays([*held, pa.array(np.diff(np.append(at, len(starts))))], names=["lang", *WORDS, "n"])
 
     def handled(batches: list[pa.RecordBatch], known: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches).combine_chunks()
-        coded, lists = (table.column(k).combine_chunks() for k in (0, 1))
-        coded = coded.dictionary_encode()
+        lists = table.column(1).combine_chunks()
         ids, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-        lang = np.repeat(coded.indices.to_numpy(), sizes)
-        salt = lang_hashes(coded.dictionary.to_pylist())[lang]
+        lang = np.repeat(table.column(0).to_numpy(), sizes)
         own = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(table.column(2).to_numpy(), sizes)
-        whole = ids != 0
+        whole, hashes = ids != 0, Hashes(ids, lang)
         if words and (own & whole).any():
             starts = np.flatnonzero(own & whole)
-            yield grouped(coded.dictionary, lang, ids, starts, ids[starts].view(np.uint64) ^ salt[starts], 1)
+            yield grouped(lang, ids, starts, ids[starts] ^ lang[starts], 1)
         for m, (now, before) in sorted(known.items()):
             n = len(ids) - m + 1  # places where m words may start
             if n < 2:
                 continue
             inside = np.flatnonzero(np.logical_and.reduce([whole[k : k + n] for k in range(m)]))
-            hashes = phrase_hashes(ids, salt, m)
-            found = np.zeros((2, n), bool)
-            found[0, inside] = is_known(now, hashes[inside])
-            found[1, inside] = is_known(before, hashes[inside])
-            starts = np.flatnonzero(found[0, :-1] & found[0, 1:] & ~(found[1, :-1] & found[1, 1:]) & own[: n - 1])
+            found = np.zeros(n, np.uint64)  # the hash of a frequent phrase of m words that starts here
+            found[inside] = hashes.at(inside, m)
+            frequent = np.zeros(n, bool)
+            frequent[inside] = is_known(now, found[inside])
+            starts = np.flatnonzero(frequent[:-1] & frequent[1:] & own[: n - 1])
+            starts = starts[~(is_known(before, found[starts]) & is_known(before, found[starts + 1]))]
             if len(starts):
-                yield grouped(coded.dictionary, lang, ids, starts, phrase_hashes(ids, salt, m + 1)[starts], m + 1)
+                with np.errstate(over="ignore"):
+                    longer = mix(found[starts] + found[starts + 1] * np.uint64(3))
+                yield grouped(lang, ids, starts, longer, m + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = {m: tuple(map(unpacked, pair)) for m, pair in shared.value.items()}, [], 0
@@ -204,7 +210,7 @@ def occurrences(shard: DataFrame, shared: Broadcast, words: bool) -> DataFrame:
         if held:
             yield from handled(held, known)
 
-    return shard.select("lang", "ids", "own").mapInArrow(run, f"lang string, {', '.join(f'{w} long' for w in WORDS)}, n long")
+    return shard.select("lang", "ids", "own").mapInArrow(run, f"lang long, {', '.join(f'{w} long' for w in WORDS)}, n long")
 
 
 def set_bits(phrases: DataFrame, bits: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -212,11 +218,11 @@ def set_bits(phrases: DataFrame, bits: int) -> dict[int, tuple[np.ndarray, np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lang = np.stack([batch.column(1 + k).to_numpy() for k in range(LONGEST)], 1), lang_hashes(batch.column(0).to_pylist())
+            ids, lang = np.stack([batch.column(1 + k).to_numpy() for k in range(LONGEST)], 1), batch.column(0).to_numpy()
             sizes = np.count_nonzero(ids, 1)
             for m in set(sizes.tolist()):
                 rows = np.flatnonzero(sizes == m)
-                hashes = phrase_hashes(ids[rows, :m].ravel(), np.repeat(lang[rows], m), m)[::m]
+                hashes = Hashes(ids[rows, :m].ravel(), np.repeat(lang[rows], m)).at(np.arange(len(rows)) * m, m)
                 at = np.concatenate(places(hashes, bits)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, np.int32)), pa.array(at)], names=["m", "place"])
 
@@ -320,4 +326,5 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = LONGEST, perc
     few = named.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", F.col("text").alias("phrase"), "a", "l", "r", "n", "score")
+    names = words.withColumnsRenamed({"id": "lang", "word": "name"})
+    return ranked.join(names, "lang").select(F.col("name").alias("lang"), "rank", F.col("text").alias("phrase"), "a", "l", "r", "n", "score")

@@ -100,7 +100,7 @@ _POWERS: dict[str, np.ndarray] = {}
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, 1 << 16)
@@ -115,7 +115,7 @@ def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     n = len(ids)
     if n < k:
         return np.empty(0, np.uint64)
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * up[:n], dtype=np.uint64)])
         return mix((total[k:] - total[:-k]) * down[: n - k + 1])

@@ -143,8 +143,8 @@ def test_phrases_across_rows_of_ids(spark, monkeypatch):
     coded, words = collocations.coded_corpus(spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce(lang, 'und') as lang", "coalesce(text, '') as text").repartition(2), 2)
     spelled = dict(map(tuple, words.collect()))
     f, n = counts(rows)
-    assert Counter({r.lang: r.n for r in coded.where("shard >= 0").groupBy("lang").agg({"n_words": "sum"}).toDF("lang", "n").collect()}) == n
-    got = {(r.lang, tuple(spelled[r[w]] for w in collocations.WORDS if r[w])): r.n for r in collocations.frequent_phrases(coded, 2, shards=2, bits=12).collect()}
+    assert Counter({spelled[r.lang]: r.n for r in coded.where("shard >= 0").groupBy("lang").agg({"n_words": "sum"}).toDF("lang", "n").collect()}) == n
+    got = {(spelled[r.lang], tuple(spelled[r[w]] for w in collocations.WORDS if r[w])): r.n for r in collocations.frequent_phrases(coded, 2, shards=2, bits=12).collect()}
     assert got == {k: a for k, a in f.items() if a >= 2}
 
 
@@ -162,7 +162,7 @@ def test_colliding_word_ids_take_another_seed(spark, monkeypatch):
 
     monkeypatch.setattr(collocations, "encoded", encoded)
     _, words = collocations.coded_corpus(docs, 2)
-    assert seeds == [1, 2] and {r.word for r in words.collect()} == {"one", "two", "three"}
+    assert seeds == [1, 2] and {r.word for r in words.collect()} == {"one", "two", "three", "en"}
 
 
 def test_collocations_of_no_rows(spark):
