@@ -30,7 +30,7 @@ from .common import keep, kept_tables, mix, powers, release, text_or_empty, text
 #: Shards of a cycle, words of the longest phrase, bits of the bitmap of a length (8 MB).
 SHARDS, LONGEST, BITS = 2, 5, 26
 #: Word ids of a row at most, but for those looked ahead; ids that a task handles at a time.
-CHUNK, SLICE = 1 << 13, 1 << 20
+CHUNK, SLICE = 1 << 13, 1 << 19
 #: Words that a task remembers; others are hashed and listed each time.
 KNOWN = 400_000
 #: A-Z to a-z, tabs to spaces, ends of pieces to one sign that no word can hold (fixed values).
@@ -160,15 +160,16 @@ def occurrences(shard: DataFrame, shared: Broadcast, words: bool) -> DataFrame:
     def grouped(lang: np.ndarray, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, m: int) -> pa.RecordBatch:
         order = np.argsort(hashes)
         starts, hashes = starts[order], hashes[order]
-        columns = [lang[starts], *(ids[starts + k] for k in range(m))]
         first = np.ones(len(starts), bool)  # where the hash, or whatever shares it, changes
         first[1:] = hashes[1:] != hashes[:-1]
-        for column in columns:
-            first[1:] |= column[1:] != column[:-1]
+        for column in (lang, *(ids[k:] for k in range(m))):
+            held = column[starts]
+            first[1:] |= held[1:] != held[:-1]
         at = np.flatnonzero(first)
+        n, starts = np.diff(np.append(at, len(starts))), starts[at]
         none = np.zeros(len(at), np.int64)
-        held = [pa.array(columns[k][at] if k <= m else none) for k in range(LONGEST + 1)]
-        return pa.RecordBatch.from_arrays([*held, pa.array(np.diff(np.append(at, len(starts))))], names=["lang", *WORDS, "n"])
+        columns = [lang[starts], *(ids[starts + k] if k < m else none for k in range(LONGEST)), n]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lang", *WORDS, "n"])
 
     def handled(batches: list[pa.RecordBatch], known: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches).combine_chunks()
