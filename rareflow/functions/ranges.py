@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rank error of the sketch that brackets a quantile, as a share of the rows.
-ACCURACY = 5_000
+#: Accuracy of the sketch that brackets a quantile, steps of its grid, and rows of an interval that are sorted as they are.
+ACCURACY, GRID, INSIDE = 5_000, 1_000, 20_000
 
 
 def ready(spark: SparkSession) -> None:
@@ -22,12 +22,30 @@ def ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ready(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
+_STORED: dict[str, DataFrame] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The table written once in the checkpoint folder and read back. A checkpoint would compute it twice."""
+    """The table written once in the checkpoint folder and read back. A checkpoint would compute it twice, and keeps the
+    estimated sizes of its plan, which multiply from join to join in a loop; a written table has its own size."""
     ready(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[path] = out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for path in [p for p, t in _STORED.items() if any(t is x for x in tables)]:
+        where = _STORED.pop(path).sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(tables[0].sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def prefix_sums(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -52,32 +70,53 @@ def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.join(ranks, value, "left")
 
 
-def exact_quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by: list[str]) -> DataFrame:
+def exact_quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by: list[str], inside: int = INSIDE) -> DataFrame:
     """``by`` and one interpolated quantile for each name, over the rows with a value; for few groups of many rows.
 
-    A sketch brackets each quantile's rank within 2 / ACCURACY of a group's rows; rows below the bracket are counted
-    and only those inside it are sorted. Exact whatever the sketch's error within its bound.
+    Each rank that a quantile needs has an open interval of values which holds it. A sketch names two values around the
+    rank; counting the rows below, at and between them moves the interval there, or ends the search at one of the two.
+    Both values leave the interval, so columns of few values end at once, and each round leaves some hundredth of the
+    rows. What at most ``inside`` rows share is sorted. All counts are partial aggregates; the sketch only decides how
+    fast, never what.
     """
     held = rows.select(*by, value.cast("double").alias("__v")).where("__v is not null").withColumn("__g", F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
-    gap = 2 / ACCURACY
-    ends = [F.percentile_approx("__v", [max(0.0, q - gap), min(1.0, q + gap)], ACCURACY).alias(f"__b{i}") for i, q in enumerate(shares.values())]
-    # one row a group, cut from its lineage like the counts below, so that no plan holds the input more than twice
-    sketch = stored(held.groupBy("__g").agg(F.count("*").alias("__n"), *ends))
-    near = held.join(sketch, "__g")
-    brackets = F.array(*[F.struct(F.lit(i).alias("q"), F.col(f"__b{i}")[0].alias("lo"), F.col(f"__b{i}")[1].alias("hi"), (F.lit(q) * (F.col("__n") - 1)).alias("at")) for i, q in enumerate(shares.values())])
-    long = near.select("__g", "__v", F.explode(brackets).alias("b")).select("__g", "__v", "b.*")
-    v = F.col("__v")
-    # in a small group the rank may lie a step outside the bracket: the next values on both sides
-    counts = long.groupBy("__g", "q", "at").agg(
-        F.count_if(v < F.col("lo")).alias("below"), F.count_if(v <= F.col("hi")).alias("upto"),
-        F.max(F.when(v < F.col("lo"), v)).alias("prev"), F.min(F.when(v > F.col("hi"), v)).alias("next"))
-    counts = stored(counts)
-    inside = long.where("__v >= lo and __v <= hi").join(counts.select("__g", "q", "below"), ["__g", "q"])
-    place = F.col("below") + F.row_number().over(Window.partitionBy("__g", "q").orderBy("__v")) - 1
-    ends_of = inside.withColumn("place", place).where((F.col("place") == F.floor("at")) | (F.col("place") == F.ceil("at"))).select("__g", "q", "at", "place", "__v")
-    outside = counts.select("__g", "q", "at", F.explode(F.array(F.struct((F.col("below") - 1).alias("place"), F.col("prev").alias("__v")), F.struct(F.col("upto").alias("place"), F.col("next").alias("__v")))).alias("x"))
-    two = ends_of.unionByName(outside.select("__g", "q", "at", "x.place", "x.__v").where((F.col("place") == F.floor("at")) | (F.col("place") == F.ceil("at"))))
+    grid = F.percentile_approx("__v", [k / GRID for k in range(GRID + 1)], ACCURACY).alias("grid")
+    sizes = stored(held.groupBy("__g").agg(F.count("*").alias("n"), grid))
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for i, q in enumerate(shares.values())])).alias("x")
+    wanted = sizes.select("__g", "n", "grid", asked).select("__g", "n", "grid", "x.*")
+    ranks = wanted.select("__g", "q", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
+    none = F.lit(None).cast("double")
+    first = ranks.select("__g", "rank").distinct().join(sizes, "__g")
+    search = stored(first.select("__g", "rank", "grid", none.alias("lo"), none.alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("m"), none.alias("found")))
+    within = (F.col("lo").isNull() | (F.col("__v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("__v") < F.col("hi")))
+    got = None
+    while True:
+        few = search.where((F.col("m") <= inside) & F.col("found").isNull())
+        order = F.row_number().over(Window.partitionBy("__g", "rank").orderBy("__v"))
+        sorted_ = held.join(few.drop("grid"), "__g").where(within).withColumn("__at", order - 1 + F.col("below")).where(F.col("__at") == F.col("rank")).select("__g", "rank", "__v")
+        ended = sorted_.unionByName(search.where("found is not null").select("__g", "rank", F.col("found").alias("__v")))
+        got = ended if got is None else got.unionByName(ended)
+        many = search.where((F.col("m") > inside) & F.col("found").isNull())
+        if many.isEmpty():
+            break
+        place = F.floor((F.col("rank") - F.col("below") + F.lit(0.5)) / F.col("m") * GRID).cast("int")
+        ends = many.select("__g", "rank", "lo", "hi", "below", "m", F.get("grid", F.greatest(place - 3, F.lit(0))).alias("p1"), F.get("grid", F.least(place + 4, F.lit(GRID))).alias("p2"))
+        v, keys = F.col("__v"), ["__g", "rank", "lo", "hi", "below", "m", "p1", "p2"]
+        counts = held.join(ends, "__g").where(within).groupBy(*keys).agg(
+            F.count_if(v < F.col("p1")).alias("lt1"), F.count_if(v <= F.col("p1")).alias("le1"), F.count_if(v < F.col("p2")).alias("lt2"), F.count_if(v <= F.col("p2")).alias("le2"))
+        r = F.col("rank") - F.col("below")
+        left, first_end, middle, last_end = r < F.col("lt1"), r < F.col("le1"), r < F.col("lt2"), r < F.col("le2")
+        moved = counts.select(
+            "__g", "rank",
+            F.when(left, F.col("lo")).when(middle, F.col("p1")).otherwise(F.col("p2")).alias("lo"), F.when(left, F.col("p1")).when(middle, F.col("p2")).otherwise(F.col("hi")).alias("hi"),
+            (F.col("below") + F.when(left, 0).when(middle, F.col("le1")).otherwise(F.col("le2"))).alias("below"),
+            F.when(left, F.col("lt1")).when(middle, F.col("lt2") - F.col("le1")).otherwise(F.col("m") - F.col("le2")).alias("m"),
+            F.when(left, None).when(first_end, F.col("p1")).when(middle, None).when(last_end, F.col("p2")).alias("found"))
+        moved = stored(moved)
+        still = moved.where((F.col("m") > inside) & F.col("found").isNull())
+        sketch = held.join(still, "__g").where(within).groupBy("__g", "rank").agg(grid)
+        search = moved.withColumn("grid", F.lit(None).cast("array<double>")) if still.isEmpty() else stored(moved.join(sketch, ["__g", "rank"], "left"))
+    two = ranks.join(got, ["__g", "rank"]).groupBy("__g", "q", "at").agg(F.min("__v").alias("a"), F.max("__v").alias("b"))
     share = F.col("at") - F.floor("at")
-    got = two.groupBy("__g", "q", "at").agg(F.min_by("__v", "place").alias("a"), F.max_by("__v", "place").alias("b"))
-    wide = got.groupBy("__g").agg(*[F.max(F.when(F.col("q") == i, F.col("a") + share * (F.col("b") - F.col("a")))).alias(name) for i, name in enumerate(shares)])
+    wide = two.groupBy("__g").agg(*[F.max(F.when(F.col("q") == i, F.col("a") + share * (F.col("b") - F.col("a")))).alias(name) for i, name in enumerate(shares)])
     return stored(wide.select(*[F.col("__g")[c].alias(c) for c in by], *shares))

@@ -29,6 +29,61 @@ def latin_hypercube(ids: DataFrame, dims: int, design: str, ident: str = "point_
     return ids.select(F.col(design), F.col(ident).alias("point_id"), F.array(*coords).alias("u"))
 
 
+#: Rounds of the permutation. More mix better; any number is a bijection.
+ROUNDS = 6
+
+
+def turn(v: Column, salt: Column | int) -> Column:
+    """A hash of v to 31 bits; v and salt below 2**31."""
+    one = (v * 48271 + salt * F.lit(69621) + 12345) % 2147483647
+    return (one * one + v) % 2147483647
+
+
+def digits(n: int) -> tuple[int, int]:
+    """Bases a and b of two digits that reach n numbers, and fewer than a more."""
+    a = max(1, math.isqrt(max(0, n - 1)) + 1)
+    return a, max(1, -(-n // a))
+
+
+def permuted(rows: DataFrame, ident: str, n: int, key: int, name: str) -> DataFrame:
+    """Adds ``name``: a keyed permutation of 0 .. n - 1 (n below 2**60) of ``ident``, a row at a time, without sort or shuffle.
+
+    The number is two digits, of base a and b. Rounds add a hash of the one digit to the other, modulo its base. What
+    leaves the range is permuted on until it is back (cycle walking): at most a times, as fewer than a numbers lie
+    outside, so 64 times are all that is needed up to a = 64, and for larger a the chance to need more is below a ** -64.
+    """
+    a, b = digits(n)
+    out = rows.withColumns({"__l": F.floor(F.col(ident) / b) if b == 1 else F.call_function("div", F.col(ident), F.lit(b)), "__r": F.col(ident) % b})
+    for r in range(ROUNDS):
+        moved = ("__l", (F.col("__l") + turn(F.col("__r"), key * ROUNDS + r)) % a) if r % 2 == 0 else ("__r", (F.col("__r") + turn(F.col("__l"), key * ROUNDS + r)) % b)
+        out = out.withColumn(*moved)
+    number = lambda s: s["l"] * b + s["r"]
+
+    def step(s: Column, i: Column) -> Column:
+        salt = i % ROUNDS + key * ROUNDS
+        left = F.when(i % 2 == 0, (s["l"] + turn(s["r"], salt)) % a).otherwise(s["l"])
+        right = F.when(i % 2 == 0, s["r"]).otherwise((s["r"] + turn(s["l"], salt)) % b)
+        back = s["back"] | ((i % ROUNDS == 0) & (number(s) < n))  # it stays where it came back
+        return F.struct(F.when(back, s["l"]).otherwise(left).alias("l"), F.when(back, s["r"]).otherwise(right).alias("r"), back.alias("back"))
+
+    start = F.struct(F.col("__l").alias("l"), F.col("__r").alias("r"), F.lit(False).alias("back"))
+    walked = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS * min(a, 64) - 1).cast("long")), start, step, number)
+    first = F.col("__l") * b + F.col("__r")
+    return out.withColumn(name, F.when(first < n, first).otherwise(walked)).drop("__l", "__r")
+
+
+def large_latin_hypercube(ids: DataFrame, n: int, dims: int, ident: str = "point_id", salt: int = 1, scramble: bool = True) -> DataFrame:
+    """point_id, u: one Latin hypercube of n points from ids 0 .. n - 1: each axis has exactly one point in each n-th.
+
+    Every row finds its strata by itself, so the design may have any size.
+    """
+    rows = ids.select(F.col(ident).cast("long").alias("point_id"))
+    for j in range(dims):
+        rows = permuted(rows, "point_id", n, salt + j, f"__s{j}")
+    inside = [hash_uniform(F.col("point_id"), salt + dims + j) if scramble else F.lit(0.5) for j in range(dims)]
+    return rows.select("point_id", F.array(*[(F.col(f"__s{j}") + inside[j]) / n for j in range(dims)]).alias("u"))
+
+
 def to_bounds(u: Column, lower: list[float], upper: list[float]) -> Column:
     return F.array(*[F.lit(lo) + u[i] * (hi - lo) for i, (lo, hi) in enumerate(zip(lower, upper, strict=True))])
 

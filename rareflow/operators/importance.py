@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.odd import Axis, Scenario, hash_uniform, log_density, normal_cdf
-from ..functions.ranges import ready
+from ..functions.ranges import exact_quantiles, ready
 from .design import through_odd
 
 
@@ -74,10 +74,10 @@ def cross_entropy_step(points: DataFrame, dims: int, rho: float, threshold: floa
     Weights are f / q, taken relative to the largest so that nothing overflows; state is 2 numbers an axis.
     """
     valid = points.where("margin is not null").withColumn("lw", log_f - log_q)
-    gamma = valid.agg(F.percentile("margin", F.lit(rho))).first()[0]
-    if gamma is None:
+    bound = exact_quantiles(valid, F.col("margin"), {"gamma": rho}, []).first()
+    if bound is None:
         return {"gamma": None, "n_elite": 0}
-    gamma = max(gamma, threshold)
+    gamma = max(bound["gamma"], threshold)
     elite = valid.where(F.col("margin") <= gamma)
     top = elite.agg(F.max("lw")).first()[0]
     w = F.exp(F.col("lw") - (top or 0.0))

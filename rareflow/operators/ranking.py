@@ -137,7 +137,8 @@ def fixed_sequence(plan: DataFrame, seeds: DataFrame, alpha: float = 0.05) -> Da
 
 def run_rows(points: DataFrame) -> DataFrame:
     """One row for each (arm, seed): evaluations, failures, worst and 5th percentile margin."""
-    return points.groupBy("arm", "seed").agg(F.count("margin").alias("n_evaluations"), F.count_if(F.col("margin") < 0).alias("n_failures"), F.min("margin").alias("worst_margin"), F.percentile("margin", F.lit(0.05)).alias("margin_q05"))
+    got = points.groupBy("arm", "seed").agg(F.count("margin").alias("n_evaluations"), F.count_if(F.col("margin") < 0).alias("n_failures"), F.min("margin").alias("worst_margin"))
+    return got.join(exact_quantiles(points, F.col("margin"), {"margin_q05": 0.05}, ["arm", "seed"]), ["arm", "seed"], "left")
 
 
 def arm_statistics(runs: DataFrame) -> DataFrame:
@@ -235,12 +236,19 @@ def learning_share(scores: DataFrame, full: str, ablated: str, plain: str) -> Da
 
 
 def seeds_from_run_order(runs: DataFrame, points: DataFrame) -> DataFrame:
-    """Points (arm, pos) get the seed of the run whose interval holds them; arms with unequal totals drop out."""
+    """Points (arm, pos) get the seed of the run whose interval holds them; arms with unequal totals drop out.
+
+    An arm's positions are cut into as many buckets as it has runs, intervals are split at the buckets' edges, and points
+    meet the pieces of their own bucket only: pieces are at most twice the runs.
+    """
     w = Window.partitionBy("arm").orderBy("run_index")
-    cuts = runs.withColumn("stop", F.sum("n_evaluations").over(w)).withColumn("start", F.col("stop") - F.col("n_evaluations"))
-    total = runs.groupBy("arm").agg(F.sum("n_evaluations").alias("n")).join(points.groupBy("arm").agg(F.count("*").alias("m")), "arm").where("n = m").select("arm")
-    held = points.join(total, "arm", "left_semi")
-    return held.join(cuts.select("arm", "seed", "start", "stop"), "arm").where("pos >= start and pos < stop").drop("start", "stop")
+    cuts = runs.withColumn("stop", F.sum("n_evaluations").over(w)).withColumn("start", F.col("stop") - F.col("n_evaluations")).where("stop > start")
+    arms = runs.groupBy("arm").agg(F.sum("n_evaluations").alias("n"), F.count("*").alias("n_runs")).join(points.groupBy("arm").agg(F.count("*").alias("m")), "arm").where("n = m")
+    arms = arms.select("arm", F.ceil(F.col("n") / F.col("n_runs")).alias("__width"))
+    bucket = lambda c: F.floor(c / F.col("__width"))
+    pieces = cuts.join(arms, "arm").withColumn("__bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("stop") - 1)))).select("arm", "__bucket", "seed", "start", "stop")
+    held = points.join(arms, "arm").withColumn("__bucket", bucket(F.col("pos"))).drop("__width")
+    return held.join(pieces, ["arm", "__bucket"]).where("pos >= start and pos < stop").drop("start", "stop", "__bucket")
 
 
 def outside_share(points: DataFrame, lower: list[float], upper: list[float]) -> DataFrame:

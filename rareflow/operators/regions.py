@@ -9,11 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.odd import Scenario, axis_cdf
-from ..functions.ranges import exact_quantiles, ready
-
-
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+from ..functions.ranges import exact_quantiles
+from .density import dbscan, distance, neighbour_distances
 
 
 def eps_pairs(points: DataFrame, eps: float, axes: int = 2, by: Column | None = None) -> DataFrame:
@@ -30,40 +27,15 @@ def eps_pairs(points: DataFrame, eps: float, axes: int = 2, by: Column | None =
     return left.join(right, "cell").where("a < b").withColumn("dist", distance(F.col("ua"), F.col("ub"))).where(F.col("dist") <= eps).select("a", "b", "dist")
 
 
-def neighbour_distances(points: DataFrame, dims: int, k: int = 2) -> DataFrame:
-    """(point_id, dist): the distance of each point to its k-th nearest other point.
+def estimated_eps(points: DataFrame, dims: int, k: int = 2, digits: int | None = None) -> float:
+    """The median distance to the k-th nearest other point; sqrt(d) / 4 where there are too few points or it is 0.
 
-    A point with k others within a radius has its k-th among them, and these lie in the neighbouring cells of a grid of
-    that side. Points without so many are tried again with twice the radius, so only the lonely ones search far.
+    With ``digits`` it is rounded up to so many decimals: the median is itself a distance, and rounding in the last place
+    would else decide whether that pair is near.
     """
-    ready(points.sparkSession)
-    cloud = points.select("point_id", "u").checkpoint()
-    n = cloud.count()
-    if n <= k:
-        return cloud.select("point_id", F.lit(None).cast("double").alias("dist"))
-    radius, open_points, found = max(1e-3, (k / n) ** (1 / dims)), cloud, None
-    while True:
-        cells = [F.floor(F.col("u")[i] / radius) for i in range(min(2, dims))]
-        shifts = F.array(*[F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=len(cells))])
-        asked = open_points.select(F.col("point_id").alias("a"), F.col("u").alias("ua"), F.explode(F.transform(shifts, lambda s: F.array(*[c + s[i] for i, c in enumerate(cells)]))).alias("cell"))
-        others = cloud.select(F.col("point_id").alias("b"), F.col("u").alias("ub"), F.array(*cells).alias("cell"))
-        near = asked.join(others, "cell").where("a <> b").select("a", distance(F.col("ua"), F.col("ub")).alias("d")).where(F.col("d") <= radius)
-        # each task keeps its k smallest, so a dense point's neighbours are never gathered whole
-        few = near.groupBy("a").agg(F.expr(f"slice(array_sort(array_agg(d)), 1, {k})").alias("d")).where(F.size("d") == k)
-        done = few.select(F.col("a").alias("point_id"), F.col("d")[k - 1].alias("dist")).checkpoint()
-        found = done if found is None else found.unionByName(done)
-        open_points = open_points.join(done, "point_id", "left_anti").checkpoint()
-        if not open_points.limit(1).count():
-            return found
-        radius = math.inf if radius > math.sqrt(dims) else 2 * radius
-        if math.isinf(radius):
-            radius = 4 * math.sqrt(dims)
-
-
-def estimated_eps(points: DataFrame, dims: int, k: int = 2) -> float:
-    """The median distance to the k-th nearest other point; sqrt(d) / 4 where there are too few points or it is 0."""
     row = exact_quantiles(neighbour_distances(points, dims, k), F.col("dist"), {"eps": 0.5}, []).first()
-    return row["eps"] if row and row["eps"] else math.sqrt(dims) / 4
+    eps = row["eps"] if row and row["eps"] else math.sqrt(dims) / 4
+    return eps if digits is None else math.ceil(eps * 10**digits) / 10**digits
 
 
 def constraint_text(names: list[str]) -> Column:
@@ -95,32 +67,6 @@ def arm_reports(points: DataFrame, found: DataFrame) -> DataFrame:
     return per.join(regions, "owner", "left").withColumn("n_regions", F.coalesce("n_regions", F.lit(0)))
 
 
-def connected(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(point_id, region): the smallest id reachable. Min-label rounds with pointer jumping, each checkpointed."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = points.select("point_id", F.col("point_id").alias("region"))
-    while True:
-        near = both.join(labels.select(F.col("point_id").alias("b"), "region"), "b").groupBy(F.col("a").alias("point_id")).agg(F.min("region").alias("near"))
-        hop = labels.join(near, "point_id", "left").select("point_id", F.col("region").alias("was"), F.least("region", F.coalesce("near", "region")).alias("best"))
-        jump = hop.select(F.col("point_id").alias("best"), F.col("best").alias("top"))
-        new = hop.join(jump, "best").select("point_id", F.least("best", "top").alias("region"), "was").checkpoint()
-        labels = new.select("point_id", "region")
-        if not new.where("region <> was").limit(1).count():
-            return labels
-
-
-def dbscan(points: DataFrame, eps: float, min_samples: int = 2, axes: int = 2, by: Column | None = None) -> DataFrame:
-    """(point_id, region). Cores link; a border point joins its smallest core's region; noise is a region of its own."""
-    ready(points.sparkSession)
-    pairs = eps_pairs(points, eps, axes, by).checkpoint()
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cores = both.groupBy(F.col("a").alias("point_id")).agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select("point_id")
-    inner = pairs.join(cores.withColumnRenamed("point_id", "a"), "a", "left_semi").join(cores.withColumnRenamed("point_id", "b"), "b", "left_semi")
-    core_region = connected(cores, inner)
-    border = both.join(core_region.withColumnRenamed("point_id", "b"), "b").groupBy(F.col("a").alias("point_id")).agg(F.min("region").alias("border"))
-    return points.select("point_id").join(core_region, "point_id", "left").join(border, "point_id", "left").select("point_id", F.coalesce("region", "border", "point_id").alias("region"))
-
-
 def region_records(members: DataFrame, dims: int, pad: float = 0.02) -> DataFrame:
     """One row for each region from (point_id, region, owner, margin, u): size, centroid, padded box, volume, owners."""
     u = F.col("u")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.ranges import exact_quantiles
 from .design import to_unit
 from .rates import failure_rate
-from .regions import dbscan, discoveries, overlaps
+from .density import dbscan
+from .regions import discoveries, overlaps
 
 
 def backend_summary(runs: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def backend_regions(runs: DataFrame, lower: list[float], upper: list[float], eps
     """
     fails = runs.where("margin < 0").select(F.col("backend").alias("owner"), to_unit(F.col("theta"), lower, upper).alias("u"))
     places = fails.select("u").distinct().withColumn("point_id", F.xxhash64("u"))
-    labels = dbscan(places, eps, axes=min(2, len(lower)))
+    labels = dbscan(places, eps)
     return overlaps(discoveries(fails.join(places, "u").join(labels, "point_id")))
 
 
@@ -57,7 +58,9 @@ def crossing(rates: DataFrame, level: float = 0.5) -> DataFrame:
 def sweep_summary(cells: DataFrame) -> DataFrame:
     """Failure percentage, valid runs and median margin of each (angle_max, speed_max) cell."""
     n = F.count("margin")
-    return cells.groupBy("angle_max", "speed_max").agg((100.0 * F.count_if(F.col("margin") < 0) / F.when(n > 0, n)).alias("fail_pct"), n.alias("n_valid"), F.percentile("margin", F.lit(0.5)).alias("median_margin"))
+    by = ["angle_max", "speed_max"]
+    got = cells.groupBy(*by).agg((100.0 * F.count_if(F.col("margin") < 0) / F.when(n > 0, n)).alias("fail_pct"), n.alias("n_valid"))
+    return got.join(exact_quantiles(cells, F.col("margin"), {"median_margin": 0.5}, by), by, "left")
 
 
 def in_band(summary: DataFrame, low: float = 20.0, high: float = 40.0, aim: float = 30.0, k: int = 5) -> DataFrame:

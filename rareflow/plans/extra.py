@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.ranges import exact_quantiles
+from ..functions.ranges import exact_quantiles, shared
 from ..operators import design, importance, outcomes, ranking, rates, regions, sweeps, telemetry
-from ..sources import views
+from ..sources import archives, views
 from ..streaming import live
-from .queries import EPS, GRAPH, LOCAL, METRICS, ODD, ORACLE, SCORED, evaluated, failing, log_densities, members, query, r6, scored, uniform_box, uniform_sql, wilson_sql
+from .queries import GRAPH, LOCAL, METRICS, ODD, ORACLE, SCORED, evaluated, failing, log_densities, members, query, r6, scored, uniform_box, uniform_sql, wilson_sql
 
 PADDED = f"{views.TELEMETRY}, ru AS (SELECT DISTINCT run_id, run_id % 40 AS run_length FROM st), kept AS (SELECT st.* FROM st JOIN ru USING (run_id) WHERE step < run_length)"
 
@@ -260,3 +262,14 @@ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS
 def _(spark, sf_dir):
     got = live.sessions(views.table(spark, sf_dir, "events"), "ts", "user_id", "12 hours")
     return got.select("user_id", F.col("session.start").alias("start"), "n")
+
+
+@query("a2_saved_campaigns", f"""WITH {views.EVALUATIONS} SELECT arm, CASE WHEN arm LIKE 'plain%' THEN NULL ELSE seed END AS seed, count(*) AS n_points, count(margin) AS n_valid, round(min(margin), 6) AS worst_margin, round(sum(t0 + 100 * t1 + 1000 * t2), 4) AS total FROM ev GROUP BY 1, 2""")
+def _(spark, sf_dir):
+    """All evaluations through saved archives and back; one family is saved without seeds, as old campaigns were."""
+    points = views.evaluations(spark, sf_dir).withColumn("seed", F.when(~F.col("arm").startswith("plain"), F.col("seed")))
+    path = f"{shared(spark)}/archives-{uuid.uuid4().hex}"
+    archives.write_archives(points, path, [a.name for a in ODD.axes])
+    t = F.col("theta")
+    got = archives.read_archives(spark, path).groupBy("arm", "seed").agg(F.count("*").alias("n_points"), F.count("margin").alias("n_valid"), F.round(F.min("margin"), 6).alias("worst_margin"), F.round(F.sum(t[0] + 100 * t[1] + 1000 * t[2]), 4).alias("total"))
+    return got.withColumn("seed", F.col("seed").cast("int"))

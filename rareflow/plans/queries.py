@@ -17,7 +17,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 ODD = views.SCENARIO
-EPS = 0.12
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -262,13 +261,21 @@ def _(spark, sf_dir):
     return ranking.learning_share(ranking.per_seed(scored(spark, sf_dir)), "active_boundary[lhs]", "cross_entropy[random]", "plain_sampling[lhs]").select("seed", r6("share", "share"))
 
 
-@query("g15_seeds_from_order", """WITH r AS (SELECT o_orderpriority AS arm, CAST(o_custkey % 12 AS INTEGER) AS seed, count(*) AS n FROM orders GROUP BY 1, 2) SELECT arm, seed, n AS n_points FROM r""")
+RUN_ORDER = """o AS (SELECT o_orderkey, o_orderpriority AS arm, CAST(o_custkey % 12 AS INTEGER) AS seed, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey % 12, o_orderkey) - 1 AS pos FROM orders),
+r AS (SELECT arm, seed, count(*) + CASE WHEN seed = 0 AND arm LIKE '5%' THEN 1 ELSE 0 END AS n FROM o GROUP BY 1, 2), c AS (SELECT arm, seed, sum(n) OVER w AS stop, sum(n) OVER w - n AS start FROM r WINDOW w AS (PARTITION BY arm ORDER BY seed)),
+k AS (SELECT arm FROM (SELECT arm, sum(n) AS n FROM r GROUP BY 1) JOIN (SELECT arm, count(*) AS m FROM o GROUP BY 1) USING (arm) WHERE n = m)"""
+
+
+@query("g15_seeds_from_order", f"WITH {RUN_ORDER} SELECT o_orderkey, o.arm, c.seed, c.seed = o.seed AS same FROM o JOIN k ON k.arm = o.arm JOIN c ON c.arm = o.arm AND pos >= start AND pos < stop")
 def _(spark, sf_dir):
+    """Each point's seed, from run lengths alone; the arm whose runs have one evaluation too many is left out."""
     o = views.table(spark, sf_dir, "orders")
-    runs = o.groupBy(F.col("o_orderpriority").alias("arm"), (F.col("o_custkey") % 12).cast("int").alias("seed")).agg(F.count("*").alias("n_evaluations")).withColumn("run_index", F.col("seed"))
+    own = (F.col("o_custkey") % 12).cast("int")
+    spare = F.when((F.col("seed") == 0) & F.col("arm").startswith("5"), 1).otherwise(0)
+    runs = o.groupBy(F.col("o_orderpriority").alias("arm"), own.alias("seed")).agg(F.count("*").alias("n")).select("arm", "seed", F.col("seed").alias("run_index"), (F.col("n") + spare).alias("n_evaluations"))
     pos = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.col("o_custkey") % 12, "o_orderkey")) - 1
-    points = o.select(F.col("o_orderpriority").alias("arm"), pos.alias("pos"))
-    return ranking.seeds_from_run_order(runs, points).groupBy("arm", "seed").agg(F.count("*").alias("n_points"))
+    points = o.select("o_orderkey", F.col("o_orderpriority").alias("arm"), pos.alias("pos"), own.alias("own"))
+    return ranking.seeds_from_run_order(runs, points).select("o_orderkey", "arm", "seed", (F.col("seed") == F.col("own")).alias("same"))
 
 
 @query("g16_bounds_sanity", f"WITH {views.EVALUATIONS} SELECT arm, round(avg(CASE WHEN t0 < 2 OR t0 > 49 OR t1 > 0.095 OR t2 > 0.08 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS outside FROM ev GROUP BY arm")
@@ -359,6 +366,26 @@ def _(spark, sf_dir):
     return d.select("c_nationkey", "point_id", *[r6(F.col("u")[i], f"u{i}") for i in range(2)])
 
 
+def turn_sql(v: str, salt: str) -> str:
+    one = f"(({v} * 48271 + {salt} * 69621 + 12345) % 2147483647)"
+    return f"(({one} * {one} + {v}) % 2147483647)"
+
+
+#: The permutation by recursion: a round a step, until a whole number of permutations has brought the number back into range.
+LARGE = f"""n AS (SELECT count(*) AS n, CASE WHEN count(*) = 0 THEN 1 ELSE CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 END AS a FROM lineitem), d AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM n),
+w AS (SELECT id, axis, 0 AS i, id // b AS l, id % b AS r FROM d, range((SELECT n FROM d)) g(id), range(2) x(axis)
+ UNION ALL SELECT id, axis, i + 1, CASE WHEN i % 2 = 0 THEN (l + {turn_sql('r', '(i % 6 + (5 + axis) * 6)')}) % a ELSE l END, CASE WHEN i % 2 = 0 THEN r ELSE (r + {turn_sql('l', '(i % 6 + (5 + axis) * 6)')}) % b END
+ FROM w, d WHERE NOT (i > 0 AND i % 6 = 0 AND l * b + r < n)), s AS (SELECT id, axis, l * b + r AS stratum, n FROM w, d WHERE i > 0 AND i % 6 = 0 AND l * b + r < n)"""
+
+
+@query("b2_large_hypercube", f"""WITH RECURSIVE {LARGE} SELECT x.id AS point_id, {', '.join(f'round(({t}.stratum + {uniform_sql("x.id", 7 + j)}) / {t}.n, 6) AS u{j}' for j, t in enumerate('xy'))} FROM s x JOIN s y ON x.id = y.id AND x.axis = 0 AND y.axis = 1""")
+def _(spark, sf_dir):
+    """One hypercube with as many points as there are evaluations."""
+    n = views.table(spark, sf_dir, "lineitem").count()
+    d = design.large_latin_hypercube(spark.range(n), n, 2, "id", salt=5)
+    return d.select("point_id", *[r6(F.col("u")[i], f"u{i}") for i in range(2)])
+
+
 @query("b3_to_bounds", f"SELECT o_orderkey AS point_id, {', '.join(f'round({lo!r} + {hi - lo!r}::DOUBLE * {uniform_sql('o_orderkey', 11 + i)}, 6) AS t{i}' for i, (lo, hi) in enumerate(zip(ODD.lower, ODD.upper)))} FROM orders")
 def _(spark, sf_dir):
     return uniform_box(spark, sf_dir).select("point_id", *[r6(F.col("theta")[i], f"t{i}") for i in range(3)])
@@ -385,16 +412,23 @@ def _(spark, sf_dir):
 
 
 PAIRS = f"""{views.POINTS}, fp AS (SELECT * FROM pt WHERE margin < 0), pr AS (SELECT x.point_id AS a, y.point_id AS b, sqrt(pow(x.u0 - y.u0, 2) + pow(x.u1 - y.u1, 2) + pow(x.u2 - y.u2, 2) + pow(x.u3 - y.u3, 2)) AS dist FROM fp x JOIN fp y ON x.point_id < y.point_id),
-pe AS (SELECT * FROM pr WHERE dist <= {EPS})"""
+nk AS (SELECT dist FROM (SELECT a, dist FROM pr UNION ALL SELECT b, dist FROM pr) QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist) = 2),
+ep AS (SELECT ceil(coalesce(nullif(quantile_cont(dist, 0.5), 0), 0.5) * 1e6) / 1e6 AS eps FROM nk), pe AS (SELECT a, b, dist FROM pr, ep WHERE dist <= eps)"""
 
 
 def failing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.region_points(spark, sf_dir).where("margin < 0")
 
 
+def radius(failed: DataFrame) -> float:
+    """The radius of all region queries: estimated from the failing points."""
+    return regions.estimated_eps(failed, 4, digits=6)
+
+
 @query("h3_eps_pairs", f"WITH {PAIRS} SELECT a, b, round(dist, 6) AS dist FROM pe")
 def _(spark, sf_dir):
-    return regions.eps_pairs(failing(spark, sf_dir), EPS).select("a", "b", r6("dist", "dist"))
+    points = failing(spark, sf_dir)
+    return regions.eps_pairs(points, radius(points)).select("a", "b", r6("dist", "dist"))
 
 
 GRAPH = f"""{PAIRS}, e AS (SELECT a, b FROM pe UNION ALL SELECT b, a FROM pe), r AS (SELECT point_id, point_id AS root FROM fp UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.point_id WHERE e.b > r.root),
@@ -407,8 +441,8 @@ def _(spark, sf_dir):
 
 
 def found_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready(spark)
-    return regions.dbscan(failing(spark, sf_dir), EPS)
+    points = failing(spark, sf_dir)
+    return regions.dbscan(points, radius(points))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,7 +480,7 @@ h AS (SELECT x.owner, y.owner AS other, count(DISTINCT x.point_id) AS hit FROM e
 SELECT s.owner, t.owner AS other, round(coalesce(hit, 0) / s.n::DOUBLE, 6) AS coverage FROM s JOIN s t ON s.owner <> t.owner LEFT JOIN h ON h.owner = s.owner AND h.other = t.owner""")
 def _(spark, sf_dir):
     p = failing(spark, sf_dir)
-    return regions.coverage(p, regions.eps_pairs(p, EPS)).select("owner", "other", r6("coverage", "coverage"))
+    return regions.coverage(p, regions.eps_pairs(p, radius(p))).select("owner", "other", r6("coverage", "coverage"))
 
 
 @query("h15_axis_spread", f"WITH {PAIRS} SELECT axis, spread FROM (SELECT {', '.join(f'round(max(u{i}) - min(u{i}), 6) AS s{i}' for i in range(4))} FROM fp), LATERAL (VALUES {', '.join(f'({i}, s{i})' for i in range(4))}) v(axis, spread)")
@@ -620,7 +654,8 @@ rc AS (SELECT *, n >= 4 AND (least(s0, s1, s2, s3) < 0.5 * (n - 1) / (n + 1)) AS
 @query("h11_structure_score")
 def _(spark, sf_dir):
     ready(spark)
-    return regions.structure_score(failing(spark, sf_dir).select("point_id", "u"), 4, EPS)
+    points = failing(spark, sf_dir).select("point_id", "u")
+    return regions.structure_score(points, 4, radius(points))
 
 
 @query("h17_sampler_verdict", f"""WITH RECURSIVE {LOCAL}, ow AS (SELECT point_id, owner AS family, CASE WHEN point_id % 2 = 0 THEN 'lhs' ELSE 'random' END AS design FROM fp),
