@@ -76,10 +76,13 @@ def exact_quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by
     Each rank that a quantile needs has an open interval of values which holds it. A sketch names two values around the
     rank; counting the rows below, at and between them moves the interval there, or ends the search at one of the two.
     Both values leave the interval, so columns of few values end at once, and each round leaves some hundredth of the
-    rows. What at most ``inside`` rows share is sorted. All counts are partial aggregates; the sketch only decides how
-    fast, never what.
+    rows. What at most ``inside`` rows share is sorted, and so are groups that have no more from the start. All counts
+    are partial aggregates; the sketch only decides how fast, never what.
     """
     held = rows.select(*by, value.cast("double").alias("__v")).where("__v is not null").withColumn("__g", F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
+    of = [F.col("__g")[c].alias(c) for c in by]
+    if (held.groupBy("__g").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0) <= inside:
+        return held.groupBy("__g").agg(*[F.percentile("__v", F.lit(q)).alias(name) for name, q in shares.items()]).select(*of, *shares)
     grid = F.percentile_approx("__v", [k / GRID for k in range(GRID + 1)], ACCURACY).alias("grid")
     sizes = stored(held.groupBy("__g").agg(F.count("*").alias("n"), grid))
     asked = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for i, q in enumerate(shares.values())])).alias("x")
@@ -119,4 +122,4 @@ def exact_quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by
     two = ranks.join(got, ["__g", "rank"]).groupBy("__g", "q", "at").agg(F.min("__v").alias("a"), F.max("__v").alias("b"))
     share = F.col("at") - F.floor("at")
     wide = two.groupBy("__g").agg(*[F.max(F.when(F.col("q") == i, F.col("a") + share * (F.col("b") - F.col("a")))).alias(name) for i, name in enumerate(shares)])
-    return stored(wide.select(*[F.col("__g")[c].alias(c) for c in by], *shares))
+    return stored(wide.select(*of, *shares))

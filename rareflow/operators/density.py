@@ -118,20 +118,45 @@ def refined(points: DataFrame, open_pairs: DataFrame, side: float, dims: int, ep
     return links.unionByName(last)
 
 
-def connected(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(point_id, region): the smallest id reachable. Min-label rounds with pointer jumping, each a written table."""
-    both = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(points.select("point_id", F.col("point_id").alias("region"), F.lit(False).alias("moved")))
-    while True:
-        near = both.join(labels.select(F.col("point_id").alias("b"), "region"), "b").groupBy(F.col("a").alias("point_id")).agg(F.min("region").alias("near"))
-        hop = labels.join(near, "point_id", "left").select("point_id", F.col("region").alias("was"), F.least("region", F.coalesce("near", "region")).alias("best"))
-        jump = hop.select(F.col("point_id").alias("best"), F.col("best").alias("top"))
-        new = stored(hop.join(jump, "best").select("point_id", F.least("best", "top").alias("region"), (F.least("best", "top") < F.col("was")).alias("moved")))
-        discard(labels)
-        labels = new
-        if labels.where("moved").isEmpty():
-            discard(both)
-            return labels.drop("moved")
+#: Edges that one task joins up.
+SMALL = 500_000
+
+
+def joined_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(point_id, top) of all ends of the edges (a, b) of one task: union by the smaller id, paths halved."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for rows in batches:
+        for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True):
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"point_id": list(above), "top": [top(x) for x in above]}, dtype="int64")
+
+
+def connected(points: DataFrame, pairs: DataFrame, small: int = SMALL) -> DataFrame:
+    """(point_id, region): the smallest id reachable.
+
+    Every node joins its smallest neighbour, if that is smaller, and the edges left are those between what the nodes have
+    become: at least half of the nodes with edges go in a round. Once no more than ``small`` edges are left, one task
+    joins them up.
+    """
+    edges = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    labels = points.select("point_id", F.col("point_id").alias("region"))
+    while edges.count() > small:
+        least = stored(edges.groupBy(F.col("a").alias("point_id")).agg(F.min("b").alias("top")))
+        at = lambda end: least.select(F.col("point_id").alias(end), F.col("top").alias(f"top_{end}"))  # noqa: B023, E731
+        moved = edges.join(at("a"), "a").join(at("b"), "b", "left").select(F.col("top_a").alias("a"), F.coalesce("top_b", "b").alias("b")).where("a <> b")
+        left = stored(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        discard(edges)
+        edges = left
+        labels = stored(labels.join(least.withColumnRenamed("point_id", "region"), "region", "left").select("point_id", F.coalesce("top", "region").alias("region")))
+    tops = edges.coalesce(1).mapInPandas(joined_up, "point_id long, top long").withColumnRenamed("point_id", "region")
+    return stored(labels.join(tops, "region", "left").select("point_id", F.coalesce("top", "region").alias("region")))
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 2, by: Column | None = None) -> DataFrame:
@@ -164,7 +189,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 2, by: Column | Non
     touch = stored(met.groupBy("p", F.when(F.col("heavy"), F.col("node")).otherwise(F.col("q")).alias("q"), "heavy").agg(F.count("*").alias("n")))
     cores = stored(touch.groupBy(F.col("p").alias("point_id")).agg(F.sum("n").alias("n")).where(F.col("n") + 1 >= min_samples).select("point_id"))
 
-    nodes = stored(stats.where(heavy).select(F.col("node").alias("point_id")).unionByName(cores))
+    nodes = stats.where(heavy).select(F.col("node").alias("point_id")).unionByName(cores)
     ends = touch.join(cores.withColumnRenamed("point_id", "p"), "p", "left_semi").join(nodes.withColumnRenamed("point_id", "q"), "q", "left_semi").select(F.col("p").alias("a"), F.col("q").alias("b"))
     labels = connected(nodes, ends.unionByName(near.where("linked").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))))
     of = lambda name: labels.select(F.col("point_id").alias(f"node_{name}"), F.col("region").alias(f"region_{name}"))
@@ -253,7 +278,6 @@ def neighbour_distances(points: DataFrame, dims: int, k: int = 2, leaf: int = LE
         return cloud.select("point_id", F.lit(None).cast("double").alias("dist"))
     distinct = stored(cloud.groupBy("u").agg(F.count("*").alias("w")).withColumn("pid", F.monotonically_increasing_id()))
     placed, tree = leaves(distinct.select("pid", "u", "w"), dims, leaf)
-    placed = stored(placed)
     first = stored(visited(placed.select("pid", "u", "node"), placed, k))
     boxes = tree.select("node", "up", "lo", "hi", F.col("cut").isNull().alias("is_leaf"))
     above = boxes.select(F.col("node").alias("up"), F.col("lo").alias("lo_up"), F.col("hi").alias("hi_up"))
@@ -272,4 +296,4 @@ def neighbour_distances(points: DataFrame, dims: int, k: int = 2, leaf: int = LE
         asking = below.where("not is_leaf").select("pid", "u", "own", "r", F.col("node").alias("up"))
     best = first if visits is None else first.unionByName(visited(visits, placed, k))
     merged = best.groupBy("pid").agg(F.flatten(F.collect_list("best")).alias("best")).select("pid", F.array_sort("best")[k - 1].alias("dist"))
-    return cloud.join(distinct.join(merged, "pid").select("u", "dist"), "u").select("point_id", "dist")
+    return stored(cloud.join(distinct.join(merged, "pid").select("u", "dist"), "u").select("point_id", "dist"))

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.odd import normal_cdf
 from ..functions.ranges import average_ranks, exact_quantiles
 
 
@@ -64,43 +63,45 @@ def common_seed_pairs(seeds: DataFrame) -> DataFrame:
     return a.join(b, "seed").where("arm_a < arm_b").select("arm_a", "arm_b", "seed", "a", "b")
 
 
-def signed_rank_p(d: np.ndarray) -> tuple[float, float]:
-    """(W+, two-sided p) of the signed-rank test. Zeros drop; exact for at most 50 untied differences, else normal with
-    tie correction and without continuity correction. NaN where nothing is left."""
-    d = d[d != 0]
-    n = len(d)
-    if n == 0:
-        return math.nan, math.nan
-    size = np.abs(d)
-    _, where, times = np.unique(size, return_inverse=True, return_counts=True)
-    ranks = (np.cumsum(times) - (times - 1) / 2)[where]
-    w = float(ranks[d > 0].sum())
-    if n <= 50 and times.max() == 1:
-        ways = np.ones(1)
-        for r in range(1, n + 1):
-            ways = np.concatenate([ways, np.zeros(r)]) + np.concatenate([np.zeros(r), ways])
-        tail = min(w, n * (n + 1) / 2 - w)
-        return w, float(min(1.0, 2 * ways[: int(tail) + 1].sum() / 2.0**n))
-    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - float((times**3 - times).sum()) / 48)
-    z = abs(w - n * (n + 1) / 4) / sd if sd else 0.0
-    return w, math.erfc(z / math.sqrt(2))
+#: Untied differences up to which the signed-rank test counts instead of approximating.
+EXACT = 50
 
 
-def paired_tests(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """n, wins, w_plus and p for each group of pairs (a, b); non-finite pairs drop; fewer than two give no p.
+def signed_rank_tail(m: Column, tail: Column) -> Column:
+    """Two-sided p of m untied differences: how many subsets of the ranks 1 .. m have a sum of at most ``tail``.
 
-    A group holds one row for each seed, so it is small by nature.
+    The counts of all sums grow by one rank at a time: each is that without the rank, and that with it.
     """
-    kinds = ", ".join(f"{k} {dict(pairs.dtypes)[k]}" for k in keys)
+    def with_rank(ways: Column, r: Column) -> Column:
+        none = F.array_repeat(F.lit(0.0), r)
+        return F.zip_with(F.concat(ways, none), F.concat(none, ways), lambda x, y: x + y)
+
+    ways = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.array(F.lit(1.0)), with_rank)
+    low = F.aggregate(F.slice(ways, F.lit(1), F.floor(tail).cast("int") + 1), F.lit(0.0), lambda x, y: x + y)
+    return F.least(F.lit(1.0), 2 * low / F.pow(F.lit(2.0), m))
 
-    def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        d = (rows["a"] - rows["b"]).to_numpy(dtype=float)
-        d = d[np.isfinite(d)]
-        w, p = signed_rank_p(d) if len(d) >= 2 else (math.nan, math.nan)
-        none = lambda x: None if math.isnan(x) else x
-        return pd.DataFrame([[*key, len(d), int((d > 0).sum()), none(w), none(p)]], columns=[*keys, "n", "wins", "w_plus", "p"])
 
-    return pairs.groupBy(*keys).applyInPandas(test, f"{kinds}, n long, wins long, w_plus double, p double")
+def paired_tests(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """n, wins, w_plus and two-sided signed-rank p for each group of pairs (a, b).
+
+    Non-finite pairs drop; fewer than two, or none that differ, give no p. Zeros drop; p is exact for at most EXACT untied
+    differences, else normal with tie correction and without continuity correction. Equal sizes are grouped before they
+    are ranked; a group has one row for each seed.
+    """
+    d = F.col("a") - F.col("b")
+    held = pairs.withColumn("__d", F.when(F.abs(d) < float("inf"), d))  # null and not-a-number are not below infinity
+    count = held.groupBy(*keys).agg(F.count("__d").alias("n"), F.count_if(F.col("__d") > 0).alias("wins"))
+    sizes = held.where(F.col("__d") != 0).groupBy(*keys, F.abs("__d").alias("__size")).agg(F.count("*").alias("t"), F.count_if(F.col("__d") > 0).alias("up"))
+    rank = F.sum("t").over(Window.partitionBy(*keys).orderBy("__size")) - F.col("t") + (F.col("t") + 1) / 2
+    t = F.col("t").cast("double")
+    ranked = sizes.withColumn("r", rank).groupBy(*keys).agg(F.sum("t").alias("m"), F.sum(F.col("r") * F.col("up")).alias("w"), F.sum(t * t * t - t).alias("ties"), F.max("t").alias("most"))
+    m, w = F.col("m"), F.col("w")
+    sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
+    z = F.when(sd > 0, F.abs(w - m * (m + 1) / 4) / sd).otherwise(0.0)
+    exact = (m <= EXACT) & (F.col("most") == 1)
+    tested = ranked.withColumn("p", F.when(exact, signed_rank_tail(m, F.least(w, m * (m + 1) / 2 - w))).otherwise(2 * normal_cdf(-z)))
+    enough = F.col("n") >= 2
+    return count.join(tested, keys, "left").select(*keys, "n", "wins", F.when(enough, w).alias("w_plus"), F.when(enough, F.col("p")).alias("p"))
 
 
 def holm(tests: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:

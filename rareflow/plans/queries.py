@@ -208,15 +208,39 @@ def _(spark, sf_dir):
     return ranking.common_seed_pairs(ranking.per_seed(scored(spark, sf_dir))).select("arm_a", "arm_b", "seed", r6("a", "a"), r6("b", "b"))
 
 
-@query("g5_paired_tests")
+def normal_tail_sql(z: str) -> str:
+    """1 - Phi(z) for z >= 0."""
+    return f"(exp(-({z}) * ({z}) / 2) * {_poly_sql(odd.CDF_TOP, f'({z})')} / {_poly_sql(odd.CDF_LOW, f'({z})')})"
+
+
+def signed_rank_sql(source: str, by: str) -> str:
+    """CTEs over ``source`` (by, d): tests (by, n, wins, w_plus, p). dp holds how many subsets of the first m ranks have each sum."""
+    return f"""dp AS (SELECT 0 AS m, [1.0::DOUBLE] AS ways UNION ALL SELECT m + 1, list_transform(range(1, len(ways) + m + 2), i -> coalesce(ways[i], 0) + CASE WHEN i > m + 1 THEN ways[i - m - 1] ELSE 0 END) FROM dp WHERE m < 50),
+sz AS (SELECT {by}, abs(d) AS s, count(*) AS t, count(*) FILTER (d > 0) AS up FROM {source} WHERE isfinite(d) AND d <> 0 GROUP BY {by}, abs(d)),
+rk AS (SELECT *, sum(t) OVER (PARTITION BY {by} ORDER BY s) - t + (t + 1) / 2.0::DOUBLE AS r FROM sz), wp AS (SELECT {by}, sum(t)::BIGINT AS m, sum(r * up) AS w, sum(t * t * t - t)::DOUBLE AS ties, max(t) AS most FROM rk GROUP BY {by}),
+nn AS (SELECT {by}, count(*) FILTER (isfinite(d)) AS n, count(*) FILTER (isfinite(d) AND d > 0) AS wins FROM {source} GROUP BY {by}),
+zz AS (SELECT wp.*, sqrt(wp.m * (wp.m + 1) * (2 * wp.m + 1) / 24.0::DOUBLE - ties / 48) AS sd, least(w, wp.m * (wp.m + 1) / 2.0::DOUBLE - w) AS tail, ways FROM wp LEFT JOIN dp ON dp.m = wp.m),
+zt AS (SELECT *, CASE WHEN sd > 0 THEN abs(w - m * (m + 1) / 4.0::DOUBLE) / sd ELSE 0.0::DOUBLE END AS z FROM zz),
+tests AS (SELECT {by}, n, wins, CASE WHEN n >= 2 THEN w END AS w_plus, CASE WHEN n >= 2 THEN CASE WHEN m <= 50 AND most = 1 THEN least(1.0, 2 * list_sum(ways[1 : floor(tail)::INT + 1]) / pow(2, m)) ELSE 2 * {normal_tail_sql('z')} END END AS p FROM nn LEFT JOIN zt USING ({by}))"""
+
+
+PAIRED = f"""{SEEDS}, na AS (SELECT count(DISTINCT arm) AS n FROM ps), cs AS (SELECT seed FROM ps GROUP BY seed HAVING count(DISTINCT arm) = (SELECT n FROM na)),
+pp AS (SELECT x.arm AS arm_a, y.arm AS arm_b, x.score - y.score AS d FROM ps x JOIN ps y USING (seed) JOIN cs USING (seed) WHERE x.arm < y.arm), {signed_rank_sql('pp', 'arm_a, arm_b')}"""
+HOLM = f"""{PAIRED}, hr AS (SELECT *, row_number() OVER w AS i, count(p) OVER (PARTITION BY p IS NULL) AS k FROM tests WINDOW w AS (PARTITION BY p IS NULL ORDER BY p, arm_a, arm_b)),
+hm AS (SELECT *, CASE WHEN p IS NOT NULL THEN max(least(1.0, (k - i + 1) * p)) OVER (PARTITION BY p IS NULL ORDER BY i) END AS p_holm FROM hr)"""
+
+
+@query("g5_paired_tests", f"WITH RECURSIVE {PAIRED} SELECT arm_a, arm_b, n, wins, w_plus, round(p, 6) AS p FROM tests")
 def _(spark, sf_dir):
-    return ranking.paired_tests(ranking.common_seed_pairs(ranking.per_seed(scored(spark, sf_dir))), ["arm_a", "arm_b"])
+    got = ranking.paired_tests(ranking.common_seed_pairs(ranking.per_seed(scored(spark, sf_dir))), ["arm_a", "arm_b"])
+    return got.withColumn("p", F.round("p", 6))
 
 
-@query("g6_holm")
+@query("g6_holm", f"WITH RECURSIVE {HOLM} SELECT 'c' AS campaign, arm_a, arm_b, n, wins, w_plus, round(p, 6) AS p, round(p_holm, 6) AS p_holm, coalesce(p_holm < 0.05, false) AS significant, round(pow(2, 1 - n), 6) AS smallest_p FROM hm")
 def _(spark, sf_dir):
     tests = ranking.paired_tests(ranking.common_seed_pairs(ranking.per_seed(scored(spark, sf_dir))), ["arm_a", "arm_b"])
-    return ranking.holm(tests.withColumn("campaign", F.lit("c")), ["campaign"]).withColumn("smallest_p", ranking.smallest_p(F.col("n")))
+    got = ranking.holm(tests.withColumn("campaign", F.lit("c")), ["campaign"]).withColumn("smallest_p", ranking.smallest_p(F.col("n")))
+    return got.withColumns({c: F.round(c, 6) for c in ("p", "p_holm", "smallest_p")})
 
 
 @query("g8_fixed_sequence")
@@ -241,9 +265,16 @@ def _(spark, sf_dir):
     return ranking.arm_statistics(views.run_summary(spark, sf_dir)).select("arm", "n_seeds", *[r6(c, c) for c in STATS])
 
 
-@query("g12_lhs_vs_random")
+#: Arms are arm<priority>[design]; each family has both designs.
+DESIGNS = f"""{views.RUNS}, lo AS (SELECT arm[:4] AS family, arm[6 : len(arm) - 1] AS design, seed, UNNEST(['n_failures', 'worst_margin', 'p_fail']) AS metric, UNNEST([n_failures::DOUBLE, worst_margin::DOUBLE, p_fail]) AS v FROM rs),
+lr AS (SELECT x.family, x.metric, x.v AS x, y.v AS y, CASE WHEN x.metric = 'worst_margin' THEN y.v - x.v ELSE x.v - y.v END AS d FROM lo x JOIN lo y USING (family, seed, metric) WHERE x.design = 'lhs' AND y.design = 'random'),
+{signed_rank_sql('lr', 'family, metric')}, me AS (SELECT family, metric, avg(x) AS xm, coalesce(stddev_samp(x), 0) AS xs, avg(y) AS ym, coalesce(stddev_samp(y), 0) AS ys FROM lr GROUP BY ALL)"""
+
+
+@query("g12_lhs_vs_random", f"WITH RECURSIVE {DESIGNS} SELECT family, metric, n, wins, w_plus, round(p, 6) AS p, round(xm, 4) AS lhs_mean, round(xs, 4) AS lhs_sd, round(ym, 4) AS random_mean, round(ys, 4) AS random_sd FROM tests JOIN me USING (family, metric) WHERE n >= 2")
 def _(spark, sf_dir):
-    return ranking.lhs_vs_random(views.run_summary(spark, sf_dir), {"n_failures": 1, "worst_margin": -1, "p_fail": 1})
+    got = ranking.lhs_vs_random(views.run_summary(spark, sf_dir), {"n_failures": 1, "worst_margin": -1, "p_fail": 1})
+    return got.withColumns({"p": F.round("p", 6)} | {c: F.round(c, 4) for c in ("lhs_mean", "lhs_sd", "random_mean", "random_sd")})
 
 
 RANKED = "(SELECT *, rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2.0::DOUBLE AS r_{n} FROM {src})"

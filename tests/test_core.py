@@ -41,16 +41,32 @@ def test_latin_hypercube_has_one_point_in_each_stratum(spark):
         assert sorted((row * 40).astype(int)) == list(range(40))
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_signed_rank_against_enumeration(seed):
-    d = np.array(random.Random(seed).sample(range(-40, 41), 8), float)
-    d = d[np.unique(np.abs(d), return_index=True)[1]]
-    d = d[d != 0]
-    w, p = ranking.signed_rank_p(d)
-    ranks = np.argsort(np.argsort(np.abs(d))) + 1
-    every = [sum(r for r, s in zip(ranks, signs) if s) for signs in itertools.product((0, 1), repeat=len(d))]
-    middle = ranks.sum() / 2
-    assert p == pytest.approx(min(1, np.mean([abs(x - middle) >= abs(w - middle) for x in every])))
+def test_signed_rank_against_enumeration(spark):
+    rows, want = [], {}
+    for seed in range(6):
+        d = np.array(random.Random(seed).sample(range(-40, 41), 8 if seed else 3), float)
+        d = d[np.unique(np.abs(d), return_index=True)[1]]
+        rows += [(seed, x, 0.0) for x in d.tolist()] + [(seed, 2.0, 2.0), (seed, float("nan"), 1.0), (seed, None, 1.0)]
+        d = d[d != 0]
+        ranks = np.argsort(np.argsort(np.abs(d))) + 1
+        w, middle = ranks[d > 0].sum(), ranks.sum() / 2
+        every = [sum(r for r, s in zip(ranks, signs) if s) for signs in itertools.product((0, 1), repeat=len(d))]
+        want[seed] = (w, min(1, np.mean([abs(x - middle) >= abs(w - middle) for x in every])))
+    got = {r.k: r for r in ranking.paired_tests(spark.createDataFrame(rows, "k int, a double, b double"), ["k"]).collect()}
+    for seed, (w, p) in want.items():
+        assert got[seed].w_plus == w and got[seed].p == pytest.approx(p)
+
+
+def test_signed_rank_with_ties_many_and_none(spark):
+    tied = [(0, x, 0.0) for x in (1.0, -1.0, 2.0, 2.0, 3.0)]
+    many = [(1, float(k) * (-1) ** (k % 3 == 0), 0.0) for k in range(1, 61)]
+    rows = tied + many + [(2, 1.0, 1.0), (2, 3.0, 3.0), (3, 1.0, 0.0), (4, None, 0.0)]
+    got = {r.k: r for r in ranking.paired_tests(spark.createDataFrame(rows, "k int, a double, b double"), ["k"]).collect()}
+    sd = math.sqrt(5 * 6 * 11 / 24 - 2 * 6 / 48)
+    assert got[0].w_plus == 13.5 and got[0].p == pytest.approx(math.erfc(abs(13.5 - 7.5) / sd / math.sqrt(2)))
+    w = sum(k for k in range(1, 61) if k % 3)
+    assert got[1].w_plus == w and got[1].p == pytest.approx(math.erfc(abs(w - 915) / math.sqrt(60 * 61 * 121 / 24) / math.sqrt(2)))
+    assert [(got[k].n, got[k].w_plus, got[k].p) for k in (2, 3, 4)] == [(2, None, None), (1, None, None), (0, None, None)]
 
 
 def test_clean_sweep_and_stop_rule(spark):

@@ -118,3 +118,44 @@ def test_a_dense_corner_is_searched_in_its_own_scale(spark):
     df = spark.range(16_000).select(F.col("id").alias("point_id"), F.array(*[F.rand(i) * 0.05 for i in range(4)]).alias("u"))
     got = density.neighbour_distances(df, 4, 2)
     assert got.count() == 16_000 and got.agg(F.max("dist")).first()[0] < 0.05
+
+
+@pytest.mark.parametrize("small", [0, 40, 10**6])
+def test_connected(spark, small):
+    r = random.Random(2)
+    nodes, order = list(range(0, 600, 3)), list(range(0, 600, 3))
+    r.shuffle(order)
+    pairs = [(a, b) for a, b in zip(order[:120], order[1:120])] + [(r.choice(order[120:]), r.choice(order[120:])) for _ in range(40)]
+    above = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            above[a] = above[b] = min(above[a], above[b])
+    df = density.connected(spark.createDataFrame([(n,) for n in nodes], "point_id long"), spark.createDataFrame(pairs, "a long, b long").repartition(3), small)
+    assert {x.point_id: x.region for x in df.collect()} == above
+
+
+@pytest.mark.parametrize("inside", [1, 3, 50])
+def test_exact_quantiles_under_ties(spark, inside):
+    from rareflow.functions.ranges import exact_quantiles
+
+    r = random.Random(7)
+    groups = {"few": [r.choice([1.0, 2.0, 2.5]) for _ in range(500)], "wide": [r.lognormvariate(0, 40) for _ in range(700)], "one": [4.0], "same": [3.0] * 90, "edge": [0.0] * 50 + [1.0] * 50, "tied": [0.0] * 200 + [r.random() for _ in range(60)] + [1.0] * 200}
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("none", None)]
+    r.shuffle(rows)
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.97, "top": 1.0}
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {x.g: x for x in exact_quantiles(df, F.col("v"), shares, ["g"], inside).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        for name, q in shares.items():
+            assert got[g][name] == pytest.approx(np.quantile(values, q), rel=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 97, 1000, 4097])
+def test_large_hypercube_has_one_point_a_stratum(spark, n):
+    from rareflow.operators import design
+
+    u = np.array([x.u for x in design.large_latin_hypercube(spark.range(n), n, 3, "id").collect()])
+    assert all(sorted(np.floor(u[:, j] * n).astype(int)) == list(range(n)) for j in range(3))
+    if n >= 1000:
+        assert abs(np.corrcoef(u.T)[0, 1:]).max() < 0.1 and abs(np.corrcoef(np.arange(n), u[:, 0])[0, 1]) < 0.1
