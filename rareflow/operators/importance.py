@@ -34,22 +34,34 @@ def usable(n_final: Column, alpha: float, least: int = 30) -> Column:
     return F.floor(n_final * alpha) >= least
 
 
-def poisson_bootstrap(points: DataFrame, value: str, resamples: int = 4000, seed: int = 1) -> DataFrame:
-    """lo, hi: 2.5 and 97.5 percentiles of the resampled mean. Each task emits one row of sums for each resample."""
+#: Chances of at most 0, 1, ... events of a Poisson law of mean 1; eleven events and more count as eleven.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(11)]
+
+
+def resample_weights(ident: np.ndarray, rep: int, seed: int) -> np.ndarray:
+    """Poisson weights by inversion of a uniform that each (row, resample) draws from its number, as ``hash_uniform`` does."""
+    i, p = (ident % 2147483647) * 4096 + rep, 2147483647
+    one = (i * 48271 + seed * 69621 + 12345) % p
+    two = (one * one + i) % p
+    return np.searchsorted(POISSON, ((two * two + seed * 7919 + 1) % p) / p, side="right")
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
 
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+def poisson_bootstrap(points: DataFrame, value: str, ident: str = "point_id", resamples: int = 4000, seed: int = 1) -> DataFrame:
+    """lo, hi: 2.5 and 97.5 percentiles of the mean over at most 4096 resamples. A row's weights hang on its id alone, so
+    they are the same however rows are dealt; each task emits one row of sums for each resample."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, s = np.zeros(resamples), np.zeros(resamples)
         for rows in batches:
-            for x in np.array_split(rows[value].to_numpy(float), max(1, len(rows) // 1000)):
-                k = rng.poisson(1.0, (resamples, len(x)))
-                w += k.sum(axis=1)
-                s += k @ x
+            ids, x = rows[ident].to_numpy(np.int64), rows[value].to_numpy(float)
+            for rep in range(resamples):
+                k = resample_weights(ids, rep, seed)
+                w[rep] += k.sum()
+                s[rep] += k @ x
         yield pd.DataFrame({"rep": np.arange(resamples), "w": w, "s": s})
 
-    per = points.select(value).mapInPandas(sums, "rep long, w double, s double").groupBy("rep").agg((F.sum("s") / F.sum("w")).alias("m"))
+    held = points.where(F.col(value).isNotNull()).select(ident, value)
+    per = held.mapInPandas(sums, "rep long, w double, s double").groupBy("rep").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     return per.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
 
 

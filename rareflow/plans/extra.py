@@ -273,3 +273,16 @@ def _(spark, sf_dir):
     t = F.col("theta")
     got = archives.read_archives(spark, path).groupBy("arm", "seed").agg(F.count("*").alias("n_points"), F.count("margin").alias("n_valid"), F.round(F.min("margin"), 6).alias("worst_margin"), F.round(F.sum(t[0] + 100 * t[1] + 1000 * t[2]), 4).alias("total"))
     return got.withColumn("seed", F.col("seed").cast("int"))
+
+
+DRAW = uniform_sql("(point_id % 2147483647 * 4096 + rep)", 3)
+INVERTED = " ".join(f"WHEN u < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(importance.POISSON))
+
+
+@query("f3_bootstrap", f"""WITH {views.EVALUATIONS}, w AS (SELECT rep, x, CASE {INVERTED} ELSE 11 END AS k FROM (SELECT rep, CASE WHEN margin < 0 THEN 1.0::DOUBLE ELSE 0.0 END AS x, {DRAW} AS u FROM ev, range(200) r(rep) WHERE margin IS NOT NULL)),
+m AS (SELECT rep, sum(k * x) / sum(k) AS m FROM w GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
+def _(spark, sf_dir):
+    """Interval of the failure rate of all valid evaluations over 200 resamples."""
+    points = views.evaluations(spark, sf_dir).where("margin is not null").select("point_id", (F.col("margin") < 0).cast("double").alias("x"))
+    got = importance.poisson_bootstrap(points, "x", resamples=200, seed=3)
+    return got.select(r6("lo", "lo"), r6("hi", "hi"))

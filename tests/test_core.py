@@ -113,9 +113,12 @@ def test_wilson_and_empty(spark):
 
 
 def test_bootstrap_and_calibration(spark):
-    rows = spark.range(400).select((F.col("id") % 10 == 0).cast("double").alias("x"))
-    r = importance.poisson_bootstrap(rows, "x", 500).first()
-    assert r.lo < 0.1 < r.hi
+    rows = spark.range(400).select(F.col("id").alias("point_id"), (F.col("id") % 10 == 0).cast("double").alias("x"))
+    r = importance.poisson_bootstrap(rows, "x", resamples=500).first()
+    assert r.lo < 0.1 < r.hi and abs(r.hi - r.lo - 2 * 1.96 * (0.09 / 400) ** 0.5) < 0.01
+    assert importance.poisson_bootstrap(rows.repartition(7), "x", resamples=500).first() == r  # rows may be dealt anyhow
+    weights = np.array([importance.resample_weights(np.arange(3000), rep, 1) for rep in range(50)])
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
     assert sweeps.calibrate(lambda x: x, 0.0, 1.0)["outcome"] == "centred"
     assert sweeps.calibrate(lambda x: 0.01, 0.0, 1.0)["outcome"] == "too easy"
 
