@@ -252,6 +252,19 @@ def dense_lines(ratios: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return values >= two_clusters(values)
 
 
+def content_lines(ratios: np.ndarray, size: np.ndarray, kind: np.ndarray, container: np.ndarray) -> np.ndarray:
+    """Which lines are content, where no element says so: the upper cluster of ratios smoothed within their container.
+
+    Ratios count up to that which half of all text has at least, so a few very long lines cannot push the others down.
+    """
+    values = np.where(kind >= CERTAIN, 0.0, ratios)
+    order = np.argsort(-values, kind="stable")
+    most = values[order[np.searchsorted(np.cumsum(size[order]), size.sum() / 2)]]
+    cuts = np.flatnonzero((kind[1:] != kind[:-1]) | (container[1:] != container[:-1])) + 1
+    values = np.concatenate([smoothed(part) for part in np.split(np.minimum(values, most), cuts)])
+    return values >= two_clusters(values)
+
+
 def main_text(html: str) -> str:
     """The article of one page: its blocks in page order, joined by newlines; empty if there is none.
 
@@ -259,7 +272,7 @@ def main_text(html: str) -> str:
     2. They are clustered again with the lines of all other marked elements at ratio 0, or, where only an ambiguous word
        marks them, smoothed apart from their neighbours.
     3. If there are article or main elements, those with dense lines are the region (all of them, if none has any). Else
-       it is the container in which dense text outweighs sparse text most, the outermost of several.
+       it is the container in which content outweighs other text most, the outermost of several.
     4. Every line of the region is kept, whatever its own ratio, but for marked elements that are not mostly dense. An
        element with only an ambiguous word is such if its text is sparse or mostly links; headings do not count there.
     """
@@ -299,7 +312,11 @@ def main_text(html: str) -> str:
         chosen = [b and bool(strong[k]) for k, b in enumerate(blocks)]
         region = tree.inside(chosen if any(chosen) else blocks)
     else:
-        net = tree.sums(np.where(gone, 0, np.where(dense, size, np.where(heading, 0, -size))))
+        holder = [0] * len(tree.tag)  # the container around each element, itself included
+        for number in range(1, len(holder)):
+            holder[number] = number if tree.tag[number] in CONTAINERS else holder[tree.parent[number]]
+        content = content_lines(ratios, size, kind[at], np.array(holder)[at])
+        net = tree.sums(np.where(gone, 0, np.where(content, size, np.where(heading, 0, -size))))
         several = tree.sums(~gone * 1.0) > 1  # around a single line it is a paragraph by another name
         candidates = [k for k, tag in enumerate(tree.tag) if k == 0 or tag in CONTAINERS and several[k]]
         best = max(candidates, key=lambda k: (net[k], -k))
