@@ -215,7 +215,7 @@ def normal_tail_sql(z: str) -> str:
 
 def signed_rank_sql(source: str, by: str) -> str:
     """CTEs over ``source`` (by, d): tests (by, n, wins, w_plus, p). dp holds how many subsets of the first m ranks have each sum."""
-    return f"""dp AS (SELECT 0 AS m, [1.0::DOUBLE] AS ways UNION ALL SELECT m + 1, list_transform(range(1, len(ways) + m + 2), i -> coalesce(ways[i], 0) + CASE WHEN i > m + 1 THEN ways[i - m - 1] ELSE 0 END) FROM dp WHERE m < 50),
+    return f"""dp AS (SELECT 0 AS m, [1.0::DOUBLE] AS ways UNION ALL SELECT m + 1, list_transform(range(1, len(ways) + m + 2), lambda i: coalesce(ways[i], 0) + CASE WHEN i > m + 1 THEN ways[i - m - 1] ELSE 0 END) FROM dp WHERE m < 50),
 sz AS (SELECT {by}, abs(d) AS s, count(*) AS t, count(*) FILTER (d > 0) AS up FROM {source} WHERE isfinite(d) AND d <> 0 GROUP BY {by}, abs(d)),
 rk AS (SELECT *, sum(t) OVER (PARTITION BY {by} ORDER BY s) - t + (t + 1) / 2.0::DOUBLE AS r FROM sz), wp AS (SELECT {by}, sum(t)::BIGINT AS m, sum(r * up) AS w, sum(t * t * t - t)::DOUBLE AS ties, max(t) AS most FROM rk GROUP BY {by}),
 nn AS (SELECT {by}, count(*) FILTER (isfinite(d)) AS n, count(*) FILTER (isfinite(d) AND d > 0) AS wins FROM {source} GROUP BY {by}),
@@ -243,13 +243,21 @@ def _(spark, sf_dir):
     return got.withColumns({c: F.round(c, 6) for c in ("p", "p_holm", "smallest_p")})
 
 
-@query("g8_fixed_sequence")
+SEQUENCE = f"""{SEEDS}, ar AS (SELECT DISTINCT arm FROM ps), pl AS (SELECT row_number() OVER (ORDER BY x.arm, y.arm) - 1 AS pos, x.arm AS a, y.arm AS b FROM ar x JOIN ar y ON x.arm < y.arm),
+fd AS (SELECT pos, x.score AS x, y.score AS y, x.score - y.score AS d FROM pl JOIN ps x ON x.arm = a JOIN ps y ON y.arm = b AND y.seed = x.seed), {signed_rank_sql('fd', 'pos')},
+mo AS (SELECT pos, max(greatest(abs(x), abs(y))) AS largest FROM fd GROUP BY pos),
+us AS (SELECT pl.*, n, wins, largest, CASE WHEN p IS NULL THEN NULL WHEN wins * 2 > n THEN p / 2 ELSE 1.0::DOUBLE END AS pu FROM pl LEFT JOIN tests USING (pos) LEFT JOIN mo USING (pos)),
+sq AS (SELECT *, coalesce(min(coalesce(pu < 0.05, false)::INT) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS open FROM us)"""
+
+
+@query("g8_fixed_sequence", f"""WITH RECURSIVE {SEQUENCE} SELECT pos, a || '|' || b AS id, a, b, 'a>b' AS direction, n, wins, round(pu, 6) AS p_used,
+ CASE WHEN open = 0 THEN 'not tested' WHEN largest = 0 THEN 'void' WHEN pu < 0.05 THEN 'rejected' ELSE 'not rejected' END AS status FROM sq""")
 def _(spark, sf_dir):
     seeds = ranking.per_seed(scored(spark, sf_dir))
     arms = seeds.select("arm").distinct()
-    plan = arms.withColumnRenamed("arm", "a").join(F.broadcast(arms.withColumnRenamed("arm", "b")), F.col("a") < F.col("b"))
-    plan = plan.select((F.row_number().over(Window.orderBy("a", "b")) - 1).alias("pos"), F.concat_ws("|", "a", "b").alias("id"), "a", "b", F.lit("a>b").alias("direction"))
-    return ranking.fixed_sequence(plan, seeds)
+    plan = arms.withColumnRenamed("arm", "a").join(arms.withColumnRenamed("arm", "b"), F.col("a") < F.col("b"))
+    plan = plan.select((F.row_number().over(Window.orderBy("a", "b")) - 1).cast("long").alias("pos"), F.concat_ws("|", "a", "b").alias("id"), "a", "b", F.lit("a>b").alias("direction"))
+    return ranking.fixed_sequence(plan, seeds).withColumn("p_used", F.round("p_used", 6))
 
 
 @query("g10_run_rows", f"WITH {views.EVALUATIONS} SELECT arm, seed, count(margin) AS n_evaluations, count(*) FILTER (margin < 0) AS n_failures, round(min(margin), 6) AS worst_margin, round(quantile_cont(margin, 0.05), 6) AS margin_q05 FROM ev GROUP BY 1, 2")
@@ -589,11 +597,20 @@ def _(spark, sf_dir):
     return importance.weighted_failure(s, ["arm"]).select("arm", F.round("p", 5).alias("p"), F.round("ess", 3).alias("ess"), "n")
 
 
-@query("f7_surrogate_scores")
+def normal_cdf_sql(z: str) -> str:
+    return f"CASE WHEN {z} > 0 THEN 1 - {normal_tail_sql(f'abs({z})')} ELSE {normal_tail_sql(f'abs({z})')} END"
+
+
+#: The scores of a Gaussian prediction of deviation 0.2 around each margin; the best margin so far is -0.1.
+SCORES = f"""{views.EVALUATIONS}, zs AS (SELECT arm, point_id, -margin / 0.2::DOUBLE AS z, -0.1::DOUBLE - margin - 0.01::DOUBLE AS gain FROM ev WHERE margin IS NOT NULL), zp AS (SELECT *, gain / 0.2::DOUBLE AS y FROM zs),
+pf AS (SELECT *, {normal_cdf_sql('z')} AS p, {normal_cdf_sql('y')} AS q FROM zp)"""
+
+
+@query("f7_surrogate_scores", f"WITH {SCORES} SELECT arm, point_id, round(p, 6) AS p_fail, round(-(p * ln(p + 1e-9) + (1 - p) * ln(1 - p + 1e-9)), 6) AS entropy, round(gain * q + 0.2::DOUBLE * exp(-y * y / 2) / 2.5066282746310002::DOUBLE, 6) AS ei FROM pf")
 def _(spark, sf_dir):
     ev = views.evaluations(spark, sf_dir)
     p = importance.failure_probability(F.col("margin"), F.lit(0.2))
-    return ev.where("margin is not null").select("arm", "point_id", p.alias("p_fail"), importance.binary_entropy(p).alias("entropy"), importance.expected_improvement(F.col("margin"), F.lit(0.2), -0.1).alias("ei"))
+    return ev.where("margin is not null").select("arm", "point_id", r6(p, "p_fail"), r6(importance.binary_entropy(p), "entropy"), r6(importance.expected_improvement(F.col("margin"), F.lit(0.2), -0.1), "ei"))
 
 
 @query("f13_best_so_far", f"""WITH {views.EVALUATIONS}, e AS (SELECT DISTINCT arm, seed, point_id, margin FROM (SELECT arm, seed, point_id, min(margin) AS margin FROM ev GROUP BY 1, 2, 3)) SELECT arm, seed, point_id, round(min(margin) OVER (PARTITION BY arm, seed ORDER BY point_id ROWS UNBOUNDED PRECEDING), 6) AS best FROM e""")
