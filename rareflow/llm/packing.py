@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from .common import keep, text_or_empty, texts
 from .vocabulary import Vocabulary
 
+#: A bin wastes at most one FULL-th of its room to stay in ``filled_first``; the distance from the bound, as a share, from which that is
+#: tried; and its budget in shifts of 4096 bits (some seconds, whatever the corpus).
+FULL, GAP, WORK = 8, 256, 30_000_000
+
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), largest first
 Solution = list[tuple[int, Pattern]]  # (number of bins, pattern)
 
@@ -94,6 +98,89 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> Solution:
     return done + [(t, tuple(f)) for group in open_bins.values() for t, f in group]
 
 
+def fullest_bins(hist: dict[int, int], capacity: int, most: int = 4) -> tuple[Solution, int]:
+    """Bins around the longest piece left, each with the fullest completion of at most ``most`` - 1 more, in as many equal
+    copies as there are pieces for; and the work done, in shifts of a row of bits.
+
+    A row of bits for each number of pieces tells which totals they reach; the completion is read back from these.
+    """
+    left, lengths, out, work = dict(hist), sorted(hist), [], 0
+    while lengths:
+        top = lengths[-1]
+        left[top] -= 1
+        room = capacity - top
+        usable = [x for x in lengths[: bisect_right(lengths, room)] if left[x]]
+        rows = [1]
+        while len(rows) < most and (row := rows[-1]):
+            more = 0
+            for x in usable:
+                more |= row << x
+            rows.append(more & ((1 << (room + 1)) - 1))
+            work += len(usable)
+        total, pieces = max((row.bit_length() - 1, -k) for k, row in enumerate(rows) if row)
+        chosen = Counter()
+        for k in range(-pieces, 0, -1):
+            x = next((x for x in reversed(usable) if x <= total and left[x] > chosen[x] and rows[k - 1] >> (total - x) & 1), None)
+            if x is None:  # a row counts a piece more often than there are copies: the bin stays as full as it is
+                break
+            chosen[x] += 1
+            total -= x
+        left[top] += 1
+        chosen[top] += 1
+        times = min(left[x] // copies for x, copies in chosen.items())
+        out.append((times, tuple(sorted(chosen.items(), reverse=True))))
+        for x, copies in chosen.items():
+            left[x] -= times * copies
+            if not left[x]:
+                lengths.remove(x)
+    return out, work
+
+
+def filled_first(hist: dict[int, int], capacity: int, number: int) -> tuple[Solution, int]:
+    """The ``number`` shortest pieces in fullest bins, as far as these are all but full; everything else by best-fit decreasing.
+
+    Best-fit pairs long pieces early and leaves middling ones that fit nothing. Filling bins with several shorter pieces
+    first makes fewer bins wherever two long ones go together anyway.
+    """
+    short, rest = {}, dict(hist)
+    for length in sorted(hist):
+        if number > 0:
+            short[length] = min(hist[length], number)
+            rest[length] -= short[length]
+            number -= short[length]
+    bins, work = fullest_bins(short, capacity)
+    kept = []
+    for times, pattern in bins:
+        if sum(length * copies for length, copies in pattern) >= capacity - capacity // FULL:
+            kept.append((times, pattern))
+        else:
+            for length, copies in pattern:
+                rest[length] += times * copies
+    return kept + best_fit_decreasing({k: v for k, v in rest.items() if v}, capacity), work
+
+
+def first_solution(hist: dict[int, int], capacity: int, bound: int) -> Solution:
+    """Best-fit decreasing, or where it is more than a GAP-th above the bound, the best of some ``filled_first``: shares of
+    the pieces in steps of a sixteenth, then finer around the best, until the budget is used up."""
+    count = lambda solution: sum(t for t, _ in solution)
+    best = best_fit_decreasing(hist, capacity)
+    if count(best) <= bound + bound // GAP:
+        return best
+    pieces, at, spent, tried = sum(hist.values()), 0.0, 0, set()
+    for step in (1 / 16, 1 / 64, 1 / 256):
+        around = [k / 16 for k in range(1, 17)] if step == 1 / 16 else [at + k * step for k in (-3, -2, -1, 1, 2, 3)]
+        for share in around:
+            number = min(pieces, round(share * pieces))
+            if number <= 0 or number in tried or spent > WORK:
+                continue
+            tried.add(number)
+            found, work = filled_first(hist, capacity, number)
+            spent += work
+            if count(found) < count(best):
+                best, at = found, share
+    return best
+
+
 def undominated(left: dict[int, int], lengths: list[int], chosen: Counter, waste: int) -> bool:
     """Martello and Toth's test: no item left out may take the place of chosen items that are together no longer.
 
@@ -157,15 +244,16 @@ def complete_bins(hist: dict[int, int], capacity: int, effort: int = 200) -> tup
     """The best solution found, the lower bound, and whether the solution is proven to be the best.
 
     Branches on the bin of the longest remaining item: each undominated filling, first in as many equal bins as counts
-    allow, then in one. A branch is cut where its waste leaves no room for a better solution than the incumbent, which
-    is best-fit decreasing at first. Best-fit may meet the bound at once. Otherwise the search ends when the tree is
+    allow, then in one. A branch is cut where its waste leaves no room for a better solution than the incumbent, at first
+    that of best-fit (``first_solution``), which may meet the bound at once. Otherwise the search ends when the tree is
     exhausted or after ``effort`` steps for each distinct length and as many for 256 more, whatever the corpus.
     """
     hist = {k: v for k, v in hist.items() if v > 0}
     if not hist:
         return [], 0, True
-    best = best_fit_decreasing(hist, capacity)
-    bins, bound = sum(t for t, _ in best), lower_bound(hist, capacity)
+    bound = lower_bound(hist, capacity)
+    best = first_solution(hist, capacity, bound)
+    bins = sum(t for t, _ in best)
     total = sum(k * v for k, v in hist.items())
     left, lengths, path, waste = dict(hist), sorted(hist), [], 0
     steps = [effort * (len(hist) + 256)]
