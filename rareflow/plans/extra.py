@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import odd
+from ..functions.odd import Axis, Scenario
 from ..functions.ranges import exact_quantiles, shared
 from ..operators import design, importance, outcomes, ranking, rates, regions, sweeps, telemetry
 from ..sources import archives, views
 from ..streaming import live
-from .queries import GRAPH, LOCAL, METRICS, ODD, ORACLE, SCORED, evaluated, failing, log_densities, members, query, r6, scored, uniform_box, uniform_sql, wilson_sql
+from .queries import GRAPH, LOCAL, METRICS, ODD, ORACLE, SCORED, evaluated, failing, log_densities, members, normal_cdf_sql, query, r6, scored, uniform_box, uniform_sql, wilson_sql
 
 PADDED = f"{views.TELEMETRY}, ru AS (SELECT DISTINCT run_id, run_id % 40 AS run_length FROM st), kept AS (SELECT st.* FROM st JOIN ru USING (run_id) WHERE step < run_length)"
 
@@ -286,3 +288,28 @@ def _(spark, sf_dir):
     points = views.evaluations(spark, sf_dir).where("margin is not null").select("point_id", (F.col("margin") < 0).cast("double").alias("x"))
     got = importance.poisson_bootstrap(points, "x", resamples=200, seed=3)
     return got.select(r6("lo", "lo"), r6("hi", "hi"))
+
+
+#: Operational marginals over the cube of the region points: two truncated normals, two uniforms.
+CUBE = Scenario((Axis("a", 0.0, 1.0, "truncnorm", 0.5, 0.2), Axis("b", 0.0, 1.0, "truncnorm", 0.3, 0.25), Axis("c", 0.0, 1.0), Axis("d", 0.0, 1.0)))
+
+
+def span_sql(axis: Axis, i: int) -> str:
+    if axis.family == "uniform":
+        return f"(h{i} - l{i})"
+    z = lambda end: f"(({end}{i} - {axis.mu!r}::DOUBLE) / {axis.sigma!r}::DOUBLE)"
+    mass = odd._phi((axis.upper - axis.mu) / axis.sigma) - odd._phi((axis.lower - axis.mu) / axis.sigma)
+    return f"((({normal_cdf_sql(z('h'))}) - ({normal_cdf_sql(z('l'))})) / {mass!r}::DOUBLE)"
+
+
+BOXES = f"""{GRAPH}, bx AS (SELECT region, count(*) AS n, {', '.join(f'greatest(0.0::DOUBLE, min(u{i}) - 0.02) AS l{i}, least(1.0::DOUBLE, max(u{i}) + 0.02) AS h{i}' for i in range(4))} FROM rg JOIN fp USING (point_id) GROUP BY region),
+cb AS (SELECT *, {', '.join(f'n >= 4 AND h{i} - l{i} < 0.5 * (n - 1) / (n + 1) AS c{i}' for i in range(4))} FROM bx)"""
+BOX_TEXT = ", ".join(f"CASE WHEN c{i} THEN printf('{a.name} in [%.2f, %.2f]', l{i}, h{i}) END" for i, a in enumerate(CUBE.axes))
+
+
+@query("h7_operational_chance", f"""WITH RECURSIVE {BOXES} SELECT region, n, round(CASE WHEN n >= 4 THEN {' * '.join(f'CASE WHEN c{i} THEN {span_sql(a, i)} ELSE 1.0::DOUBLE END' for i, a in enumerate(CUBE.axes))} END, 6) AS p_hit,
+ CASE WHEN c0 OR c1 OR c2 OR c3 THEN concat_ws(', ', {BOX_TEXT}) ELSE 'no axis constrained' END AS constraints FROM cb""")
+def _(spark, sf_dir):
+    """Each region's chance under the operational marginals, and the conditions that define it."""
+    r = regions.region_records(members(spark, sf_dir), 4)
+    return r.select("region", "n", r6(regions.hit_under(CUBE), "p_hit"), regions.constraint_text([a.name for a in CUBE.axes]).alias("constraints"))
