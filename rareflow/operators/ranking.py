@@ -161,9 +161,9 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str], least: int = 3) ->
     """Rank correlation with average ranks for each group; null below ``least`` rows or for a constant side."""
     ok = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = ok.withColumns({"__x": average_rank(x, by), "__y": average_rank(y, by)})
-    got = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("rho"), F.stddev_pop("__x").alias("sx"), F.stddev_pop("__y").alias("sy"))
+    got = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop("__x", "__y").alias("both"), F.stddev_pop("__x").alias("sx"), F.stddev_pop("__y").alias("sy"))
     fine = (F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0)
-    return got.select(*by, "n", F.when(fine, F.col("rho")).alias("rho"))
+    return got.select(*by, "n", F.when(fine, F.col("both") / (F.col("sx") * F.col("sy"))).alias("rho"))
 
 
 def rank_correlation(rows: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
@@ -173,13 +173,28 @@ def rank_correlation(rows: DataFrame, x: str, y: str, least: int = 3) -> DataFra
     """
     ok = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     ranked = average_ranks(average_ranks(ok, x, "__x"), y, "__y")
-    got = ranked.agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("rho"), F.stddev_pop("__x").alias("sx"), F.stddev_pop("__y").alias("sy")).first()
+    got = ranked.agg(F.count("*").alias("n"), F.covar_pop("__x", "__y").alias("both"), F.stddev_pop("__x").alias("sx"), F.stddev_pop("__y").alias("sy")).first()
     fine = got["n"] >= least and (got["sx"] or 0) > 0 and (got["sy"] or 0) > 0
-    rho = got["rho"] if fine else None
+    rho = max(-1.0, min(1.0, got["both"] / (got["sx"] * got["sy"]))) if fine else None
     p = student_p(rho, got["n"]) if fine else None
     return rows.sparkSession.createDataFrame([(got["n"], rho, p)], "n long, rho double, p double")
 
 
+def drift(runs: DataFrame, alpha: float = 0.05, least: int = 5) -> DataFrame:
+    """n_runs, rho, p of the rank correlation of run_index and n_failures over all arms' runs, and whether the arms were mixed.
+
+    ``interleaved``: the runs in order change their arm more often than one block an arm would. Without it, drift and arm
+    cannot be told apart. ``computable`` is false where one side does not vary; below ``least`` runs there is no row.
+    A campaign's runs are few, so one task puts them in order.
+    """
+    held = runs.where(F.col("run_index").isNotNull()).select("arm", "run_index", "n_failures")
+    before = F.lag("arm").over(Window.orderBy("run_index", "arm"))
+    mixed = held.withColumn("before", before).agg((1 + F.count_if(F.col("arm") != F.col("before")) > F.count_distinct("arm")).alias("interleaved"))
+    got = rank_correlation(held, "run_index", "n_failures", least).where(F.col("n") >= least)
+    computable = F.col("rho").isNotNull() & F.col("p").isNotNull()
+    return got.crossJoin(mixed).select(F.col("n").alias("n_runs"), "rho", "p", "interleaved", computable.alias("computable"), F.coalesce(F.col("p") < alpha, F.lit(False)).alias("drift_detected"))
+
+
 def student_p(rho: float, n: int) -> float:
     """Two-sided p of a correlation: I(v / (v + t^2); v / 2, 1 / 2), a continued fraction (modified Lentz)."""
     v = n - 2

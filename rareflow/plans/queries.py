@@ -288,12 +288,31 @@ def _(spark, sf_dir):
 RANKED = "(SELECT *, rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2.0::DOUBLE AS r_{n} FROM {src})"
 
 
-@query("g13_drift", f"""WITH {views.RUNS}, x AS {RANKED.format(by='arm', c='seed', n='x', src='rs')}, y AS {RANKED.format(by='arm', c='n_failures', n='y', src='x')}
+def student_sql(source: str) -> str:
+    """CTEs over one row (n, rho) of ``source``: stu (n, rho, p), by the finite series of the t distribution with n - 2 degrees."""
+    factor = "(1 - rho * rho) * CASE WHEN n % 2 = 0 THEN (2 * k + 1) / (2 * k + 2)::DOUBLE ELSE (2 * k + 2) / (2 * k + 3)::DOUBLE END"
+    return f"""sr AS (SELECT 0 AS k, 1.0::DOUBLE AS c, 1.0::DOUBLE AS s UNION ALL SELECT k + 1, c * f, s + c * f FROM (SELECT k, c, s, {factor} AS f FROM sr, {source} WHERE k + 1 <= CASE WHEN n % 2 = 0 THEN (n - 2) // 2 - 1 ELSE (n - 5) // 2 END)),
+stu AS (SELECT n, rho, CASE WHEN rho = 0 THEN 1 WHEN abs(rho) >= 1 THEN 0 WHEN n % 2 = 0 THEN 1 - abs(rho) * s ELSE 1 - 2 / pi() * (asin(abs(rho)) + CASE WHEN n > 3 THEN abs(rho) * sqrt(1 - rho * rho) * s ELSE 0 END) END AS p FROM {source}, (SELECT arg_max(s, k) AS s FROM sr))"""
+
+
+@query("g13_drift_by_arm", f"""WITH {views.RUNS}, x AS {RANKED.format(by='arm', c='seed', n='x', src='rs')}, y AS {RANKED.format(by='arm', c='n_failures', n='y', src='x')}
 SELECT arm, count(*) AS n, round(corr(r_x, r_y), 6) AS rho FROM y GROUP BY arm""")
 def _(spark, sf_dir):
     return ranking.spearman(views.run_summary(spark, sf_dir), "seed", "n_failures", ["arm"], 5).select("arm", "n", r6("rho", "rho"))
 
 
+#: Runs in the order of their seeds, arms mixed within a seed.
+ORDERED = f"{views.RUNS}, ro AS (SELECT 'all' AS one, *, row_number() OVER (ORDER BY seed, arm) AS run_index FROM rs)"
+
+
+@query("g13_drift", f"""WITH RECURSIVE {ORDERED}, x AS {RANKED.format(by='one', c='run_index', n='x', src='ro')}, y AS {RANKED.format(by='one', c='n_failures', n='y', src='x')}, co AS (SELECT count(*) AS n, corr(r_x, r_y) AS rho FROM y), {student_sql('co')},
+bl AS (SELECT 1 + count(*) FILTER (arm <> before) AS blocks, count(DISTINCT arm) AS arms FROM (SELECT arm, lag(arm) OVER (ORDER BY run_index) AS before FROM ro))
+SELECT n AS n_runs, round(rho, 6) AS rho, round(p, 6) AS p, blocks > arms AS interleaved, rho IS NOT NULL AS computable, coalesce(p < 0.05, false) AS drift_detected FROM stu, bl WHERE n >= 5""")
+def _(spark, sf_dir):
+    runs = views.run_summary(spark, sf_dir).withColumn("run_index", F.row_number().over(Window.orderBy("seed", "arm")))
+    return ranking.drift(runs).withColumns({"rho": F.round("rho", 6), "p": F.round("p", 6)})
+
+
 @query("g14_learning_share", f"""WITH {SEEDS}, w AS (SELECT seed, max(score) FILTER (arm = 'active_boundary[lhs]') AS f, max(score) FILTER (arm = 'cross_entropy[random]') AS a, max(score) FILTER (arm = 'plain_sampling[lhs]') AS p FROM ps GROUP BY seed)
 SELECT seed, round(CASE WHEN f - p <> 0 THEN (f - a) / (f - p) END, 6) AS share FROM w""")
 def _(spark, sf_dir):
@@ -536,12 +555,12 @@ def _(spark, sf_dir):
     return got.select("n", "n_alone", r6("max_delta", "max_delta"), "same")
 
 
-@query("i2_backend_spearman", f"""WITH {views.BACKENDS}, j AS (SELECT 'all' AS pair, f.margin AS x, g.margin AS y FROM br f JOIN br g USING (scenario_idx) WHERE f.backend = 'fast' AND g.backend = 'full' AND f.valid AND g.valid),
-x AS {RANKED.format(by='pair', c='x', n='x', src='j')}, y AS {RANKED.format(by='pair', c='y', n='y', src='x')} SELECT pair, count(*) AS n, round(corr(r_x, r_y), 6) AS rho FROM y GROUP BY pair""")
+@query("i2_backend_spearman", f"""WITH RECURSIVE {views.BACKENDS}, j AS (SELECT 'all' AS pair, f.margin AS x, g.margin AS y FROM br f JOIN br g USING (scenario_idx) WHERE f.backend = 'fast' AND g.backend = 'full' AND f.valid AND g.valid),
+x AS {RANKED.format(by='pair', c='x', n='x', src='j')}, y AS {RANKED.format(by='pair', c='y', n='y', src='x')}, co AS (SELECT count(*) AS n, corr(r_x, r_y) AS rho FROM y), {student_sql('co')} SELECT 'all' AS pair, n, round(rho, 6) AS rho, round(p, 6) AS p FROM stu""")
 def _(spark, sf_dir):
     b = views.backend_runs(spark, sf_dir).where("valid")
     both = b.where("backend = 'fast'").select("scenario_idx", F.col("margin").alias("x")).join(b.where("backend = 'full'").select("scenario_idx", F.col("margin").alias("y")), "scenario_idx")
-    return ranking.rank_correlation(both, "x", "y").select(F.lit("all").alias("pair"), "n", r6("rho", "rho"))
+    return ranking.rank_correlation(both, "x", "y").select(F.lit("all").alias("pair"), "n", r6("rho", "rho"), r6("p", "p"))
 
 
 @query("i3_backend_summary", f"WITH {views.BACKENDS} SELECT backend, count(*) FILTER (valid) AS n_valid, round(count(*) FILTER (valid AND margin < 0) / count(*) FILTER (valid)::DOUBLE, 6) AS failure_rate, quantile_cont(control_hz, 0.5) AS median_hz FROM br GROUP BY backend")

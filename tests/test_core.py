@@ -144,3 +144,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = {r.run_id: r.margin for r in live.running_margin(rows).collect()}
     assert {r.run_id: r.margin for r in spark.table("live").collect()} == pytest.approx(batch)
+
+
+def test_drift_over_all_arms(spark):
+    form = "arm string, run_index int, n_failures long"
+    mixed = [("ab"[k % 2], k, 20 - k) for k in range(12)]
+    r = ranking.drift(spark.createDataFrame(mixed, form)).first()
+    assert (r.n_runs, r.rho, r.interleaved, r.computable, r.drift_detected) == (12, pytest.approx(-1), True, True, True)
+    blocks = [("ab"[k // 6], k, (k * 7) % 5) for k in range(12)]
+    r = ranking.drift(spark.createDataFrame(blocks, form)).first()
+    assert not r.interleaved and r.computable and not r.drift_detected
+    r = ranking.drift(spark.createDataFrame([(a, k, 3) for a, k, _ in mixed], form)).first()
+    assert (r.rho, r.computable, r.drift_detected) == (None, False, False)
+    assert ranking.drift(spark.createDataFrame(mixed[:4], form)).count() == 0
