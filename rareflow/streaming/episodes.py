@@ -2,7 +2,9 @@
 
 Both keep rows in order by event time: a row acts once the watermark has passed it, when no earlier one can arrive any
 more. So the results don't depend on how the rows are cut into micro-batches; only rows later than the watermark drop.
-The session needs the RocksDB state store (``with_state``).
+State is kept for shares of the runs (``SHARES`` of them, by the run's hash), not for each: a call to Python, a state read
+and a timer for every run cost milliseconds each, and runs may be many and short. The session needs the RocksDB state
+store (``with_state``).
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +23,8 @@ from ..operators.control import ControlLaw, Memory
 from ..operators.telemetry import SILENT, end_reason
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Shares of the runs; the state of one is in memory at a time.
+SHARES = 1024
 
 
 def with_state(spark: SparkSession) -> None:
@@ -39,6 +45,32 @@ def only_timer(handle: StatefulProcessorHandle, at: int) -> None:
     handle.registerTimer(at)
 
 
+def no_timer(handle: StatefulProcessorHandle) -> None:
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+
+
+def shared_out(run: str) -> list[Column]:
+    """The share of a run and its number; rows without a run are one run, alone in share -1."""
+    share = F.when(F.col(run).isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(run), F.lit(SHARES)))
+    return [share.alias("share"), F.coalesce(F.col(run), F.lit(0)).cast("long").alias(run)]
+
+
+def with_run(out: pd.DataFrame, key: Any, run: str) -> pd.DataFrame:
+    return out if key[0] >= 0 else out.assign(**{run: pd.Series([None] * len(out), index=out.index, dtype="Int64")})
+
+
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(held: bytes) -> pa.Table:
+    return pa.ipc.open_stream(held).read_all()
+
+
 class EpisodeEnds(StatefulProcessor):
     """One row for each run: its first end, or its last step once the run has been silent for ``gap_ms``.
 
@@ -46,37 +78,59 @@ class EpisodeEnds(StatefulProcessor):
     same key begins a new one.
     """
 
+    COLUMNS = {"ended": "bool", "end_step": "int64", "reason": "object", "end_due": "int64", "last_step": "int64", "last_due": "int64", "told": "bool"}
+
     def __init__(self, gap_ms: int, run: str) -> None:
         self.gap_ms, self.run = gap_ms, run
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # -1: no end yet
-        self.state = handle.getValueState("episode", "end_step long, reason string, end_due long, last_step long, last_due long, told boolean")
+        self.state = handle.getValueState("episodes", "held binary")
+
+    def runs(self) -> pd.DataFrame:
+        """What is known of each run, by run."""
+        if self.state.exists():
+            return unpacked(self.state.get()[0]).to_pandas().set_index(self.run)
+        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in self.COLUMNS.items()}, index=pd.Index([], dtype="int64", name=self.run))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        end, reason, end_due, last, last_due, told = self.state.get() if self.state.exists() else (-1, "", -1, -1, -1, False)
-        for batch in rows:
-            at = due(batch["ts"])
-            last, last_due = max(last, int(batch["step"].max())), max(last_due, int(at.max()))
-            ends = batch[batch["reason"].notna()]
-            if len(ends) and not told:
-                first = ends["step"].idxmin()
-                if end < 0 or ends["step"][first] < end:
-                    end, reason, end_due = int(ends["step"][first]), str(ends["reason"][first]), int(at[first])
-        self.state.update((end, reason, end_due, last, last_due, told))
-        only_timer(self.handle, end_due if end >= 0 and not told else last_due + self.gap_ms)
-        return iter(())
+        new = pd.concat([batch.assign(due=due(batch["ts"])) for batch in rows])
+        last = new.groupby(self.run).agg(step=("step", "max"), due=("due", "max"))
+        ends = new[new["reason"].notna()].sort_values("step", kind="stable").drop_duplicates(self.run).set_index(self.run)
+        held = self.runs()
+        every, least = held.index.union(last.index).rename(self.run), np.iinfo("int64").min
+        blank = {"bool": False, "object": "", "int64": least}
+        held = pd.DataFrame({c: held[c].reindex(every, fill_value=blank[t]) for c, t in self.COLUMNS.items()})
+        for known, seen in (("last_step", "step"), ("last_due", "due")):
+            held[known] = np.maximum(held[known], last[seen].reindex(every, fill_value=least))
+        step = ends["step"].reindex(every, fill_value=least)
+        first = every.isin(ends.index) & ~held["told"] & (~held["ended"] | (step < held["end_step"]))
+        held["end_step"] = held["end_step"].where(~first, step)
+        held["end_due"] = held["end_due"].where(~first, ends["due"].reindex(every, fill_value=least))
+        held["reason"] = held["reason"].where(~first, ends["reason"].reindex(every, fill_value=""))
+        held["ended"] |= first
+        yield from self.passed(key, held, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        end, reason, end_due, last, last_due, told = self.state.get()
-        if told or end < 0:
-            self.state.clear()
+        yield from self.passed(key, self.runs(), timerValues.getCurrentWatermarkInMs())
+
+    def passed(self, key: Any, held: pd.DataFrame, now: int) -> Iterator[pd.DataFrame]:
+        """Tells the ends that the watermark has passed, forgets the runs that are silent, and keeps the others."""
+        silent = held["last_due"] + self.gap_ms <= now
+        tell = held["ended"] & ~held["told"] & (held["end_due"] <= now)
+        over = ~held["ended"] & silent
+        out = pd.concat([
+            pd.DataFrame({"end_step": held["end_step"][tell], "reason": held["reason"][tell]}),
+            pd.DataFrame({"end_step": held["last_step"][over], "reason": SILENT})])
+        held = held.assign(told=held["told"] | tell)[~silent]
+        if len(held):
+            self.state.update((packed(pa.Table.from_pandas(held.reset_index(), preserve_index=False)),))
+            only_timer(self.handle, int(np.where(held["ended"] & ~held["told"], held["end_due"], held["last_due"] + self.gap_ms).min()))
         else:
-            self.state.update((end, reason, end_due, last, last_due, True))
-            self.handle.registerTimer(last_due + self.gap_ms)
-        if not told:
-            yield pd.DataFrame({self.run: [key[0]], "end_step": [end if end >= 0 else last], "reason": [reason if end >= 0 else SILENT]})
+            self.state.clear()
+            no_timer(self.handle)
+        if len(out):
+            yield with_run(out.rename_axis(self.run).reset_index(), key, self.run)
 
 
 def episode_ends(steps: DataFrame, late: str, gap_ms: int, max_xte: float, max_seconds: float, run: str = "run_id") -> DataFrame:
@@ -85,8 +139,8 @@ def episode_ends(steps: DataFrame, late: str, gap_ms: int, max_xte: float, max_s
     A run's row comes once the watermark, ``late`` behind the newest row, has passed its end, or its last step by
     ``gap_ms``. Steps of a run must be in the order of their times.
     """
-    rows = steps.withWatermark("ts", late).select(run, "step", "ts", end_reason(max_xte, max_seconds).alias("reason"))
-    return rows.groupBy(run).transformWithStateInPandas(EpisodeEnds(gap_ms, run), f"{run} long, end_step long, reason string", "append", "eventTime")
+    rows = steps.withWatermark("ts", late).select(*shared_out(run), "step", "ts", end_reason(max_xte, max_seconds).alias("reason"))
+    return rows.groupBy("share").transformWithStateInPandas(EpisodeEnds(gap_ms, run), f"{run} long, end_step long, reason string", "append", "eventTime")
 
 
 STATE = ("step", "lateral", "heading", "speed", "target", "dt")

@@ -89,6 +89,18 @@ def test_episodes_however_rows_are_cut(spark, tmp_path, seed):
     assert sorted((x.run_id, x.end_step, x.reason) for x in got.collect()) == sorted((k, *v) for k, v in want.items())
 
 
+def test_many_short_runs_share_a_state(spark, tmp_path):
+    """The state of all runs is read and written a share at a time: at most SHARES keys and one for rows without a run."""
+    rows = [step(run, run % 7, xte=9.0 if run % 3 == 0 else 0.0) for run in range(6000)] + [(None, 4, at(4), 0.0, 4.0, False, False)]
+    feed = Feed(spark, tmp_path, STEPS)
+    feed.push(rows, ends)
+    progress = []
+    finish = lambda out, where: (runs.finish(out, where), progress.append(spark.read.format("statestore").option("batchId", 0).option("stateVarName", "episodes").load(f"{where}/state").count()))[0]
+    got = feed.push([step(9999, 0, ts=FAR)], ends, finish).collect()
+    assert {(x.run_id, x.end_step, x.reason) for x in got} == {(run, run % 7, "lane" if run % 3 == 0 else "silent") for run in range(6000)} | {(None, 4, "silent")}
+    assert len(got) == 6001 and progress[0] <= episodes.SHARES + 1
+
+
 STATES = "run_id long, step long, ts timestamp, lateral double, heading double, speed double, target double, dt double"
 
 
