@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.odd import normal_cdf
-from ..functions.ranges import average_ranks, exact_quantiles
+from ..functions.ranges import average_ranks, exact_quantiles, prefix_sums, stored
 
 
 def arm_scores(scored: DataFrame, by: list[str] = ["arm"]) -> DataFrame:
@@ -276,13 +276,29 @@ def outside_share(points: DataFrame, lower: list[float], upper: list[float]) ->
 
 
 def same_margins(left: DataFrame, right: DataFrame, atol: float = 1e-9) -> DataFrame:
-    """Breaches of seed-wise multiset equality of margins for each arm."""
-    w = Window.partitionBy("arm", "seed").orderBy("margin")
-    x = left.select("arm", "seed", F.col("margin").alias("x"), F.row_number().over(w).alias("rn"))
-    y = right.select("arm", "seed", F.col("margin").alias("y"), F.row_number().over(w).alias("rn"))
-    equal = (F.abs(F.col("x") - F.col("y")) <= atol) | (F.col("x").isNull() & F.col("y").isNull() & F.col("in_x") & F.col("in_y"))
-    both = x.withColumn("in_x", F.lit(True)).join(y.withColumn("in_y", F.lit(True)), ["arm", "seed", "rn"], "full_outer")
-    return both.groupBy("arm").agg(F.count_if(~F.coalesce(equal, F.lit(False))).alias("n_breaches"))
+    """Breaches of seed-wise multiset equality of margins for each arm: places, in the order of margins (nulls first), at
+    which the two copies differ or only one has a row.
+
+    Equal margins of an arm and seed are one stretch of places, found by one range sort over all stretches, so that no
+    task holds a whole arm and seed. Places that agree are where stretches of margins within ``atol`` of each other meet.
+    """
+    sides = left.select(F.lit(0).alias("side"), "arm", "seed", "margin").unionByName(right.select(F.lit(1).alias("side"), "arm", "seed", "margin"))
+    stretches = sides.groupBy("side", "arm", "seed", "margin").agg(F.count("*").alias("n"))
+    placed = stored(prefix_sums(stretches.select(F.struct("side", "arm", "seed", "margin").alias("key"), "n"), "key", "n").select("key.*", "n", "before"))
+    sizes = placed.groupBy("side", "arm", "seed").agg(F.min("before").alias("first"), F.sum("n").alias("rows"))
+    start = sizes.select(F.struct("side", "arm", "seed").alias("of"), "first")
+    held = placed.withColumn("of", F.struct("side", "arm", "seed")).join(start, "of").select("side", "arm", "seed", "margin", "n", (F.col("before") - F.col("first")).alias("start"))
+    # cells twice as wide as the tolerance: margins within it are in one cell or in two that touch
+    cell = F.rint(F.col("margin") / (2 * atol)) if atol else F.col("margin")
+    around = F.array_distinct(F.array(cell - 1, cell, cell + 1)) if atol else F.array(cell)
+    of = lambda side, name, at: held.where(F.col("side") == side).select("arm", "seed", at.alias("cell"), F.col("margin").alias(name), F.col("start").alias(f"{name}_start"), (F.col("start") + F.col("n")).alias(f"{name}_end"))
+    near = of(0, "x", cell).join(of(1, "y", F.explode(around)), ["arm", "seed", "cell"]).where(F.abs(F.col("x") - F.col("y")) <= atol)
+    none = of(0, "x", F.lit(None)).where("x is null").drop("cell").join(of(1, "y", F.lit(None)).where("y is null").drop("cell"), ["arm", "seed"])
+    common = F.greatest(F.lit(0), F.least("x_end", "y_end") - F.greatest("x_start", "y_start"))
+    agree = near.drop("cell").unionByName(none).groupBy("arm", "seed").agg(F.sum(common).alias("agree"))
+    # a row without an arm or a seed agrees with none
+    places = sizes.groupBy("arm", "seed").agg(F.when(F.col("arm").isNull() | F.col("seed").isNull(), F.sum("rows")).otherwise(F.max("rows")).alias("places"))
+    return places.join(agree, ["arm", "seed"], "left").groupBy("arm").agg(F.sum(F.col("places") - F.coalesce("agree", F.lit(0))).alias("n_breaches"))
 
 
 def compare_leaderboards(a: DataFrame, b: DataFrame, bounds_a: list, bounds_b: list) -> DataFrame:

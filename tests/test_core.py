@@ -157,3 +157,23 @@ def test_drift_over_all_arms(spark):
     r = ranking.drift(spark.createDataFrame([(a, k, 3) for a, k, _ in mixed], form)).first()
     assert (r.rho, r.computable, r.drift_detected) == (None, False, False)
     assert ranking.drift(spark.createDataFrame(mixed[:4], form)).count() == 0
+
+
+def test_same_margins_without_a_task_for_each_seed(spark):
+    """Places that differ, as sorting each arm and seed finds them; but no window sorts a whole arm and seed."""
+    r = random.Random(5)
+    values = [None, float("nan"), float("inf"), -0.0, 0.0, 0.5, 0.5 + 4e-10, 0.5 + 9e-10, 0.5 + 3e-9, 1e15, 1e15 + 1]
+    rows = lambda n: [(r.choice("ab"), r.choice([0, 1, None]), r.choice(values) if r.random() < 0.6 else r.uniform(-1, 1)) for _ in range(n)]
+    common = rows(60)
+    left, right = common + rows(9), [(a, s, m + 5e-10 if m is not None and r.random() < 0.5 else m) for a, s, m in common] + rows(6) + [("c", 1, 0.5)]
+    order = lambda m: (m is not None, math.inf if m is not None and math.isnan(m) else 0 if m is None else m, m is not None and math.isnan(m))
+    near = lambda x, y: x is None and y is None or x is not None and y is not None and abs(x - y) <= 1e-9
+    want = {}
+    for key in {(a, s) for a, s, _ in left + right}:
+        x, y = (sorted((m for a, s, m in side if (a, s) == key), key=order) for side in (left, right))
+        bad = len(x) + len(y) if key[1] is None else max(len(x), len(y)) - sum(near(p, q) for p, q in zip(x, y))
+        want[key[0]] = want.get(key[0], 0) + bad
+    form = "arm string, seed int, margin double"
+    got = ranking.same_margins(spark.createDataFrame(left, form), spark.createDataFrame(right, form))
+    assert {x.arm: x.n_breaches for x in got.collect()} == want
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
