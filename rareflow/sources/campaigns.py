@@ -103,7 +103,8 @@ def merge_campaigns(first: DataFrame, second: DataFrame, arms: list[str] | None
     from ..operators.ranking import same_margins
 
     second = second.where(F.col("arm").isin(*arms)) if arms else second
-    shared = first.select("arm").distinct().join(second.select("arm").distinct(), "arm")
+    # one row an arm, which goes to the points: a join that sorts by arm would hold a whole arm in one task
+    shared = F.broadcast(first.select("arm").distinct().join(second.select("arm").distinct(), "arm"))
     mine, theirs = (c.join(shared, "arm", "left_semi") for c in (first, second))
     blind = mine.unionByName(theirs, allowMissingColumns=True).where("seed is null").select("arm").limit(1).collect()
     if blind:

@@ -154,3 +154,15 @@ def test_eps_grows_with_lonely_points(spark):
         assert got[i] == pytest.approx(sorted(math.dist(u, v) for j, v in cloud if j != i)[1])
     assert regions.estimated_eps(df, 3, 2) == pytest.approx(np.median(list(got.values())))
     assert regions.estimated_eps(df.limit(2), 3, 2) == math.sqrt(3) / 4
+
+
+def test_merge_sorts_no_arm(spark):
+    form = "arm string, seed int, margin double"
+    one, two = (spark.createDataFrame([("x", 1, -1.0), (arm, 1, 2.0)], form) for arm in "yz")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = campaigns.merge_campaigns(one, two)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [arm" in plan and "LeftAnti" in plan.split("BroadcastHashJoin", 1)[1].split("\n")[0]
