@@ -7,7 +7,6 @@ space into leaves of equal counts, so no radius has to be guessed.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -62,31 +61,55 @@ def surely_near(a: str, b: str, dims: int, eps: float) -> Column:
     return near
 
 
-def offsets(lead: int, dims: int) -> list[tuple[int, ...]]:
-    """Half of the steps between cells, on the first ``lead`` axes, that points within eps may lie apart."""
-    reach = math.floor(math.sqrt(dims) * (1 + 1e-8)) + 1
-    fits = lambda o: sum(max(abs(x) - 1, 0) ** 2 for x in o) <= dims * (1 + 1e-8)
-    return [o for o in itertools.product(range(-reach, reach + 1), repeat=lead) if o >= (0,) * lead and fits(o)]
+def near_boxes(eps: float):
+    """For cogroups of visiting cells (node_a, lo_a, hi_a) and the cells of one leaf (node_b, lo_b, hi_b): pairs with boxes within eps."""
 
+    def run(visitors: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(visitors) and len(cells):
+            a, b = visitors["node_a"].to_numpy(), cells["node_b"].to_numpy()
+            (lo_a, hi_a), (lo_b, hi_b) = ((np.stack(rows[f"lo_{x}"]), np.stack(rows[f"hi_{x}"])) for rows, x in ((visitors, "a"), (cells, "b")))
+            for at in range(0, len(a), 512):
+                part = slice(at, at + 512)
+                gaps = (np.maximum(0.0, np.maximum(lo_b[None, :, i] - hi_a[part, None, i], lo_a[part, None, i] - hi_b[None, :, i])) for i in range(lo_a.shape[1]))
+                x, y = np.nonzero((np.sqrt(sum(g * g for g in gaps)) <= eps) & (a[part, None] < b[None, :]))
+                found.append(np.stack([a[part][x], b[y]], 1))
+        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), "int64"), columns=["node_a", "node_b"])
+
+    return run
 
-def neighbouring_cells(stats: DataFrame, dims: int, eps: float) -> DataFrame:
-    """Pairs of different occupied cells (columns _a, _b) whose boxes are within eps: equi-joins on the first axes' cells.
 
-    As many axes lead as it takes for few cells to share them.
+def neighbouring_cells(stats: DataFrame, dims: int, eps: float, leaf: int | None = None) -> DataFrame:
+    """Pairs of different occupied cells (columns _a, _b) of one group whose boxes are within eps.
+
+    Cells go into leaves of at most ``leaf`` by their lowest corners, the group being one more axis on which groups lie
+    far apart. A cell visits the leaves that come near enough, found down the tree by equi-joins, with its box alone; what
+    else is known of two cells joins the pairs that are left. In several dimensions most steps between cells lead to
+    none, so cells are never multiplied by steps.
     """
-    least = offsets(1, dims)
-    shares = stats.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.slice("cell", 1, k + 1)).alias(f"d{k}") for k in range(1, dims + 1)]).first()
-    lead = 1
-    while lead < dims and shares["n"] > 32 * shares[f"d{lead}"] and len(offsets(lead + 1, dims)) <= 400:
-        lead, least = lead + 1, offsets(lead + 1, dims)
-    least = offsets(lead, dims)
-    key = F.slice("cell", 1, lead + 1)
-    steps = F.array(*[F.array(F.lit(0), *map(F.lit, o)).cast("array<bigint>") for o in least])
-    left = side_of(stats, "a").withColumn("key", F.explode(F.transform(steps, lambda o: F.zip_with(F.slice("cell_a", 1, lead + 1), o, lambda x, y: x + y))))
-    right = side_of(stats.withColumn("key", key), "b").withColumnRenamed("key_b", "key")
-    level = F.slice("cell_a", 1, lead + 1) == F.slice("cell_b", 1, lead + 1)
-    once = ~level | (F.col("cell_a") < F.col("cell_b"))
-    return left.join(right, "key").where(once & (box_gap("a", "b", dims) <= eps)).drop("key")
+    side = eps / math.sqrt(dims) * (1 + 1e-6)
+    apart_by = 4 * (eps + side) + 1.0
+    corner = F.concat(F.array(F.col("cell")[0] * F.lit(apart_by)), "lo")
+    placed, tree = leaves(stats.select(F.col("node").alias("pid"), corner.alias("u"), F.lit(1).alias("w")), dims + 1, leaf or LEAF)
+    boxes = tree.select("node", "up", "lo", "hi", F.col("cut").isNull().alias("is_leaf"))
+    gap = lambda i: F.greatest(F.lit(0.0), F.col("lo")[i] - F.col("u")[i] - side, F.col("u")[i] - F.col("hi")[i] - side)
+    reached = F.sqrt(sum((gap(i) * gap(i) for i in range(dims + 1)), F.lit(0.0))) <= eps * (1 + 1e-6)
+    asking, visits = placed.select("pid", "u", F.lit(0).cast("long").alias("up")), None
+    while True:  # one round for each level of the tree
+        below = stored(asking.join(boxes, "up").where(reached).select("pid", "u", "node", "is_leaf"))
+        found = below.where("is_leaf").select("pid", "node")
+        visits = found if visits is None else visits.unionByName(found)
+        asking = below.where("not is_leaf").select("pid", "u", F.col("node").alias("up"))
+        if asking.isEmpty():
+            break
+    box = stats.select(F.col("node").alias("pid"), F.col("lo"), F.col("hi"))
+    lots = visits.groupBy("node").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("lots"))
+    left = visits.join(lots, "node").join(box, "pid").select("node", F.pmod(F.xxhash64("pid"), F.col("lots")).cast("int").alias("lot"), F.col("pid").alias("node_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    right = placed.select("pid", "node").join(lots, "node").join(box, "pid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    right = right.select(F.col("node").alias("at"), "part", F.col("pid").alias("node_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    pairs = stored(left.groupBy("node", "lot").cogroup(right.groupBy("at", "part")).applyInPandas(near_boxes(eps), "node_a long, node_b long"))
+    both = pairs.join(side_of(stats, "a"), "node_a").join(side_of(stats, "b"), "node_b")
+    return both.where(F.col("cell_a")[0] == F.col("cell_b")[0])
 
 
 def refined(points: DataFrame, open_pairs: DataFrame, side: float, dims: int, eps: float, levels: int = 10) -> DataFrame:

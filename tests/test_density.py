@@ -159,3 +159,20 @@ def test_large_hypercube_has_one_point_a_stratum(spark, n):
     assert all(sorted(np.floor(u[:, j] * n).astype(int)) == list(range(n)) for j in range(3))
     if n >= 1000:
         assert abs(np.corrcoef(u.T)[0, 1:]).max() < 0.1 and abs(np.corrcoef(np.arange(n), u[:, 0])[0, 1]) < 0.1
+
+
+def test_neighbouring_cells_by_leaves(spark):
+    """All pairs of cells within the radius, once, within their group; no row for each step between cells, as there was before."""
+    r = random.Random(8)
+    rows = [(k, [r.gauss(0, 1) for _ in range(3)], k % 3) for k in range(240)]
+    points = spark.createDataFrame(rows, "point_id long, u array<double>, g long")
+    eps = 0.6
+    side = eps / math.sqrt(3) * (1 - 1e-9)
+    stats = density.stored(density.cell_stats(points.withColumn("cell", F.array("g", *[F.floor(F.col("u")[i] / side) for i in range(3)])), ["cell"], 3))
+    cells = [(x.node, x.cell[0], x.lo, x.hi) for x in stats.collect()]
+    gap = lambda a, b: math.sqrt(sum(max(0.0, b[2][i] - a[3][i], a[2][i] - b[3][i]) ** 2 for i in range(3)))
+    want = sorted((a[0], b[0]) for a in cells for b in cells if a[0] < b[0] and a[1] == b[1] and gap(a, b) <= eps)
+    for leaf in (8, 512):
+        got = density.neighbouring_cells(stats, 3, eps, leaf)
+        assert sorted((x.node_a, x.node_b) for x in got.collect()) == want and len(want) > 100
+        assert "Generate explode" not in got._jdf.queryExecution().optimizedPlan().toString()
