@@ -1,30 +1,75 @@
 """Roads as polylines: places relative to the centreline, headings, parity of two builds, curvature.
 
 A road is one row (run_id, xy array<struct<x, y>>) of at most a few hundred vertices, so a step meets its road by one
-equi-join and looks through the segments inside the row; steps are never multiplied by segments.
+equi-join and looks through the segments inside the row, a batch of rows at a time; steps are never multiplied by segments.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def drivable(made: Column) -> Column:
+    """``made`` for roads of two vertices or more; the others drop out.
+
+    By explode, because a filter on a road that is computed from its key would be inferred for the steps that join it,
+    and would build the road again for every step.
+    """
+    return F.explode(F.when(F.size("xy") >= 2, F.array(made)))
+
+
 def segments(roads: DataFrame) -> DataFrame:
     """(run_id, seg): start, direction, length and arc length before each segment. Roads below two vertices drop out."""
     seg = F.expr("transform(sequence(0, size(xy) - 2), i -> named_struct('ax', xy[i].x, 'ay', xy[i].y, 'dx', xy[i + 1].x - xy[i].x, 'dy', xy[i + 1].y - xy[i].y))")
     length = F.expr("transform(seg, g -> sqrt(g.dx * g.dx + g.dy * g.dy))")
-    ready = roads.where(F.size("xy") >= 2).withColumn("seg", seg).withColumn("length", length)
+    ready = roads.select("run_id", drivable(seg).alias("seg")).withColumn("length", length)
     before = "aggregate(slice(length, 1, i), 0D, (a, x) -> a + x)"
     return ready.select("run_id", F.expr(f"transform(seg, (g, i) -> named_struct('ax', g.ax, 'ay', g.ay, 'dx', g.dx, 'dy', g.dy, 'len', length[i], 's0', {before}))").alias("seg"))
 
 
+#: Rows whose segments are looked through at a time.
+ROWS = 2048
+
+
+def nearest_segment(px: pa.Array, py: pa.Array, ax: pa.Array, ay: pa.Array, dx: pa.Array, dy: pa.Array) -> pa.Array:
+    """For each position and the segments of its road: struct (d, i, t) of the nearest one, the first on ties. As in SQL
+    an unknown distance (null) comes first and what is not a number last."""
+    columns = (px, py, ax, ay, dx, dy)
+    return pa.concat_arrays([_nearest_segment(*[c.slice(k, ROWS) for c in columns]) for k in range(0, max(1, len(px)), ROWS)])
+
+
+def _nearest_segment(px: pa.Array, py: pa.Array, ax: pa.Array, ay: pa.Array, dx: pa.Array, dy: pa.Array) -> pa.Array:
+    counts = np.diff(ax.offsets.to_numpy())
+    starts = np.cumsum(counts) - counts
+    row = np.repeat(np.arange(len(counts)), counts)
+    ends = [c.flatten() for c in (ax, ay, dx, dy)]
+    unknown = (~(px.is_valid().to_numpy(zero_copy_only=False) & py.is_valid().to_numpy(zero_copy_only=False)))[row]
+    for c in ends:
+        if c.null_count:
+            unknown |= ~c.is_valid().to_numpy(zero_copy_only=False)
+    x, y = (c.to_numpy(zero_copy_only=False).astype(float)[row] for c in (px, py))
+    ax, ay, dx, dy = (c.to_numpy(zero_copy_only=False).astype(float) for c in ends)
+    with np.errstate(all="ignore"):
+        t = np.fmin(1.0, np.maximum(0.0, ((x - ax) * dx + (y - ay) * dy) / np.fmax(dx * dx + dy * dy, 1e-18)))
+        t[unknown] = 0.0
+        off_x, off_y = ax + t * dx - x, ay + t * dy - y
+        d = np.sqrt(off_x * off_x + off_y * off_y)
+    order = np.where(unknown, -1.0, np.where(np.isnan(d), np.inf, np.minimum(d, np.finfo(float).max)))
+    least = np.minimum.reduceat(order, starts) if len(starts) else order
+    hits = np.flatnonzero(order == np.repeat(least, counts))
+    first = hits[np.flatnonzero(np.diff(row[hits], prepend=-1))]
+    return pa.StructArray.from_arrays(
+        [pa.array(d[first], mask=unknown[first]), pa.array((first - starts).astype("int32")), pa.array(t[first])], names=["d", "i", "t"])
+
+
 def nearest(positions: DataFrame, roads: DataFrame) -> DataFrame:
     """Adds near (d, i, t): distance, index and place of the nearest segment; the first one on ties."""
-    at = "transform(seg, g -> least(1D, greatest(0D, ((px - g.ax) * g.dx + (py - g.ay) * g.dy) / greatest(g.dx * g.dx + g.dy * g.dy, 1e-18D))))"
-    off_x, off_y = "(seg[i].ax + t * seg[i].dx - px)", "(seg[i].ay + t * seg[i].dy - py)"
-    near = f"array_min(transform(places, (t, i) -> named_struct('d', sqrt({off_x} * {off_x} + {off_y} * {off_y}), 'i', i, 't', t)))"
-    return positions.join(segments(roads), "run_id").withColumn("places", F.expr(at)).withColumn("near", F.expr(near)).drop("places")
+    look = F.arrow_udf(nearest_segment, "d double, i int, t double")
+    place = [F.col(c).cast("double") for c in ("px", "py")]
+    return positions.join(segments(roads), "run_id").withColumn("near", look(*place, *[F.col("seg")[c] for c in ("ax", "ay", "dx", "dy")]))
 
 
 def wrap_pi(angle: Column) -> Column:
@@ -48,7 +93,7 @@ def headings(steps: DataFrame, roads: DataFrame, order: list[str], still: float
     dx, dy = F.col("px") - F.lag("px").over(w), F.col("py") - F.lag("py").over(w)
     moved = steps.withColumns({"dx": dx, "dy": dy}).withColumn("own", F.when(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) >= still, F.atan2("dy", "dx")))
     kept = moved.withColumn("yaw", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("dx", "dy", "own")
-    first = roads.where(F.size("xy") >= 2).select("run_id", F.expr("atan2(xy[1].y - xy[0].y, xy[1].x - xy[0].x)").alias("tangent"))
+    first = roads.select("run_id", drivable(F.expr("atan2(xy[1].y - xy[0].y, xy[1].x - xy[0].x)")).alias("tangent"))
     return kept.join(first, "run_id").withColumn("yaw", F.coalesce("yaw", "tangent")).drop("tangent")
 
 
