@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.odd import hash_uniform
 from .control import ControlLaw, Memory
 
+#: Roads that one task turns into centrelines.
+ROADS = 5_000
 #: Lateral error beyond which a run has left the road (a fixed value).
 MAX_XTE = 2.5
 
@@ -132,8 +136,10 @@ def centreline(roads: DataFrame, angles: str = "angles", segment: str = "segment
     """run, vertex, x, y of each road: cumulative turns of equal segments, joined by centripetal Catmull-Rom arcs.
 
     n angles (degrees) give n + 2 control nodes, the first a point ahead of the start that only sets the first tangent,
-    and n - 1 arcs of ``points`` vertices; the vertex that two arcs share comes once.
+    and n - 1 arcs of ``points`` vertices; the vertex that two arcs share comes once. Roads are small and become many
+    rows, so they are dealt to tasks by their number, not by the bytes that they are read from.
     """
+    roads = roads.repartition(max(1, math.ceil(roads.count() / ROADS)))
     turn = F.transform(F.sequence(F.lit(1), F.size(angles)), lambda k: F.radians(F.aggregate(F.slice(F.col(angles), F.lit(1), k), F.lit(0.0), lambda a, x: a + x)))
     rows = roads.select(run, F.col(segment).cast("double").alias("len"), turn.alias("turn"))
     step = lambda f: F.transform("turn", lambda t: F.col("len") * f(t))

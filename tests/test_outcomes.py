@@ -73,6 +73,13 @@ def test_centreline(spark):
     assert np.allclose([(r.x, r.y) for r in got], want)
 
 
+def test_centrelines_are_dealt_by_number(spark):
+    few = spark.range(2 * outcomes.ROADS + 1).coalesce(1).select(F.col("id").alias("run_id"), F.array(F.lit(0.0), F.lit(0.0)).alias("angles"), F.lit(10).alias("segment"))
+    got = outcomes.centreline(few, points=2)
+    assert got.rdd.getNumPartitions() == 3 and got.count() == 2 * few.count()
+    assert outcomes.centreline(few.where("run_id < 0")).count() == 0
+
+
 def test_control_replay(spark):
     r = random.Random(4)
     rows = [(run, k, r.uniform(-3, 3), r.uniform(-1, 1), r.uniform(0, 12), 8.0, r.choice([0.1, 0.05, -1.0])) for run in (1, 2) for k in range(30)]
