@@ -11,9 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.odd import Axis, Scenario, hash_uniform, log_density, normal_cdf
-from ..functions.ranges import exact_quantiles, ready
-from .design import through_odd
+from ..functions.odd import Axis, Scenario, axis_ppf, hash_uniform, log_density, normal_cdf, quick_ppf
+from ..functions.ranges import discard, exact_quantiles, ready, stored
 
 
 def defensive_weight(log_q: Column, log_f: Column, alpha: float) -> Column:
@@ -119,12 +118,13 @@ def cross_entropy_search(ids: DataFrame, scenario: Scenario, margin: Column, per
 
     def drawn(source: Scenario, n: int, turn: int, after: int = 0) -> DataFrame:
         rows = ids.where((F.col(ident) >= after) & (F.col(ident) < after + n)).select(F.col(ident).alias("point_id"))
-        u = F.array(*[hash_uniform(F.col("point_id"), salt + turn * dims + j) for j in range(dims)])
-        return rows.select("point_id", u.alias("u")).select("point_id", through_odd(F.col("u"), source).alias("theta"))
+        u = [hash_uniform(F.col("point_id"), salt + turn * dims + j) for j in range(dims)]
+        return rows.select("point_id", F.array(*[axis_ppf(a, x, quick_ppf()) for a, x in zip(source.axes, u)]).alias("theta"))
 
     for turn in range(rounds):
-        points = drawn(proposal, per_round, turn).withColumn("margin", margin).checkpoint()
+        points = stored(drawn(proposal, per_round, turn).select("theta", margin.alias("margin")))
         step = cross_entropy_step(points, dims, rho, scenario.threshold, log_density(scenario, F.col("theta")), log_density(proposal, F.col("theta")))
+        discard(points)
         history.append(step)
         if step["gamma"] is None or step["n_elite"] < 2:
             break

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rareflow.functions.odd import Axis, Scenario
+from rareflow.functions.odd import Axis, Scenario, angle_axis, axis_ppf, quick_ppf, speed_axis
 from rareflow.functions.ranges import average_ranks, exact_quantiles, prefix_sums
 from rareflow.operators import importance, outcomes, ranking, regions
 from rareflow.sources import campaigns
@@ -152,6 +152,18 @@ def test_cross_entropy_finds_a_tail(spark):
     assert got.p == pytest.approx(0.03, rel=0.15) and history[-1]["gamma"] <= 0 and got.ess > 0
 
 
+def test_quick_draws_are_the_same(spark):
+    axes = [Axis("p", 0.0, 1.0), angle_axis("q", 1.0, 50.0), speed_axis("r", 0.0, 0.1), Axis("s", -9.0, 9.0, "truncnorm", 0.0, 0.5)]
+    u = [0.0, 1e-12, 1e-7, 0.02, 0.024, 0.3, 0.5, 0.7, 0.976, 0.99, 1 - 1e-9, 1.0, None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(u)], "point_id long, u double")
+    got = rows.select("*", *[axis_ppf(a, F.col("u"), quick_ppf()).alias(f"t{j}") for j, a in enumerate(axes)]).orderBy("point_id").collect()
+    want = rows.select("*", *[axis_ppf(a, F.col("u")).alias(f"t{j}") for j, a in enumerate(axes)]).orderBy("point_id").collect()
+    for x, y in zip(got, want, strict=True):
+        assert x.u is None and x == y or tuple(x)[2:] == pytest.approx(tuple(y)[2:], rel=1e-12, abs=1e-12)
+    points, _ = importance.cross_entropy_search(rows, Scenario(tuple(axes)), F.col("theta")[0] - 2.0, 13, 13)
+    assert "lambda" not in points._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_eps_grows_with_lonely_points(spark):
     r = random.Random(6)
     cloud = [(i, [r.random() for _ in range(3)]) for i in range(80)] + [(100, [0.0, 0.0, 0.0]), (101, [0.0, 0.0, 0.0])]
