@@ -12,6 +12,14 @@ def clip(x: float, most: float) -> float:
     return -most if x < -most else most if x > most else x
 
 
+#: Below so many runs that go on, each is replayed by itself.
+FEW = 8
+
+
+def clipped(x: np.ndarray, most: np.ndarray | float) -> np.ndarray:
+    return np.where(x < -most, -most, np.where(x > most, most, x))
+
+
 @dataclass(frozen=True)
 class ControlLaw:
     """``latency``: steps by which the errors seen are old. ``tau``: time constant of their smoothing (0: none). ``max_rate``: of
@@ -28,6 +36,42 @@ class ControlLaw:
     def throttle(self, speed: np.ndarray, target: np.ndarray) -> np.ndarray:
         return np.clip(self.k_throttle * (target - speed), -1, 1)
 
+    def replay(self, counts: np.ndarray, lateral: np.ndarray, heading: np.ndarray, dt: np.ndarray) -> np.ndarray:
+        """``steer`` of whole runs side by side: rows in order, one run after another, ``counts`` rows of each."""
+        starts, dt = np.cumsum(counts) - counts, np.where(dt > 0, dt, self.reference_dt)
+        place = np.arange(len(lateral)) - np.repeat(starts, counts)
+        seen = np.repeat(starts, counts) + np.maximum(0, place - self.latency)
+        errors, keep, most = (lateral[seen], heading[seen]), np.exp(-dt / self.tau) if self.tau > 0 else np.zeros(len(dt)), self.max_rate * dt
+        smooth, last, steer = np.zeros((2, len(counts))), np.zeros(len(counts)), np.empty(len(lateral))
+        order = np.argsort(-counts, kind="stable")
+        for k in range(int(counts.max(initial=0))):
+            runs = order[: np.searchsorted(-counts[order], -k)]  # those of more than k rows
+            if len(runs) < FEW:
+                for r in runs:
+                    at = slice(starts[r] + k, starts[r] + counts[r])
+                    steer[at] = self.rest(k, smooth[:, r].tolist(), float(last[r]), *[x[at].tolist() for x in (*errors, keep, most)])
+                break
+            at = starts[runs] + k
+            now = [e[at] for e in errors]
+            if self.tau > 0 and k:
+                now = [keep[at] * m[runs] + (1 - keep[at]) * e for m, e in zip(smooth, now)]
+            smooth[0, runs], smooth[1, runs] = now
+            wish = clipped(-self.k_lat * now[0] - self.k_head * now[1], 1.0)
+            if self.max_rate > 0:
+                wish = last[runs] + clipped(wish - last[runs], most[at])
+            last[runs] = steer[at] = wish
+        return steer
+
+    def rest(self, k: int, smooth: list[float], last: float, lateral: list[float], heading: list[float], keep: list[float], most: list[float]) -> list[float]:
+        """The steps of one run from its k-th on."""
+        out, (a, b) = [], smooth
+        for x, y, w, m in zip(lateral, heading, keep, most, strict=True):
+            a, b = (w * a + (1 - w) * x, w * b + (1 - w) * y) if self.tau > 0 and k else (x, y)
+            k, wish = k + 1, clip(-self.k_lat * a - self.k_head * b, 1.0)
+            last = last + clip(wish - last, m) if self.max_rate > 0 else wish
+            out.append(last)
+        return out
+
     def steer(self, memory: Memory, lateral: float, heading: float, dt: float) -> float:
         """One step; ``memory`` moves on."""
         dt = dt if dt > 0 else self.reference_dt  # not a number is not positive

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rareflow.functions.odd import Axis, Scenario, angle_axis, axis_ppf, quick_ppf, speed_axis
 from rareflow.functions.ranges import average_ranks, exact_quantiles, prefix_sums
 from rareflow.operators import importance, outcomes, ranking, regions
+from rareflow.operators.control import ControlLaw, Memory
 from rareflow.sources import campaigns
 
 
@@ -98,6 +99,24 @@ def test_control_replay(spark):
                 assert got[run, k].steer == pytest.approx(last) and got[run, k].throttle == pytest.approx(min(1, max(-1, 0.3 * (8 - x[4]))))
 
 
+def test_many_runs_are_replayed_in_few_groups(spark):
+    r = random.Random(5)
+    rows = [(run, k, r.uniform(-3, 3), r.uniform(-1, 1), 5.0, 8.0, r.choice([0.1, 0.0])) for run in (*range(3000), None) for k in range(1 + (run or 0) % 4 + 20 * (run == 7))]
+    df = spark.createDataFrame(rows, "run_id long, step int, lateral double, heading double, speed double, target double, dt double").repartition(3)
+    for latency, tau, rate in ((0, 0.0, 0.0), (2, 0.3, 4.0)):
+        got = outcomes.replay_control(df, latency, tau, max_rate=rate)
+        assert "share" in got._jdf.queryExecution().optimizedPlan().toString()
+        law, want, memory = ControlLaw(latency, tau, max_rate=rate), {}, {}
+        for run, k, lateral, heading, *_, dt in rows:
+            want[run, k] = law.steer(memory.setdefault(run, Memory.fresh()), lateral, heading, dt)
+        have = {(x.run_id, x.step): x.steer for x in got.collect()}
+        assert have.keys() == want.keys() and all(have[x] == pytest.approx(want[x], abs=1e-12) for x in want)
+    runs = [10] * 40 + [1, 300]
+    x = np.random.default_rng(1).normal(size=(3, sum(runs)))
+    side, each = law.replay(np.array(runs), *x), [law.replay(np.array([n]), *x[:, sum(runs[:i]) : sum(runs[: i + 1])]) for i, n in enumerate(runs)]
+    assert side.tolist() == np.concatenate(each).tolist()
+
+
 def test_trajectory_modes(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(60, 3)) @ r.normal(size=(3, 8))
