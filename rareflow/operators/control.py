@@ -36,41 +36,53 @@ class ControlLaw:
     def throttle(self, speed: np.ndarray, target: np.ndarray) -> np.ndarray:
         return np.clip(self.k_throttle * (target - speed), -1, 1)
 
-    def replay(self, counts: np.ndarray, lateral: np.ndarray, heading: np.ndarray, dt: np.ndarray) -> np.ndarray:
-        """``steer`` of whole runs side by side: rows in order, one run after another, ``counts`` rows of each."""
-        starts, dt = np.cumsum(counts) - counts, np.where(dt > 0, dt, self.reference_dt)
-        place = np.arange(len(lateral)) - np.repeat(starts, counts)
-        seen = np.repeat(starts, counts) + np.maximum(0, place - self.latency)
-        errors, keep, most = (lateral[seen], heading[seen]), np.exp(-dt / self.tau) if self.tau > 0 else np.zeros(len(dt)), self.max_rate * dt
-        smooth, last, steer = np.zeros((2, len(counts))), np.zeros(len(counts)), np.empty(len(lateral))
-        order = np.argsort(-counts, kind="stable")
+    def replay(self, counts: np.ndarray, lateral: np.ndarray, heading: np.ndarray, dt: np.ndarray, old: np.ndarray | None = None,
+               known: np.ndarray | None = None, smooth: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``steer`` of whole runs side by side: rows in order, one run after another, ``counts`` rows of each.
+
+        Runs may go on: their first ``old`` rows are remembered ones, which are only seen; ``smooth`` and ``last`` are what
+        was smoothed and steered before, where ``known``. Returns the steering of the other rows, and these two at the end.
+        """
+        n = len(counts)
+        old = np.zeros(n, "int64") if old is None else old
+        known = np.zeros(n, bool) if known is None else known.copy()
+        smooth, last = np.zeros((2, n)) if smooth is None else smooth.copy(), np.zeros(n) if last is None else last.copy()
+        first, dt = np.repeat(np.cumsum(counts) - counts, counts), np.where(dt > 0, dt, self.reference_dt)
+        place = np.arange(len(lateral)) - first
+        new = place >= np.repeat(old, counts)
+        seen = (first + np.maximum(0, place - self.latency))[new]
+        errors, dt, counts = (lateral[seen], heading[seen]), dt[new], counts - old
+        keep, most = np.exp(-dt / self.tau) if self.tau > 0 else np.zeros(len(dt)), self.max_rate * dt
+        starts, steer, order = np.cumsum(counts) - counts, np.empty(len(dt)), np.argsort(-counts, kind="stable")
         for k in range(int(counts.max(initial=0))):
             runs = order[: np.searchsorted(-counts[order], -k)]  # those of more than k rows
             if len(runs) < FEW:
                 for r in runs:
                     at = slice(starts[r] + k, starts[r] + counts[r])
-                    steer[at] = self.rest(k, smooth[:, r].tolist(), float(last[r]), *[x[at].tolist() for x in (*errors, keep, most)])
+                    steer[at], smooth[:, r] = self.rest(bool(known[r]), smooth[:, r].tolist(), float(last[r]), *[x[at].tolist() for x in (*errors, keep, most)])
+                    last[r] = steer[at.stop - 1]
                 break
             at = starts[runs] + k
             now = [e[at] for e in errors]
-            if self.tau > 0 and k:
-                now = [keep[at] * m[runs] + (1 - keep[at]) * e for m, e in zip(smooth, now)]
+            if self.tau > 0:
+                now = [np.where(known[runs], keep[at] * m[runs] + (1 - keep[at]) * e, e) for m, e in zip(smooth, now)]
             smooth[0, runs], smooth[1, runs] = now
+            known[runs] = True
             wish = clipped(-self.k_lat * now[0] - self.k_head * now[1], 1.0)
             if self.max_rate > 0:
                 wish = last[runs] + clipped(wish - last[runs], most[at])
             last[runs] = steer[at] = wish
-        return steer
+        return steer, smooth, last
 
-    def rest(self, k: int, smooth: list[float], last: float, lateral: list[float], heading: list[float], keep: list[float], most: list[float]) -> list[float]:
-        """The steps of one run from its k-th on."""
+    def rest(self, known: bool, smooth: list[float], last: float, lateral: list[float], heading: list[float], keep: list[float], most: list[float]) -> tuple[list[float], list[float]]:
+        """The steps of one run, and its smoothed pair at the end."""
         out, (a, b) = [], smooth
         for x, y, w, m in zip(lateral, heading, keep, most, strict=True):
-            a, b = (w * a + (1 - w) * x, w * b + (1 - w) * y) if self.tau > 0 and k else (x, y)
-            k, wish = k + 1, clip(-self.k_lat * a - self.k_head * b, 1.0)
+            a, b = (w * a + (1 - w) * x, w * b + (1 - w) * y) if self.tau > 0 and known else (x, y)
+            known, wish = True, clip(-self.k_lat * a - self.k_head * b, 1.0)
             last = last + clip(wish - last, m) if self.max_rate > 0 else wish
             out.append(last)
-        return out
+        return out, [a, b]
 
     def steer(self, memory: Memory, lateral: float, heading: float, dt: float) -> float:
         """One step; ``memory`` moves on."""

@@ -130,7 +130,7 @@ def replay_control(states: DataFrame, latency: int = 0, tau: float = 0.0, k_lat:
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([run, "step"], kind="stable")
         counts = np.unique(rows[run].to_numpy(), return_counts=True)[1]
-        steer = law.replay(counts, *[rows[c].to_numpy(float) for c in ("lateral", "heading", "dt")])
+        steer = law.replay(counts, *[rows[c].to_numpy(float) for c in ("lateral", "heading", "dt")])[0]
         throttle = law.throttle(rows["speed"].to_numpy(float), rows["target"].to_numpy(float))
         return pd.DataFrame({"share": rows["share"], run: rows[run], "step": rows["step"], "steer": steer, "throttle": throttle})
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.control import ControlLaw, Memory
+from ..operators.control import ControlLaw
 from ..operators.telemetry import SILENT, end_reason
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -154,49 +154,87 @@ class Replay(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "due long, " + ", ".join(f"{c} {'long' if c == 'step' else 'double'}" for c in STATE))
-        self.memory = handle.getValueState("memory", "lateral array<double>, heading array<double>, smooth array<double>, last double, last_due long")
+        self.waiting = handle.getListState("waiting", "held binary")
+        self.memory = handle.getValueState("memory", "seen binary, runs binary")
+
+    def blob(self, rows: pd.DataFrame) -> bytes:
+        return packed(pa.Table.from_pandas(rows, preserve_index=False))
+
+    def remembered(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The last errors of each run, in order; and what it has smoothed and steered, by run."""
+        if self.memory.exists():
+            seen, runs = (unpacked(held).to_pandas() for held in self.memory.get())
+            return seen, runs.set_index(self.run)
+        blank = lambda *names: {c: pd.Series(dtype="int64" if c in (self.run, "last_due") else float) for c in names}
+        return pd.DataFrame(blank(self.run, "lateral", "heading")), pd.DataFrame(blank(self.run, "a", "b", "last", "last_due")).set_index(self.run)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        timers = list(self.handle.listTimers())
         for batch in rows:
-            held = batch[list(STATE)].astype({c: float for c in STATE if c != "step"})
+            held = batch[[self.run, *STATE]].astype({c: float for c in STATE if c != "step"})
             held.insert(0, "due", due(batch["ts"]))
-            self.waiting.appendList([tuple(r) for r in held.itertuples(index=False)])
-        only_timer(self.handle, min(r[0] for r in self.waiting.get()))
+            self.waiting.appendList([(self.blob(held),)])
+            timers.append(int(held["due"].min()))
+        only_timer(self.handle, min(timers))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
-        ready, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        if not rows:  # the silence after a run
-            self.memory.clear()
-            return
-        memory, last_due = Memory.fresh(), 0
-        if self.memory.exists():
-            lateral, heading, smooth, last, last_due = self.memory.get()
-            memory = Memory(list(zip(lateral, heading, strict=True)), tuple(smooth) or None, last)
-        out = []
-        for at, *row in ready:
-            step, lateral, heading, speed, target, dt = row
-            if last_due and at - last_due > self.gap_ms:
-                memory = Memory.fresh()
-            out.append((key[0], step, self.law.steer(memory, lateral, heading, dt), float(self.law.throttle(speed, target))))
-            last_due = at
-        seen = [[e[k] for e in memory.seen] for k in (0, 1)]
-        self.memory.update((*seen, list(memory.smooth or ()), memory.last, last_due))
-        if later:
-            self.waiting.put(later)
+        now, run = timerValues.getCurrentWatermarkInMs(), self.run
+        held = [unpacked(r[0]).to_pandas() for r in self.waiting.get()]
+        rows = pd.concat(held) if held else None
+        seen, runs = self.remembered()
+        later = None
+        if rows is not None:
+            ready, later = rows[rows["due"] <= now].sort_values([run, "due", "step"], kind="stable"), rows[rows["due"] > now]
+            if len(ready):
+                steer, seen, runs = self.replayed(ready, seen, runs)
+                throttle = self.law.throttle(ready["speed"].to_numpy(), ready["target"].to_numpy())
+                yield with_run(pd.DataFrame({run: ready[run].to_numpy(), "step": ready["step"].to_numpy(), "steer": steer, "throttle": throttle}), key, run)
+        runs = runs[runs["last_due"] + self.gap_ms > now]
+        seen = seen[seen[run].isin(runs.index)]
+        timers = []
+        if later is not None and len(later):
+            self.waiting.put([(self.blob(later),)])
+            timers.append(int(later["due"].min()))
         else:
             self.waiting.clear()
-        self.handle.registerTimer(later[0][0] if later else last_due + self.gap_ms)
-        yield pd.DataFrame(out, columns=[self.run, "step", "steer", "throttle"])
+        if len(runs):
+            self.memory.update((self.blob(seen), self.blob(runs.reset_index())))
+            timers.append(int(runs["last_due"].min()) + self.gap_ms)
+        else:
+            self.memory.clear()
+        if timers:
+            only_timer(self.handle, min(timers))
+        else:
+            no_timer(self.handle)
+
+    def replayed(self, ready: pd.DataFrame, seen: pd.DataFrame, runs: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame, pd.DataFrame]:
+        """The steering of rows that are in order by run, and what is remembered after them. A stretch ends at a silence."""
+        run, of, at = self.run, ready[self.run].to_numpy(), ready["due"].to_numpy()
+        first = np.append(True, of[1:] != of[:-1])
+        stretch = np.cumsum(first | np.append(True, np.diff(at) > self.gap_ms)) - 1
+        n, heads = stretch[-1] + 1, stretch[first]
+        before = runs.reindex(of[first])
+        goes = (at[first] - before["last_due"] <= self.gap_ms).to_numpy()  # false where nothing is known
+        known, smooth, last = np.zeros(n, bool), np.zeros((2, n)), np.zeros(n)
+        known[heads] = goes
+        for into, c in ((smooth[0], "a"), (smooth[1], "b"), (last, "last")):
+            into[heads] = np.where(goes, before[c], 0.0)
+        held = seen.merge(pd.DataFrame({run: of[first][goes], "stretch": heads[goes]}), on=run).assign(dt=0.0)
+        both = pd.concat([held, ready.assign(stretch=stretch)[[run, "lateral", "heading", "dt", "stretch"]]]).sort_values("stretch", kind="stable")
+        counts = np.bincount(both["stretch"], minlength=n)
+        steer, smooth, last = self.law.replay(counts, *[both[c].to_numpy(float) for c in ("lateral", "heading", "dt")], np.bincount(held["stretch"].astype("int64"), minlength=n), known, smooth, last)
+        end = np.append(of[1:] != of[:-1], True)
+        ends = stretch[end]
+        after = pd.DataFrame({"a": smooth[0][ends], "b": smooth[1][ends], "last": last[ends], "last_due": at[end]}, index=pd.Index(of[end], name=run))
+        tail = both[both["stretch"].isin(ends)].groupby("stretch").tail(self.law.latency)[[run, "lateral", "heading"]]
+        return steer, pd.concat([seen[~seen[run].isin(after.index)], tail]), pd.concat([runs[~runs.index.isin(after.index)], after])
 
 
 def control_stream(states: DataFrame, law: ControlLaw, late: str, gap_ms: int, run: str = "run_id") -> DataFrame:
     """run, step, steer, throttle of a stream of states (run, step, ts, lateral, heading, speed, target, dt), as ``outcomes.replay_control`` has them.
 
-    A key that was silent for more than ``gap_ms`` starts afresh.
+    A run that was silent for more than ``gap_ms`` starts afresh.
     """
-    rows = states.withWatermark("ts", late).select(run, "ts", *STATE)
-    return rows.groupBy(run).transformWithStateInPandas(Replay(law, gap_ms, run), f"{run} long, step long, steer double, throttle double", "append", "eventTime")
+    rows = states.withWatermark("ts", late).select(*shared_out(run), "ts", *STATE)
+    return rows.groupBy("share").transformWithStateInPandas(Replay(law, gap_ms, run), f"{run} long, step long, steer double, throttle double", "append", "eventTime")

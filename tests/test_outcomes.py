@@ -113,7 +113,7 @@ def test_many_runs_are_replayed_in_few_groups(spark):
         assert have.keys() == want.keys() and all(have[x] == pytest.approx(want[x], abs=1e-12) for x in want)
     runs = [10] * 40 + [1, 300]
     x = np.random.default_rng(1).normal(size=(3, sum(runs)))
-    side, each = law.replay(np.array(runs), *x), [law.replay(np.array([n]), *x[:, sum(runs[:i]) : sum(runs[: i + 1])]) for i, n in enumerate(runs)]
+    side, each = law.replay(np.array(runs), *x)[0], [law.replay(np.array([n]), *x[:, sum(runs[:i]) : sum(runs[: i + 1])])[0] for i, n in enumerate(runs)]
     assert side.tolist() == np.concatenate(each).tolist()
 
 

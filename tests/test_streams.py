@@ -120,6 +120,20 @@ def test_control_however_rows_are_cut(spark, tmp_path, latency, tau, rate):
     assert {(x.run_id, x.step): (x.steer, x.throttle) for x in got} == want
 
 
+def test_control_of_many_runs_in_shares(spark, tmp_path):
+    law, r = ControlLaw(latency=1, tau=0.3), random.Random(8)
+    rows = [(run, k, at(k), r.uniform(-2, 2), r.uniform(-1, 1), 3.0, 8.0, 0.1) for run in (*range(3000), None) for k in range(1 + (run or 2) % 3)]
+    want = {(x.run_id, x.step): (x.steer, x.throttle) for x in outcomes.replay_control(spark.createDataFrame(rows, STATES), 1, 0.3).collect()}
+    make = lambda s: episodes.control_stream(s, law, "10 seconds", 3_600_000)
+    feed, keys = Feed(spark, tmp_path, STATES), []
+    count = lambda where: spark.read.format("statestore").option("batchId", 0).option("stateVarName", "waiting").load(f"{where}/state").select("key").distinct().count()
+    finish = lambda out, where: (runs.finish(out, where), keys.append(count(where)))[0]
+    feed.push(rows, make)
+    got = feed.push([(99999, 0, FAR, 0.0, 0.0, 0.0, 0.0, 0.1)], make, finish).collect()
+    assert {(x.run_id, x.step): (x.steer, x.throttle) for x in got} == want and len(got) == len(rows)
+    assert keys[0] <= episodes.SHARES + 1
+
+
 def test_a_silent_key_starts_afresh(spark, tmp_path):
     law = ControlLaw(latency=2, tau=0.3)
     once = [(1, k, at(k), 1.0 - k / 5, 0.2, 3.0, 8.0, 0.1) for k in range(6)]
